@@ -40,6 +40,8 @@ def domains(columns: Sequence[str], *tables: DataFrame, limit: int) -> dict[str,
     The columns are stacked before the distinct, so that all share one shuffle of at most
     one record per value and task. None if there are more than ``limit`` values.
     """
+    if not columns:
+        return {}
     stacked = [
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
     ]

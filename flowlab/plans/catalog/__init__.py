@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["preparing", "encoding", "sampling"]
+MODULES = ["preparing", "encoding", "sampling", "evaluation"]
 
 
 def load_all() -> None:

@@ -250,7 +250,8 @@ def order_numbers(spark, sf):
         (cust % 7).alias("dur"), (cust % 13).alias("spkts"), (cust % 17).alias("sbytes"),
         (key % 3).alias("sttl"), (key % 11).alias("sinpkt"), (key % 5).alias("synack"),
         (key % 9).alias("ct_srv_src"), (cust % 4).alias("ct_flw_http_mthd"),
-        (cust % 19).alias("swin"), (cust % 10).cast("int").alias("new_label"),
+        (cust % 19).alias("swin"), F.col("o_orderstatus").alias("proto"),
+        (cust % 10).cast("int").alias("new_label"),
     )
 
 
@@ -259,7 +260,7 @@ numbers as (
   select o_orderkey as id, o_custkey % 7 as dur, o_custkey % 13 as spkts, o_custkey % 17 as sbytes,
     o_orderkey % 3 as sttl, o_orderkey % 11 as sinpkt, o_orderkey % 5 as synack,
     o_orderkey % 9 as ct_srv_src, o_custkey % 4 as ct_flw_http_mthd, o_custkey % 19 as swin,
-    (o_custkey % 10)::int as new_label from orders)
+    case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as proto, (o_custkey % 10)::int as new_label from orders)
 """
 
 
@@ -278,7 +279,7 @@ select id, spkts::double as s0, sbytes::double as s1, synack::double as s2, ct_s
   ct_flw_http_mthd::double as d3 from numbers
 """)
 def group_columns(spark, sf):
-    rows = order_numbers(spark, sf)
+    rows = order_numbers(spark, sf).drop("proto")
     groups = clean.semantic_groups(rows.drop("id", "new_label").columns)
     return flat(clean.group_columns(rows, groups, ["id"]), 5, 4, "id")
 
@@ -289,7 +290,7 @@ select id, spkts::double as s0, sbytes::double as s1, sttl::double as s2, ct_srv
   synack::double as d2 from numbers
 """)
 def group_columns_listed(spark, sf):
-    rows = order_numbers(spark, sf)
+    rows = order_numbers(spark, sf).drop("proto")
     static, dynamic = clean.listed_groups(rows.drop("id", "new_label").columns)
     present = [[c for c in g if c in rows.columns] for g in (static, dynamic)]
     return flat(clean.group_columns(rows, (present[0], present[1]), ["id"]), 6, 3, "id")
@@ -300,7 +301,7 @@ select id, 9 as width, (spkts + sbytes + synack + ct_srv_src + swin)::double as
   ct_flw_http_mthd::double as last_one from numbers
 """)
 def concat_groups(spark, sf):
-    rows = order_numbers(spark, sf)
+    rows = order_numbers(spark, sf).drop("proto")
     groups = clean.semantic_groups(rows.drop("id", "new_label").columns)
     x = clean.concat_groups(clean.group_columns(rows, groups, ["id"]))
     first = F.aggregate(F.slice("x", 1, 5), F.lit(0.0), lambda acc, v: acc + v)
@@ -310,7 +311,7 @@ def concat_groups(spark, sf):
 
 
 @query("reorder_columns", f"with {NUMBERS_SQL}" + """
-select 'spkts,sbytes,dur,sinpkt,synack,ct_srv_src,ct_flw_http_mthd,id,sttl,swin,new_label' as column_list,
+select 'spkts,sbytes,dur,sinpkt,synack,ct_srv_src,ct_flw_http_mthd,id,sttl,swin,proto,new_label' as column_list,
   count(*) as n, sum(spkts)::bigint as first_sum, sum(new_label)::bigint as last_sum from numbers
 """)
 def reorder_columns(spark, sf):
@@ -322,9 +323,9 @@ def reorder_columns(spark, sf):
     )
 
 
-# Model-input loaders, over numeric columns (their categorical part is `ordinal_union`).
+# Model-input loaders.
 def loaded_sql(label: str, where: str = "true") -> str:
-    names = ["dur", "spkts", "sbytes", "sttl", "sinpkt", "synack", "ct_srv_src", "ct_flw_http_mthd", "swin"]
+    names = ["dur", "spkts", "sbytes", "sttl", "sinpkt", "synack", "ct_srv_src", "ct_flw_http_mthd", "swin", "proto"]
     fit = ", ".join(f"avg({c}) as {c}_m, stddev_pop({c}) as {c}_s" for c in names)
     out = ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) + 0.0 as {c}" for c in names)
     return f"""
@@ -343,8 +344,7 @@ def number_pair(spark, sf):
 
 def _loaded(pair):
     both = _both(pair)
-    names = [c for c in both.columns if c not in ("id", "new_label", "is_test")]
-    return round_all(both, *names)
+    return round_all(both, *[c for c in both.columns if c not in ("id", "new_label", "is_test")])
 
 
 @query("load_baseline_binary", loaded_sql("case when new_label = 0 then 0 else 1 end"))
@@ -363,14 +363,14 @@ def load_reordered(spark, sf):
 
 
 def grouped_sql(label: str, where: str = "true") -> str:
-    static = ["spkts", "sbytes", "synack", "ct_srv_src", "swin"]
+    static = ["spkts", "sbytes", "synack", "ct_srv_src", "swin", "proto"]
     dynamic = ["dur", "sttl", "sinpkt", "ct_flw_http_mthd"]
     columns = [f"{c} as s{i}" for i, c in enumerate(static)] + [f"{c} as d{i}" for i, c in enumerate(dynamic)]
     return f"select id, is_test, new_label, {', '.join(columns)} from ({loaded_sql(label, where)})"
 
 
 def _grouped(pair):
-    out = flat(_both(pair), 5, 4, "id", "is_test", "new_label")
+    out = flat(_both(pair), 6, 4, "id", "is_test", "new_label")
     return round_all(out, *[c for c in out.columns if c[0] in "sd"])
 
 
