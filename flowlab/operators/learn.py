@@ -18,6 +18,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from flowlab import fixed
@@ -388,8 +389,11 @@ def score(df: DataFrame, model: SoftmaxModel, x: str = "x") -> DataFrame:
                 [*batch.columns, logits, pa.array(best)], names=[*names, "logits", "y_pred"]
             )
 
-    schema = df.schema.add("logits", "array<double>").add("y_pred", "int")
-    return df.mapInArrow(apply, schema)
+    added = [
+        T.StructField("logits", T.ArrayType(T.DoubleType())),
+        T.StructField("y_pred", T.IntegerType()),
+    ]
+    return df.mapInArrow(apply, T.StructType([*df.schema.fields, *added]))
 
 
 def fit_pipeline(

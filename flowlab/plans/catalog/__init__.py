@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["preparing", "encoding", "sampling", "evaluation"]
+MODULES = ["preparing", "encoding", "sampling", "evaluation", "learning", "streams"]
 
 
 def load_all() -> None:

@@ -46,7 +46,8 @@ def _update(
         if drift:
             found.append((key[0], ts, drift[2], drift[0], drift[1]))
     state.update((window.levels, window.sums, window.squares, window.seen))
-    yield pd.DataFrame(found, columns=["stream_key", "ts", "n", "mean_old", "mean_new"])
+    if found:
+        yield pd.DataFrame(found, columns=["stream_key", "ts", "n", "mean_old", "mean_new"])
 
 
 def detect(values: DataFrame) -> DataFrame:
@@ -139,8 +140,11 @@ def refit_on_drift(
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over everything now available, into a Parquet table, and read that."""
+def run_to_table(stream: DataFrame, name: str, as_stream: bool = False) -> DataFrame:
+    """Run a stream over everything now available, into a Parquet table, and read that.
+
+    ``as_stream`` reads the table as a stream again, to hand it to a second stateful step.
+    """
     spark = stream.sparkSession
     out, marks = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
     query = (
@@ -152,4 +156,5 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    reader = spark.readStream if as_stream else spark.read
+    return reader.schema(stream.schema).parquet(out)
