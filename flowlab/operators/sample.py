@@ -9,7 +9,7 @@ lies, so no step sorts or numbers the whole table, or a whole class, in one task
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,15 +74,20 @@ def number_sorted(df: DataFrame, order: Sequence[Column], target: str = "number"
 
 
 def hash_cuts(
-    df: DataFrame, key: str, ranks: Sequence[int], seed: int = fixed.SEED
+    df: DataFrame,
+    key: str,
+    ranks_of: Callable[[int], Sequence[int]],
+    seed: int = fixed.SEED,
 ) -> list[tuple[str, int] | None]:
     """The (hash, key) found at each rank of the hash order; None for rank 0.
 
-    Reads the key column twice: once for the range sizes (at most 65,536 rows), once for
+    ``ranks_of`` turns the row count into the wanted ranks. Reads the key column twice:
+    once for the range sizes (at most 65,536 rows, which also give the count), once for
     the few ranges that hold a wanted rank.
     """
     ordered = _with_order(df.select(key), key, seed)
     sizes = sorted(ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    ranks = ranks_of(sum(n for _, n in sizes))
     wanted: dict[tuple[str, int], int] = {}
     for rank in set(ranks) - {0}:
         passed = 0
@@ -128,9 +133,7 @@ def split_exact(
 
     Once the cut is known the mark is an expression on the key: the rows do not move.
     """
-    n = df.count()
-    first = n - math.ceil(fraction * n)
-    (cut,) = hash_cuts(df, key, [first], seed)
+    (cut,) = hash_cuts(df, key, lambda n: [n - math.ceil(fraction * n)], seed)
     return df.withColumn(target, F.when(_after(key, seed, cut), 2).otherwise(1))
 
 
@@ -147,8 +150,7 @@ def client_partition(
     target: str = "client",
 ) -> DataFrame:
     """Deal the rows at random to clients in equal chunks; the last takes the remainder."""
-    chunk = df.count() // clients
-    cuts = hash_cuts(df, key, [chunk * i for i in range(1, clients)], seed)
+    cuts = hash_cuts(df, key, lambda n: [n // clients * i for i in range(1, clients)], seed)
     passed = sum((_after(key, seed, cut).cast("int") for cut in cuts), F.lit(0))
     return df.withColumn(target, passed)
 

@@ -9,12 +9,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+FILES_PER_TRIGGER = 64
+
+
 def table_stream(
-    spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
-    """The same table as a stream; the schema is the stored one, so nothing is inferred."""
-    schema = table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    """The same table as a stream; the schema is the stored one, so nothing is inferred.
+
+    The files taken per trigger bound what one micro-batch, and any key in it, can hold.
+    """
+    return (
+        spark.readStream.schema(table(spark, folder, name).schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .parquet(folder)
+    )
