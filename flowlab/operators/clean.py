@@ -20,8 +20,16 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Drop rows with a missing value anywhere, or in ``subset``."""
-    return df.dropna("any", subset=list(subset) if subset else None)
+    """Drop rows with a missing value (null or NaN) anywhere, or in ``subset``.
+
+    One condition per column instead of ``dropna``: these reach the Parquet reader, and
+    the optimizer handles them one by one, where a single condition over dozens of
+    computed columns makes its constraint inference explode.
+    """
+    types = dict(df.dtypes)
+    for c in subset or df.columns:
+        df = df.filter(~cells.is_missing(F.col(f"`{c}`"), types[c]))
+    return df
 
 
 def map_labels(
