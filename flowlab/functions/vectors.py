@@ -6,7 +6,8 @@ computing it again for every element.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(values: Iterable[float]) -> Column:
+    """A literal ``array<double>``, as one expression however long it is."""
+    def text(v: float) -> str:
+        return f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')"
+
+    return F.expr(f"array({', '.join(text(v) for v in values)})")
+
+
 def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 

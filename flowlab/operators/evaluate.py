@@ -163,7 +163,7 @@ def passed_thresholds(score: Column, grid: Sequence[float]) -> Column:
     step = (grid[-1] - low) / last
     guess = F.floor((score - low) / step).cast("int")
     near = F.greatest(F.lit(0), F.least(F.lit(last), guess))
-    values = F.array(*[F.lit(float(g)) for g in grid])
+    values = vectors.constant(grid)
     beats = lambda i: F.when(
         (i >= 0) & (i <= last), (F.get(values, i) < score).cast("int")
     ).otherwise(F.when(i < 0, 1).otherwise(0))
@@ -188,12 +188,9 @@ def threshold_sweep(
     counts = df.groupBy(passed_thresholds(F.col(score), grid).alias("passed")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(y_true) == 1).cast("long")).alias("positives")
     )
-    steps = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(float(g)).alias("threshold")) for i, g in enumerate(grid)]
-    )
-    spread = counts.select("*", F.explode(steps).alias("t"))
-    flagged = lambda c: F.sum(F.when(F.col("passed") > F.col("t.i"), F.col(c)).otherwise(0))
-    sums = spread.groupBy("t.i", "t.threshold").agg(
+    spread = counts.select("*", F.posexplode(vectors.constant(grid)).alias("i", "threshold"))
+    flagged = lambda c: F.sum(F.when(F.col("passed") > F.col("i"), F.col(c)).otherwise(0))
+    sums = spread.groupBy("i", "threshold").agg(
         flagged("positives").alias("hits"), flagged("n").alias("predicted"),
         F.sum("positives").alias("positives"),
     )

@@ -90,9 +90,7 @@ class SoftmaxModel:
         """Logits as a column expression: one dot product per class."""
         rows = F.array(
             *[
-                F.struct(
-                    F.array(*[F.lit(float(v)) for v in w]).alias("w"), F.lit(float(b)).alias("b")
-                )
+                F.struct(vectors.constant(w).alias("w"), F.lit(float(b)).alias("b"))
                 for w, b in zip(self.weight, self.bias)
             ]
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlab import fixed
 from flowlab.functions import vectors
+from flowlab.session import settle
 
 
 def with_cross_entropy(
@@ -18,8 +19,12 @@ def with_cross_entropy(
 def with_class_weight(
     df: DataFrame, weights: DataFrame, y_true: str = "y_true", label: str | None = None
 ) -> DataFrame:
-    """Join each row's class weight; ``weights`` has a row per class."""
-    side = weights.select(F.col(label or weights.columns[0]).alias("_class"), "weight")
+    """Add each row's class weight; ``weights`` has a row per class.
+
+    The weights are evaluated first and broadcast if they are few: a shuffle by class
+    would send a dominant class to one task.
+    """
+    side = settle(weights.select(F.col(label or weights.columns[0]).alias("_class"), "weight"))
     return df.join(side, F.col(y_true) == F.col("_class"), "left").drop("_class")
 
 

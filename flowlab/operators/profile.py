@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab import fixed
 from flowlab.functions import cells
 from flowlab.operators.dedup import duplicate_count
+from flowlab.session import settle
 
 
 def shape(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+    return _shape(df.agg(F.count(F.lit(1)).alias("rows")), df.columns)
+
+
+def _shape(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return counted.select(
         "rows",
-        F.lit(len(df.columns)).alias("columns"),
-        F.lit(",".join(df.columns)).alias("column_list"),
+        F.lit(len(columns)).alias("columns"),
+        F.lit(",".join(columns)).alias("column_list"),
     )
 
 
@@ -38,20 +43,27 @@ def label_distribution(
 
 def label_status(df: DataFrame, label: str) -> DataFrame:
     """One row saying whether the label column is there, and over how many rows."""
-    found = label in df.columns
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+    return _label_status(df.agg(F.count(F.lit(1)).alias("rows")), label in df.columns, label)
+
+
+def _label_status(counted: DataFrame, found: bool, label: str) -> DataFrame:
+    return counted.select(
         F.lit(label).alias("label"),
         F.lit("present" if found else "missing").alias("status"),
         "rows",
     )
 
 
-def null_total(df: DataFrame) -> DataFrame:
-    """Missing cells over the whole table, NaN included, in one pass."""
+def _missing_cells(df: DataFrame) -> Column:
     missing = sum(
         (cells.is_missing(F.col(f"`{c}`"), dtype).cast("int") for c, dtype in df.dtypes), F.lit(0)
     )
-    return df.agg(F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("null_cells"))
+    return F.coalesce(F.sum(missing), F.lit(0)).cast("long").alias("null_cells")
+
+
+def null_total(df: DataFrame) -> DataFrame:
+    """Missing cells over the whole table, NaN included, in one pass."""
+    return df.agg(_missing_cells(df))
 
 
 def bin_counts(df: DataFrame, label: str) -> DataFrame:
@@ -140,11 +152,15 @@ def smoothed_weights(
 def profile(
     df: DataFrame, label: str = "new_label", names: Mapping[str, int] | None = fixed.ATTACK_CODES
 ) -> dict[str, DataFrame]:
-    """The whole report: shape, label status and distribution, missing cells, duplicates."""
+    """The whole report: shape, label status and distribution, missing cells, duplicates.
+
+    Rows and missing cells come from one pass; labels and duplicates from a grouping each.
+    """
+    counted = settle(df.agg(F.count(F.lit(1)).alias("rows"), _missing_cells(df)))
     report = {
-        "shape": shape(df),
-        "label_status": label_status(df, label),
-        "nulls": null_total(df),
+        "shape": _shape(counted, df.columns),
+        "label_status": _label_status(counted, label in df.columns, label),
+        "nulls": counted.select("null_cells"),
         "duplicates": duplicate_count(df),
     }
     if label in df.columns:

@@ -139,6 +139,16 @@ def corr_all(spark, sf):
     return round_all(encode.correlations(priced_lines(spark, sf), LINE_FEATURES, "label"), "corr")
 
 
+@query("corr_select_count", """
+with l as (select *, (l_extendedprice > 50000)::int as label from lineitem)
+select (abs(corr(l_quantity, label)) > 0.1)::int::bigint + (abs(corr(l_extendedprice, label)) > 0.1)::int
+  + (abs(corr(l_discount, label)) > 0.1)::int + (abs(corr(l_tax, label)) > 0.1)::int as selected from l
+""")
+def corr_select_count(spark, sf):
+    chosen = encode.select_features(priced_lines(spark, sf), LINE_FEATURES, "label")
+    return chosen.agg(F.count(F.lit(1)).alias("selected"))
+
+
 @query("corr_select_frame", """
 select l_orderkey, l_extendedprice, (l_extendedprice > 50000)::int as label from lineitem
 """)

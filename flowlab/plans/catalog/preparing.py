@@ -83,6 +83,19 @@ def csv_by_mode(spark, sf):
     return flow_files.read_mode(spark, folder, "train", "multi", schema)
 
 
+@query("described_source", "select l_orderkey, l_quantity, l_returnflag from lineitem")
+def described_source(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    data, description = fresh_path(spark, "lines-csv"), fresh_path(spark, "features-csv")
+    flow_files.write_csv(lines, data)
+    kinds = {"bigint": "Integer", "double": "Float", "string": "nominal"}
+    features = [(i, name, kinds[dtype]) for i, (name, dtype) in enumerate(lines.dtypes, 1)]
+    flow_files.write_csv(
+        spark.createDataFrame(features, "`No.` int, Name string, Type string"), description
+    )
+    return flow_files.read_described(spark, data, description)[0]
+
+
 @query("clean_documents", "with " + inputs.TAGGED_SQL + """
 select doc_id,
   case when regexp_matches(tag, '^\\s*$') then null else tag end as blanked,

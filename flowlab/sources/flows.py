@@ -57,12 +57,21 @@ def read_mode(
 
 
 def described_schema(
-    description: DataFrame, name: str = "Name", kind: str = "Type", types: Mapping[str, str] | None = None
+    description: DataFrame,
+    name: str = "Name",
+    kind: str = "Type",
+    number: str = "No.",
+    types: Mapping[str, str] | None = None,
 ) -> T.StructType:
-    """A schema from a feature-description table of at most a few hundred rows."""
+    """A schema from a feature-description table of at most a few hundred rows.
+
+    Columns follow the description's numbering, if it has one.
+    """
     types = types or {
         "nominal": "string", "integer": "long", "float": "double", "timestamp": "long", "binary": "int",
     }
+    if number in description.columns:
+        description = description.orderBy(F.col(f"`{number}`").cast("int"))
     rows = description.select(F.trim(name).alias("n"), F.lower(F.trim(kind)).alias("k")).collect()
     return T.StructType(
         [T.StructField(r["n"].lower(), _TYPES[types.get(r["k"], "string")]) for r in rows]
