@@ -25,6 +25,11 @@ from flowlab import fixed
 from flowlab.functions import vectors
 from flowlab.operators.encode import assemble
 from flowlab.operators.sample import batch_number
+from flowlab.session import settle
+
+# A mini-batch with more rows than this is dealt over so many tasks.
+HOT_BATCH = 1_000_000
+HOT_TASKS = 256
 
 PARAMETER_SCHEMA = "model string, key string, idx int, value double, trainable boolean"
 
@@ -293,56 +298,87 @@ def fisher_diagonal(
     batch: str,
     x: str = "x",
     y: str = "y",
+    hot_rows: int = HOT_BATCH,
 ) -> DataFrame:
     """Mean over mini-batches of the squared batch-mean gradient: ``(key, idx, value)``.
 
     Rows are brought together and sorted by batch, so a task streams through its batches
-    with one running sum, and emits one vector however many rows it saw.
+    with one running sum and emits one vector, however many rows it saw. Should a batch
+    hold more than ``hot_rows``, its rows are dealt over tasks instead, each of which
+    emits that batch's partial sum.
     """
     k, d = model.weight.shape
+    rows = df.select(
+        F.col(batch).cast("long").alias("b"),
+        F.col(x).cast("array<double>").alias("x"),
+        F.col(y).cast("int").alias("y"),
+    )
+    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(sizes.filter(F.col("n") > hot_rows).select(F.col("b").alias("h")))
+    deal = F.when(F.col("h").isNotNull(), F.pmod(F.xxhash64("x"), F.lit(HOT_TASKS)))
+    spread = (
+        rows.join(hot, F.col("b") == F.col("h"), "left")
+        .withColumn("s", F.coalesce(deal, F.lit(0)).cast("int"))
+        .select("b", "x", "y", "s", F.col("h").isNotNull().alias("hot"))
+    )
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = np.zeros(k * d + k)
-        current, running, n, done = None, np.zeros(k * d + k), 0, 0
-        for block in batches:
+    def partial(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = k * d + k
+        squares, done = np.zeros(size), 0
+        running, n, current, dealt = np.zeros(size), 0, None, False
+
+        def out(batch_id, count, values):
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([batch_id], pa.int64()), pa.array([count], pa.int64()),
+                    pa.array([values], pa.list_(pa.float64())),
+                ],
+                names=["b", "n", "part"],
+            )
+
+        for block in blocks:
             if block.num_rows == 0:
                 continue
             xs, ys = _matrix(block.column("x")), block.column("y").to_numpy()
             ids = block.column("b").to_numpy()
+            is_hot = block.column("hot").to_numpy(zero_copy_only=False)
             error = _softmax(xs @ model.weight.T + model.bias)
             error[np.arange(len(ys)), ys] -= 1.0
             edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
             for lo, hi in zip(edges[:-1], edges[1:]):
-                if ids[lo] != current:
-                    if n:
-                        squares += (running / n) ** 2
-                        done += 1
-                    current, running, n = ids[lo], np.zeros(k * d + k), 0
-                e = error[lo:hi]
-                running += np.concatenate([(e.T @ xs[lo:hi]).ravel(), e.sum(axis=0)])
-                n += hi - lo
-        if n:
-            squares += (running / n) ** 2
-            done += 1
+                if n and ids[lo] != current:
+                    if dealt:
+                        yield out(current, n, running)
+                    else:
+                        squares, done = squares + (running / n) ** 2, done + 1
+                    running, n = np.zeros(size), 0
+                current, dealt, e = ids[lo], bool(is_hot[lo]), error[lo:hi]
+                running = running + np.concatenate([(e.T @ xs[lo:hi]).ravel(), e.sum(axis=0)])
+                n += int(hi - lo)
+        if n and dealt:
+            yield out(current, n, running)
+        elif n:
+            squares, done = squares + (running / n) ** 2, done + 1
         if done:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([done], pa.int64()), pa.array([squares], pa.list_(pa.float64()))],
-                names=["batches", "part"],
-            )
+            yield out(None, done, squares)
 
-    rows = df.select(
-        F.col(batch).cast("long").alias("b"),
-        F.col(x).cast("array<double>").alias("x"),
-        F.col(y).cast("int").alias("y"),
-    )
     parts = (
-        rows.repartition("b").sortWithinPartitions("b")
-        .mapInArrow(partial, "batches long, part array<double>")
+        spread.repartition("b", "s").sortWithinPartitions("b")
+        .mapInArrow(partial, "b long, n long, part array<double>")
+    )
+    by_batch = (
+        parts.select("b", "n", F.posexplode("part").alias("pos", "value"))
+        .groupBy("b", "pos")
+        .agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     )
-    sums = (
-        parts.select("batches", F.posexplode("part").alias("pos", "value"))
-        .groupBy("pos")
-        .agg((F.sum("value") / F.sum("batches")).alias("value"))
+    # A whole batch's sum becomes its squared mean; the others are squared already.
+    mean = F.col("value") / F.col("n")
+    whole = F.col("b").isNotNull()
+    sums = by_batch.groupBy("pos").agg(
+        (
+            F.sum(F.when(whole, mean * mean).otherwise(F.col("value")))
+            / F.sum(F.when(whole, 1).otherwise(F.col("n")))
+        ).alias("value")
     )
     in_weight = F.col("pos") < k * d
     return sums.select(

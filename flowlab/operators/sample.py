@@ -291,5 +291,4 @@ def intake_guard(
     df: DataFrame, batch: str, position: str, rows: int = fixed.INTAKE_ROWS
 ) -> DataFrame:
     """The rows of each combined batch that are offered to the replay buffer."""
-    place = F.row_number().over(Window.partitionBy(batch).orderBy(position))
-    return df.withColumn("_place", place).filter(F.col("_place") <= rows).drop("_place")
+    return top_per_group(df, [batch], [F.col(position)], rows)

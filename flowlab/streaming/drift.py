@@ -132,8 +132,12 @@ def refit_on_drift(
     micro-batch and its number, which makes its output path repeatable.
     """
     def act(batch: DataFrame, number: int) -> None:
-        if not detector(batch).isEmpty():
-            refit(batch, number)
+        kept = batch.persist()
+        try:
+            if not detector(kept).isEmpty():
+                refit(kept, number)
+        finally:
+            kept.unpersist()
 
     return (
         rows.writeStream.foreachBatch(act)

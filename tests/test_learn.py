@@ -67,19 +67,20 @@ def test_clipping():
     assert learn.clip_norm(np.array([0.3, 0.4]), 1.0).tolist() == [0.3, 0.4]
 
 
-def test_fisher_equals_numpy(planted):
+@pytest.mark.parametrize("hot_rows", [10**6, 200, 1])
+def test_fisher_equals_numpy(planted, hot_rows):
+    """Batches of 50 rows and one of 300, which is dealt over tasks if it counts as hot."""
     df, x, y = planted
     model = learn.SoftmaxModel(np.ones((3, 4)) * [[0.1], [0.2], [0.3]], np.zeros(3))
-    batched = df.withColumn("batch", F.floor(F.col("id") / 50))
+    batched = df.withColumn("batch", F.least(F.floor(F.col("id") / 50), F.lit(6)))
     got = np.zeros(15)
-    for r in learn.fisher_diagonal(batched, model, "batch").collect():
+    for r in learn.fisher_diagonal(batched, model, "batch", hot_rows=hot_rows).collect():
         got[r["idx"] + (12 if r["key"] == "bias" else 0)] = r["value"]
     ones, total = np.hstack([x, np.ones((600, 1))]), 0
     error = softmax(x @ model.weight.T) - np.eye(3)[y]
-    for b in range(12):
-        part = slice(b * 50, b * 50 + 50)
-        total = total + (error[part].T @ ones[part] / 50) ** 2
-    expected = total / 12
+    for lo, hi in [*((b * 50, b * 50 + 50) for b in range(6)), (300, 600)]:
+        total = total + (error[lo:hi].T @ ones[lo:hi] / (hi - lo)) ** 2
+    expected = total / 7
     assert np.allclose(got[:12].reshape(3, 4), expected[:, :4]) and np.allclose(got[12:], expected[:, 4])
 
 
