@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 
 from flowlab import fixed
 from flowlab.operators.evaluate import evaluate
-from flowlab.operators.learn import SoftmaxModel, gradient_sums, prepare_rows, score
+from flowlab.operators.learn import (
+    SoftmaxModel,
+    gradient_sums,
+    group_sizes,
+    prepare_rows,
+    row_width,
+    score,
+)
 
 CLIENT_SCHEMA = "client int, n long, key string, idx int, value double"
 
@@ -26,10 +33,6 @@ class ClientFit:
     rows: int
 
 
-def client_sizes(rows: DataFrame) -> dict[int, int]:
-    return {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def fit_clients(
     rows: DataFrame,
     start: SoftmaxModel,
@@ -80,9 +83,8 @@ def run_rounds(
     rows = prepare_rows(train, x, y, group=client)
     held = test.select(F.col(x).cast("array<double>").alias("x"), F.col(y).alias("y_true")).persist()
     try:
-        features = len(rows.select("x").first()["x"])
-        model = SoftmaxModel.zeros(classes, features)
-        sizes = client_sizes(rows)
+        model = SoftmaxModel.zeros(classes, row_width(rows))
+        sizes = group_sizes(rows)
         log = []
         for number in range(1, rounds + 1):
             fits = fit_clients(rows, model, sizes, epochs, rate)

@@ -31,6 +31,10 @@ from flowlab.session import settle
 HOT_BATCH = 1_000_000
 HOT_TASKS = 256
 
+# Bytes of features per packed record: an Arrow batch of 10,000 records stays below 200 MB.
+BLOCK_BYTES = 16_384
+CHUNK_ROWS = 65_536
+
 PARAMETER_SCHEMA = "model string, key string, idx int, value double, trainable boolean"
 
 
@@ -137,8 +141,10 @@ def prepare_rows(
     weight: str | None = None,
     group: str | None = None,
 ) -> DataFrame:
-    """The columns a fit reads, kept for the steps to come.
+    """The columns a fit reads, packed for the steps to come and kept.
 
+    A step is dominated by moving rows to Python, so they are moved one by one only here:
+    each kept record ``(g, d, n, x, y, w)`` holds n rows of one group as raw numbers.
     Kept partitions spill to disk and are recomputed if an executor is lost.
     """
     rows = df.select(
@@ -147,7 +153,52 @@ def prepare_rows(
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
         (F.col(group).cast("int") if group else F.lit(0)).alias("g"),
     )
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    schema = "g int, d int, n int, x binary, y binary, w binary"
+    return rows.mapInArrow(_pack, schema).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        x, g = _matrix(batch.column("x")), batch.column("g").to_numpy()
+        y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+        width = x.shape[1]
+        step = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+        blocks = []
+        for group in np.unique(g):
+            at = np.flatnonzero(g == group)
+            blocks += [(group, at[i : i + step]) for i in range(0, len(at), step)]
+        raw = lambda values, dtype: pa.array(
+            [np.ascontiguousarray(values[at], dtype).tobytes() for _, at in blocks], pa.binary()
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(group) for group, _ in blocks], pa.int32()),
+                pa.array([width] * len(blocks), pa.int32()),
+                pa.array([len(at) for _, at in blocks], pa.int32()),
+                raw(x, np.float64), raw(y, np.int32), raw(w, np.float64),
+            ],
+            names=["g", "d", "n", "x", "y", "w"],
+        )
+
+
+def _numbers(column: pa.Array, dtype) -> np.ndarray:
+    """All values of a packed column in one array; the records lie next to each other."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(dtype)
+
+
+def row_width(rows: DataFrame) -> int:
+    """Number of features of prepared rows."""
+    return rows.select("d").first()["d"]
+
+
+def group_sizes(rows: DataFrame) -> dict[int, int]:
+    return {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
 
 def gradient_sums(
@@ -158,36 +209,42 @@ def gradient_sums(
     The gradient and loss cover the rows' cross-entropy and, with ``pull``, the
     distillation term (which is not class-weighted, so it needs unit weights).
     """
+    def add(acc: list, model: SoftmaxModel, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        z = x @ model.weight.T + model.bias
+        each = np.arange(len(y))
+        log_p = _log_softmax(z)
+        loss = -log_p[each, y]
+        error = np.exp(log_p)
+        error[each, y] -= 1.0
+        if pull is not None and pull.lwf_weight:
+            t = pull.temperature
+            old = _log_softmax((x @ pull.old.weight.T + pull.old.bias) / t)
+            new = _log_softmax(z / t)
+            error += pull.lwf_weight * t * (np.exp(new) - np.exp(old))
+            kl = (np.exp(old) * (old - new)).sum(axis=1)
+            loss = loss + pull.lwf_weight * t * t * kl
+        error *= w[:, None]
+        acc[0] += np.concatenate([(error.T @ x).ravel(), error.sum(axis=0)])
+        acc[1] += w.sum()
+        acc[2] += (w * loss).sum()
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x, y = _matrix(batch.column("x")), batch.column("y").to_numpy()
-            w, g = batch.column("w").to_numpy(), batch.column("g").to_numpy()
-            for group in np.unique(g):
-                here = g == group
-                model = models[int(group)]
-                xs, ys, ws = x[here], y[here], w[here]
-                z = xs @ model.weight.T + model.bias
-                each = np.arange(len(ys))
-                log_p = _log_softmax(z)
-                loss = -log_p[each, ys]
-                p = np.exp(log_p)
-                p[each, ys] -= 1.0
-                if pull is not None and pull.lwf_weight:
-                    t = pull.temperature
-                    old = _log_softmax((xs @ pull.old.weight.T + pull.old.bias) / t)
-                    new = _log_softmax(z / t)
-                    p += pull.lwf_weight * t * (np.exp(new) - np.exp(old))
-                    kl = (np.exp(old) * (old - new)).sum(axis=1)
-                    loss = loss + pull.lwf_weight * t * t * kl
-                error = p * ws[:, None]
-                flat = np.concatenate([(error.T @ xs).ravel(), error.sum(axis=0)])
-                acc = sums.setdefault(int(group), [np.zeros_like(flat), 0.0, 0.0])
-                acc[0] += flat
-                acc[1] += ws.sum()
-                acc[2] += (ws * loss).sum()
+            width = batch.column("d")[0].as_py()
+            x = _numbers(batch.column("x"), np.float64).reshape(-1, width)
+            y, w = _numbers(batch.column("y"), np.int32), _numbers(batch.column("w"), np.float64)
+            g = np.repeat(batch.column("g").to_numpy(), batch.column("n").to_numpy())
+            for lo in range(0, len(y), CHUNK_ROWS):
+                here = slice(lo, lo + CHUNK_ROWS)
+                present = np.unique(g[here])
+                for group in present:
+                    own = here if len(present) == 1 else lo + np.flatnonzero(g[here] == group)
+                    model = models[int(group)]
+                    acc = sums.setdefault(int(group), [np.zeros(model.flat().size), 0.0, 0.0])
+                    add(acc, model, x[own], y[own], w[own])
         for group, (flat, mass, loss) in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [
@@ -243,8 +300,7 @@ def fit_softmax(
     rows = prepare_rows(df, x, y, weight)
     try:
         if start is None:
-            features = len(rows.select("x").first()["x"])
-            start = SoftmaxModel.zeros(classes, features)
+            start = SoftmaxModel.zeros(classes, row_width(rows))
         fit = Fit(start.copy())
         for _ in range(steps):
             total, mass, loss = gradient_sums(rows, {0: fit.model}, pull)[0]
@@ -254,7 +310,7 @@ def fit_softmax(
                 gradient = gradient + pull.ewc_weight * 2.0 * pull.fisher * distance
                 value += pull.ewc_weight * float((pull.fisher * distance**2).sum())
             gradient = clip_norm(np.where(fit.model.mask(), gradient, 0.0), norm_limit)
-            fit.losses.append(value)
+            fit.losses.append(float(value))
             fit.model = fit.model.moved(-rate * gradient)
         return fit
     finally:

@@ -241,7 +241,7 @@ from s2 s join (select g, count(*) as n from clients group by g) c on c.g = s.g"
 def client_local_fit(spark, sf):
     kept = learn.prepare_rows(client_rows(spark, sf), group="client")
     start = learn.SoftmaxModel.zeros(CLASSES, WIDTH)
-    fits = federate.fit_clients(kept, start, federate.client_sizes(kept), 2, RATE)
+    fits = federate.fit_clients(kept, start, learn.group_sizes(kept), 2, RATE)
     kept.unpersist()
     return round_all(federate.client_table(spark, fits), "value")
 

@@ -141,7 +141,7 @@ def test_clients_equal_separate_fits_with_one_large_client(planted):
     df, x, y = planted
     clients = df.withColumn("client", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 3).cast("int"))
     kept = learn.prepare_rows(clients, group="client")
-    fits = federate.fit_clients(kept, learn.SoftmaxModel.zeros(3, 4), federate.client_sizes(kept), 3, 0.5)
+    fits = federate.fit_clients(kept, learn.SoftmaxModel.zeros(3, 4), learn.group_sizes(kept), 3, 0.5)
     ids = np.arange(600)
     owner = np.where(ids < 400, 0, ids % 3)
     for c in range(3):
