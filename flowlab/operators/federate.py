@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +54,12 @@ def fit_clients(
 
 def client_table(spark: SparkSession, fits: dict[int, ClientFit]) -> DataFrame:
     """Client parameters as rows ``(client, n, key, idx, value)``."""
-    rows = []
+    tables = []
     for client, fit in sorted(fits.items()):
-        for key, values in (("weight", fit.model.weight.ravel()), ("bias", fit.model.bias)):
-            rows += [(client, fit.rows, key, i, float(v)) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, CLIENT_SCHEMA)
+        part = fit.model.arrow().select(["key", "idx", "value"])
+        part = part.add_column(0, "n", pa.array([fit.rows] * len(part), pa.int64()))
+        tables.append(part.add_column(0, "client", pa.array([client] * len(part), pa.int32())))
+    return spark.createDataFrame(pa.concat_tables(tables), CLIENT_SCHEMA)
 
 
 def federated_average(clients: DataFrame) -> DataFrame:

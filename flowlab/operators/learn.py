@@ -75,21 +75,25 @@ class SoftmaxModel:
         out.trainable = np.concatenate([grid.ravel(), out.mask()[out.weight.size :]])
         return out
 
+    def arrow(self, name: str = "softmax") -> pa.Table:
+        """The parameters as rows ``(model, key, idx, value, trainable)``."""
+        flat, in_weight = self.flat(), np.arange(self.flat().size) < self.weight.size
+        index = np.arange(flat.size)
+        return pa.table({
+            "model": [name] * flat.size,
+            "key": np.where(in_weight, "weight", "bias"),
+            "idx": np.where(in_weight, index, index - self.weight.size).astype(np.int32),
+            "value": flat,
+            "trainable": self.mask(),
+        })
+
     def table(self, spark: SparkSession, name: str = "softmax") -> DataFrame:
-        """The parameter table, rows ``(model, key, idx, value, trainable)``."""
-        rows, mask = [], self.mask()
-        for i, value in enumerate(self.flat()):
-            in_weight = i < self.weight.size
-            rows.append(
-                (name, "weight" if in_weight else "bias",
-                 i if in_weight else i - self.weight.size, float(value), bool(mask[i]))
-            )
-        return spark.createDataFrame(rows, PARAMETER_SCHEMA)
+        return spark.createDataFrame(self.arrow(name), PARAMETER_SCHEMA)
 
     @classmethod
     def from_table(cls, table: DataFrame, classes: int) -> "SoftmaxModel":
         parts: dict[str, list] = {"weight": [], "bias": []}
-        for row in table.orderBy("key", "idx").collect():
+        for row in sorted(table.select("key", "idx", "value", "trainable").collect()):
             parts[row["key"]].append((row["value"], row["trainable"]))
         values = {k: np.array([v for v, _ in rows]) for k, rows in parts.items()}
         mask = np.array([t for k in ("weight", "bias") for _, t in parts[k]])
@@ -188,7 +192,8 @@ def _numbers(column: pa.Array, dtype) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
-    edges = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    edges = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(dtype)
 
 

@@ -83,6 +83,23 @@ def csv_by_mode(spark, sf):
     return flow_files.read_mode(spark, folder, "train", "multi", schema)
 
 
+@query("source_report", """
+select 'events' as name, 'found' as status, count(*) as rows from events
+union all select 'labels', 'found', count(*) from labels
+union all select 'absent', 'missing', 0
+""")
+def source_report(spark, sf):
+    out = None
+    for name in ("events", "labels", "absent"):
+        found = flow_files.source_status(spark, f"{sf}/{name}.parquet").first()["status"] == "found"
+        rows = table(spark, sf, name) if found else spark.range(0)
+        line = rows.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("name"), F.lit("found" if found else "missing").alias("status"), "rows"
+        )
+        out = line if out is None else out.union(line)
+    return out
+
+
 @query("described_source", "select l_orderkey, l_quantity, l_returnflag from lineitem")
 def described_source(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")

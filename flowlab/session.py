@@ -73,7 +73,7 @@ def settle(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     Beyond ``limit`` rows it is written to the shared folder instead and joined by
     whatever strategy its size calls for.
     """
-    rows = small_or_none(df, limit)
-    if rows is None:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return materialise(df, "settled")
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
