@@ -165,33 +165,40 @@ def exploded(df, key, source):
     )
 
 
-@query("gaf_image", """
-with v as (select vec_id, [x::double for x in embedding[1:8]] as e from embeddings),
-x as (select vec_id, unnest(range(1, 9)) as i, list_min(e) as lo, list_max(e) as hi, e from v),
-s as (select vec_id, i, case when hi > lo then (2 * e[i] - hi - lo) / (hi - lo) else 0 end as c from x)
-select a.vec_id, (a.i - 1)::int as i, (b.i - 1)::int as j,
-  round(a.c * b.c - sqrt(greatest(1 - a.c * a.c, 0)) * sqrt(greatest(1 - b.c * b.c, 0)), 6) + 0.0 as value
-from s a join s b on a.vec_id = b.vec_id
+# Each row's rescaled values ``c`` and their sines, by position.
+POLAR_SQL = """
+v as (select vec_id, [x::double for x in embedding] as e from embeddings),
+x as (select vec_id, unnest(range(1, 65)) as i, list_min(e) as lo, list_max(e) as hi, e from v),
+s as (select vec_id, i, case when hi > lo then (2 * e[i] - hi - lo) / (hi - lo) else 0 end as c from x),
+t as (select vec_id, sum(c) as sc, sum(sqrt(greatest(1 - c * c, 0))) as ss from s group by vec_id)
+"""
+
+
+def vector_images(spark, sf):
+    return encode.image(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+
+
+@query("gaf_image", f"with {POLAR_SQL}" + """
+select s.vec_id, (i - 1)::int as i, round(2 * c * c - 1, 6) + 0.0 as diagonal,
+  round(c * sc - sqrt(greatest(1 - c * c, 0)) * ss, 6) + 0.0 as row_sum,
+  round(c * c0 - sqrt(greatest(1 - c * c, 0)) * sqrt(greatest(1 - c0 * c0, 0)), 6) + 0.0 as first
+from s join t on t.vec_id = s.vec_id join (select vec_id, c as c0 from s where i = 1) z on z.vec_id = s.vec_id
 """)
 def gaf_image(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, 8).alias("x")
+    lines = vector_images(spark, sf).select("vec_id", F.posexplode("image").alias("i", "line"))
+    return lines.select(
+        "vec_id", "i", r6(F.get("line", F.col("i"))).alias("diagonal"),
+        r6(F.aggregate("line", F.lit(0.0), lambda acc, v: acc + v)).alias("row_sum"),
+        r6(F.get("line", F.lit(0))).alias("first"),
     )
-    images = exploded(encode.image(vectors, "x"), "vec_id", "image")
-    return images.withColumn("value", r6(F.col("value")))
 
 
-@query("gaf_image_full", """
-with v as (select vec_id, [x::double for x in embedding] as e from embeddings),
-x as (select vec_id, unnest(range(1, 65)) as i, list_min(e) as lo, list_max(e) as hi, e from v),
-s as (select vec_id, i, case when hi > lo then (2 * e[i] - hi - lo) / (hi - lo) else 0 end as c from x),
-t as (select vec_id, sum(c) as sc, sum(sqrt(greatest(1 - c * c, 0))) as ss from s group by vec_id)
+@query("gaf_image_full", f"with {POLAR_SQL}" + """
 select vec_id, 64 as side, round(sc * sc - ss * ss, 4) + 0.0 as mass from t
 """)
 def gaf_image_full(spark, sf):
-    images = encode.image(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
     summed = F.aggregate(F.flatten("image"), F.lit(0.0), lambda acc, v: acc + v)
-    return images.select(
+    return vector_images(spark, sf).select(
         "vec_id", F.size("image").alias("side"), (F.round(summed, 4) + F.lit(0.0)).alias("mass")
     )
 
@@ -212,31 +219,31 @@ def assemble_vector(spark, sf):
     )
 
 
-def shape_sql(length: int, rows: int) -> str:
-    width = length // rows
+def shape_sql(rows: int) -> str:
+    width = 64 // rows
     return f"""
-with v as (select vec_id, embedding[1:{length}] as e, unnest(range(0, {length})) as pos from embeddings)
+with v as (select vec_id, embedding as e, unnest(range(0, 64)) as pos from embeddings)
 select vec_id, (pos // {width})::int as i, (pos % {width})::int as j,
   round(e[pos + 1]::double, 6) + 0.0 as value from v
 """
 
 
-def shaped(spark, sf, length, rows):
+def shaped(spark, sf, rows):
     vectors = table(spark, sf, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, length).cast("array<double>").alias("v")
+        "vec_id", F.col("embedding").cast("array<double>").alias("v")
     )
     out = exploded(clean.reshape(vectors, "v", rows), "vec_id", "x")
     return out.withColumn("value", r6(F.col("value")))
 
 
-@query("reshape_sequence", shape_sql(60, 10))
+@query("reshape_sequence", shape_sql(16))
 def reshape_sequence(spark, sf):
-    return shaped(spark, sf, 60, 10)
+    return shaped(spark, sf, 16)
 
 
-@query("reshape_square", shape_sql(49, 7))
+@query("reshape_square", shape_sql(8))
 def reshape_square(spark, sf):
-    return shaped(spark, sf, 49, 7)
+    return shaped(spark, sf, 8)
 
 
 @query("feature_label_split", """

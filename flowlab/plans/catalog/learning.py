@@ -13,12 +13,12 @@ from flowlab.plans.catalog.registry import query, r6, round_all, table
 from flowlab.session import fresh_path
 from flowlab.sources import models
 
-WIDTH, CLASSES, RATE = 8, 3, 0.5
+WIDTH, CLASSES, RATE = 64, 3, 0.5
 
-# Eight dimensions of the embeddings and a label planted in them.
+# The embeddings and a label planted in them.
 ROWS_SQL = f"""
 rows as (
-  select vec_id as id, 0 as g, 1.0::double as w, list_append([v::double for v in embedding[1:{WIDTH}]], 1.0) as x,
+  select vec_id as id, 0 as g, 1.0::double as w, list_append([v::double for v in embedding], 1.0) as x,
     case when embedding[1] > 0.05 then 2 when embedding[2] > 0 then 1 else 0 end as y
   from embeddings)
 """
@@ -28,7 +28,7 @@ def rows(spark, sf):
     e = F.col("embedding")
     return table(spark, sf, "embeddings").select(
         "vec_id",
-        F.slice(e, 1, WIDTH).cast("array<double>").alias("x"),
+        e.cast("array<double>").alias("x"),
         F.when(e[0] > 0.05, 2).when(e[1] > 0, 1).otherwise(0).alias("y"),
         "embedding",
     )
@@ -321,10 +321,8 @@ def two_group_fit(spark, sf):
 
 @query("sequence_fit")
 def sequence_fit(spark, sf):
-    data = rows(spark, sf).select(
-        "vec_id", "y", F.slice("embedding", 1, 60).cast("array<double>").alias("v")
-    )
-    return fitted_metrics(reshape(data, "v", 10).drop("v"), ["x"])
+    data = rows(spark, sf).select("vec_id", "y", F.col("x").alias("v"))
+    return fitted_metrics(reshape(data, "v", 16).drop("v"), ["x"])
 
 
 @query("image_fit")
