@@ -58,7 +58,7 @@ def feature_label(df: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFr
 
 
 def vector(columns: Sequence[str]):
-    return F.array(*[F.col(c).cast("double") for c in columns])
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
 
 
 def semantic_groups(
@@ -109,7 +109,7 @@ def reorder_columns(
         )
 
     features = sorted((c for c in df.columns if c != label), key=block_of)
-    return df.select(*features, label)
+    return df.select(*[F.col(f"`{c}`") for c in [*features, label]])
 
 
 def reshape(df: DataFrame, source: str, rows: int, target: str = "x") -> DataFrame:

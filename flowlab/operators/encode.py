@@ -180,7 +180,12 @@ def encode_labels(
 ) -> tuple[DataFrame, DataFrame, OrdinalEncoder]:
     """Compact labels to 0..k-1 by the train set; a label only the test set has is an error."""
     encoder = OrdinalEncoder.fit(label, train)
-    foreign = unseen_labels(train, test, label).limit(20).collect()
+    if encoder.values is not None:
+        known = F.col(label).isin(*encoder.values)
+        unseen = test.filter(F.col(label).isNotNull() & ~known).select(label).distinct()
+    else:
+        unseen = unseen_labels(train, test, label)
+    foreign = unseen.limit(20).collect()
     if foreign:
         names = ", ".join(sorted(str(r[0]) for r in foreign))
         raise ValueError(f"labels of the test set unknown to the train set: {names}")
@@ -300,5 +305,5 @@ def image(df: DataFrame, source: str, target: str = "image") -> DataFrame:
 
 def assemble(df: DataFrame, columns: Sequence[str], target: str = "features") -> DataFrame:
     """Features as 32-bit floats, the precision models are fed with, in one vector."""
-    floats = F.array(*[F.col(c).cast(T.FloatType()).cast("double") for c in columns])
+    floats = F.array(*[F.col(f"`{c}`").cast(T.FloatType()).cast("double") for c in columns])
     return df.withColumn(target, array_to_vector(floats))

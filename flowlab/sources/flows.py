@@ -31,14 +31,20 @@ def read_csv(
     path: str,
     schema: T.StructType,
     na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS),
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file with header. Cells holding a missing-value token become null.
 
     Columns are read as text and then cast by the declared schema, so a token never
-    fails a numeric column, while other malformed numbers do.
+    fails a numeric column, while other malformed numbers do. ``multi_line`` admits line
+    breaks within quotes, at the price of one task per file.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+    raw = (
+        spark.read.schema(text)
+        .options(header=True, enforceSchema=False, escape='"', multiLine=multi_line)
+        .csv(path)
+    )
     known = lambda c: F.when(~c.isin(*na_tokens), c)
     return raw.select(
         *[known(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema]
@@ -85,7 +91,11 @@ def read_described(spark: SparkSession, data: str, description: str) -> tuple[Da
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """Header, no index, quotes doubled, white space kept."""
+    df.write.mode("overwrite").options(
+        header=True, emptyValue="", escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowlab import fixed
@@ -145,6 +144,13 @@ def test_csv_missing_tokens(spark, tmp_path):
     assert got[4][1] == 1.0
 
 
+@pytest.mark.parametrize("text", [" padded\t", 'a "quoted" word', "comma, here", "back\\slash", "-"])
+def test_csv_keeps_text_as_it_is(spark, tmp_path, text):
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, s string")
+    flow_files.write_csv(df, str(tmp_path / "t"))
+    assert rows(flow_files.read_csv(spark, str(tmp_path / "t"), df.schema)) == [(1, text), (2, None)]
+
+
 def test_described_source(spark, tmp_path):
     (tmp_path / "d.csv").write_text("srcip,sport,dur\n10.0.0.1,80,0.25\n")
     (tmp_path / "f.csv").write_text("No.,Name,Type\n1,srcip,nominal\n2,sport,integer\n3,Dur,Float\n")
