@@ -19,6 +19,9 @@ from flowlab.functions.cells import hash_order
 from flowlab.session import materialise, settle
 
 RANGE_DIGITS = 4
+# Counting per class: 4,096 ranges, each cut again if it holds more rows than this.
+CAP_DIGITS = 3
+SPLIT_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -172,6 +175,31 @@ def batch_number(
     return ranked.withColumn(target, number).drop("_rank")
 
 
+def _cut_ranges(rows: DataFrame, label: str, limit: Column, digits: int) -> DataFrame:
+    """Per class that exceeds its limit: the hash range the limit falls in.
+
+    ``rows`` holds ``_h`` and, in ``_before``, how many rows of the class precede these.
+    """
+    sizes = rows.groupBy(label, F.substring("_h", 1, digits).alias("_range")).agg(
+        F.count(F.lit(1)).alias("_size"), F.max("_before").alias("_before")
+    )
+    along = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("_size").over(along) + F.col("_before")
+    first = F.min(F.struct("_range", "_running", "_size"))
+    return settle(
+        sizes.withColumn("_running", running)
+        .filter(F.col("_running") >= limit)
+        .groupBy(F.col(label).alias("_class"))
+        .agg(first.alias("_cut"))
+        .select(
+            "_class",
+            F.col("_cut._range").alias("_last"),
+            (F.col("_cut._running") - F.col("_cut._size")).alias("_before"),
+            F.col("_cut._size").alias("_size"),
+        )
+    )
+
+
 def class_cap(
     df: DataFrame,
     label: str,
@@ -182,10 +210,11 @@ def class_cap(
 ) -> DataFrame:
     """Keep at most ``cap`` random rows per class; ``special`` sets other caps by class.
 
-    A first pass over label and key counts each class per hash range. It tells up to
-    which range a class can still be kept, so the second pass drops the rest before the
-    shuffle, and the ranking window of even a dominant class sees little more than its
-    cap. If ``df`` is costly to compute, materialise it first.
+    A first pass over label and key counts each class per hash range and tells in which
+    range a class reaches its cap. If that range is itself large, a second count splits
+    it. The last pass drops all that lies beyond before the shuffle, so the ranking
+    window of even a dominant class sees little more than its cap. If ``df`` is costly
+    to compute, materialise it first.
     """
     special = dict(special or {})
     limit = F.lit(cap)
@@ -193,21 +222,18 @@ def class_cap(
         limit = F.when(F.col(label) == value, other).otherwise(limit)
     largest = max([cap, *special.values()])
 
-    ordered = _with_order(df, key, seed)
-    sizes = ordered.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    running = F.sum("_size").over(
-        Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    last = settle(
-        sizes.withColumn("_running", running)
-        .filter(F.col("_running") >= limit)
-        .groupBy(F.col(label).alias("_class"))
-        .agg(F.min("_range").alias("_last"))
-    )
+    ordered = df.withColumn("_h", hash_order(F.col(key), seed))
+    same_class = F.col(label).eqNullSafe(F.col("_class"))
+    digits = CAP_DIGITS
+    cuts = _cut_ranges(ordered.withColumn("_before", F.lit(0)), label, limit, digits)
+    if (cuts.agg(F.max("_size")).first()[0] or 0) > SPLIT_ROWS:
+        at_cut = same_class & (F.substring("_h", 1, digits) == F.col("_last"))
+        digits *= 2
+        cuts = _cut_ranges(ordered.join(cuts, at_cut), label, limit, digits)
     near = (
-        ordered.join(last, F.col(label).eqNullSafe(F.col("_class")), "left")
-        .filter(F.col("_last").isNull() | (F.col("_range") <= F.col("_last")))
-        .drop("_class", "_last", "_range")
+        ordered.join(cuts.select("_class", "_last"), same_class, "left")
+        .filter(F.col("_last").isNull() | (F.substring("_h", 1, digits) <= F.col("_last")))
+        .drop("_class", "_last")
     )
     place = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
     capped = near.withColumn("_place", place).filter(F.col("_place") <= largest)

@@ -31,7 +31,10 @@ def brute_cap(rows, cap, special=None):
 
 
 @pytest.mark.parametrize("cap,special", [(1, None), (50, None), (50, {0: 700}), (100_000, None), (0, None)])
-def test_class_cap(skewed, cap, special):
+@pytest.mark.parametrize("split_rows", [1_000_000, 1])
+def test_class_cap(skewed, monkeypatch, cap, special, split_rows):
+    monkeypatch.setattr(sample, "SPLIT_ROWS", split_rows)
+    monkeypatch.setattr(sample, "CAP_DIGITS", 3 if split_rows > 1 else 1)
     rows = [tuple(r) for r in skewed.collect()]
     got = {tuple(r) for r in sample.class_cap(skewed, "label", "id", cap, special).collect()}
     assert got == brute_cap(rows, cap, special)
