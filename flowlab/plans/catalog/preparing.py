@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from flowlab import fixed
 from flowlab.functions import cells
 from flowlab.operators import clean, dedup, profile
-from flowlab.operators.sample import class_cap
+from flowlab.operators.sample import class_cap, replay_first
 from flowlab.plans import prep
 from flowlab.plans.catalog import inputs
 from flowlab.plans.catalog.registry import query, table
@@ -301,8 +301,6 @@ union all
 select event_id, event_type, 0 from events where event_id % 2 = 1
 """)
 def replay_append(spark, sf):
-    from flowlab.operators.sample import replay_first
-
     events = table(spark, sf, "events").select("event_id", "event_type", "ts")
     old, new = events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")
     buffer = replay_first(old, "event_type", ["ts", "event_id"])
