@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import quality_crf
+from flowlab.llm import jaccard_bayes, quality_crf
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -12,3 +12,8 @@ from flowlab.plans.catalog.registry import query, table
 def line_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_crf.rate(docs, quality_crf.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op4_jaccard_bayes")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_bayes.join_similar(table(spark, folder, "documents"))
