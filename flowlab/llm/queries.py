@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import jaccard_bayes, quality_crf
+from flowlab.llm import bpe_duck, jaccard_bayes, quality_crf, secret_lexer
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -17,3 +18,15 @@ def line_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_jaccard_bayes")
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_bayes.join_similar(table(spark, folder, "documents"))
+
+
+@query("op9_bpe_duckdb")
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_duck.encode(table(spark, folder, "documents"), ranks, pattern)
+    return bpe_duck.digests(bpe_duck.decode(encoded, ranks, pattern))
+
+
+@query("op10_secret_lexer")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_lexer.find(table(spark, folder, "documents"))
