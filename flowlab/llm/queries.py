@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, quality_crf, secret_lexer
+from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, quality_crf, secret_lexer
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -30,3 +30,8 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secret_lexer")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_lexer.find(table(spark, folder, "documents"))
+
+
+@query("op5_mixture_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_mixture.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 SPACES = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
 _PAIRS = [c + " " for c in SPACES]
 #: Pieces that a worker keeps.
-KEPT = 300_000
+KEPT = 700_000
 
 
 class Coder:
