@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, quality_crf, secret_lexer
+from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, quality_crf, secret_lexer, warc
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -35,3 +35,8 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_mixture_packing")
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_mixture.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_warc_segments")
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
