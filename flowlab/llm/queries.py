@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, quality_crf, secret_lexer, warc
+from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, warc
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -40,3 +40,8 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_warc_segments")
 def archives(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op7_pstable_vectors")
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, folder, "embeddings"))
