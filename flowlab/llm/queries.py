@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, warc
+from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, warc, weak_labels
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -45,3 +45,10 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pstable_vectors")
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return pstable.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op3_weak_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    _, _, classifier = weak_labels.fit(docs, table(spark, folder, "labels"))
+    return weak_labels.score(docs, classifier)
