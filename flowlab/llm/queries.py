@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, warc, weak_labels
+from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, seed_extend, suffix_dcx, warc, weak_labels
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -15,21 +15,21 @@ def line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_crf.rate(docs, quality_crf.fit(docs, table(spark, folder, "labels")))
 
 
-@query("op4_jaccard_bayes")
-def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_bayes.join_similar(table(spark, folder, "documents"))
+@query("op2_warc_segments")
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
 
 
-@query("op9_bpe_duckdb")
-def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_duck.encode(table(spark, folder, "documents"), ranks, pattern)
-    return bpe_duck.digests(bpe_duck.decode(encoded, ranks, pattern))
+@query("op3_weak_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    _, _, classifier = weak_labels.fit(docs, table(spark, folder, "labels"))
+    return weak_labels.score(docs, classifier)
 
 
-@query("op10_secret_lexer")
-def secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_lexer.find(table(spark, folder, "documents"))
+@query("op4_jaccard_bayes")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_bayes.join_similar(table(spark, folder, "documents"))
 
 
 @query("op5_mixture_packing")
@@ -37,9 +37,9 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_mixture.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op2_warc_segments")
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.round_trip(table(spark, folder, "pages"))
+@query("op6_seed_extend")
+def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
+    return seed_extend.repeats(table(spark, folder, "documents"))
 
 
 @query("op7_pstable_vectors")
@@ -47,8 +47,18 @@ def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return pstable.near_vectors(table(spark, folder, "embeddings"))
 
 
-@query("op3_weak_toxicity")
-def toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    _, _, classifier = weak_labels.fit(docs, table(spark, folder, "labels"))
-    return weak_labels.score(docs, classifier)
+@query("op8_suffix_dc")
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dcx.repeats(table(spark, folder, "documents"))
+
+
+@query("op9_bpe_duckdb")
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_duck.encode(table(spark, folder, "documents"), ranks, pattern)
+    return bpe_duck.digests(bpe_duck.decode(encoded, ranks, pattern))
+
+
+@query("op10_secret_lexer")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_lexer.find(table(spark, folder, "documents"))

@@ -68,6 +68,7 @@ class Rolling:
     """Polynomial hashes modulo 2**64 of any stretch, from one prefix sum."""
 
     def __init__(self, base: int):
+        # A copy travels with every pickled function, so powers are made where they are missing.
         self.base, self.inverse = U64(base), U64(pow(base, -1, 2**64))
         self.up = self.down = np.ones(1, U64)
 
@@ -86,6 +87,7 @@ class Rolling:
         return out
 
     def between(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers(len(prefix))
         return (prefix[ends] - prefix[starts]) * self.down[starts]
 
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
@@ -93,6 +95,7 @@ class Rolling:
         n = len(prefix) - 1 - width + 1
         if n <= 0:
             return np.zeros(0, U64)
+        self._powers(len(prefix))
         return (prefix[width:] - prefix[:n]) * self.down[:n]
 
 
