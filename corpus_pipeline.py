@@ -1,15 +1,16 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's documents.
+and read again as the next one's documents. All but the last return the columns they got.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from flowlab.llm import quality_crf
+from flowlab.llm import jaccard_bayes, pack_mixture, quality_crf, secret_lexer, suffix_dcx
+from flowlab.plans.catalog.registry import query
 from flowlab.session import materialise
 from flowlab.sources.tables import table
 
@@ -19,17 +20,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_crf.keep(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return jaccard_bayes.keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that repeat go; a document stays while anything of it is left."""
+    return suffix_dcx.strip(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return secret_lexer.mask(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in the packed sequences."""
+    return pack_mixture.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("suffix-array dedup", suffix_dedup),
+    ("secret scans", secret_scans),
+    ("packing", packing),
 ]
 
+#: The stages are models and searches that SQL does not express; the tests compare with brute force.
+ORACLE_SQL = None
 
+
+@query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-#: The stages are models and searches that SQL does not express; the tests compare with brute force.
-ORACLE_SQL = None

@@ -72,13 +72,16 @@ Units = Callable[[Slice], tuple[np.ndarray, np.ndarray]]
 _ANCHOR = np.dtype([("key", "<u8"), ("low", "<i4"), ("high", "<i4"), ("place", "<i4")])
 
 
+def halves() -> list[Column]:
+    """a and b: 120 bits of a digest of column ``text``, a null text being empty."""
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return [F.conv(F.substring(digest, k, 15), 16, 10).cast("long").alias(c) for k, c in ((1, "a"), (17, "b"))]
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, a, b): a null text becomes empty; a and b are 128 bits of a digest of the text."""
-    digest = F.md5(F.col("text").cast("binary"))
-    half = lambda k: F.conv(F.substring(digest, k, 15), 16, 10).cast("long")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).select("doc_id", "text", half(1).alias("a"), half(17).alias("b"))
+    """(doc_id, text, a, b): a null text becomes empty; a and b name the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *halves())
 
 
 def sketches(docs: DataFrame, units: Units, k: int, window: int, whole: Callable[[Slice], list[str]]) -> DataFrame:

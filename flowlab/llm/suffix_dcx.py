@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.anchors import HOT, flagged_runs, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
+from flowlab.llm.anchors import HOT, flagged_runs, halves, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
 from flowlab.llm.text import BYTES, U64, Slice, byte_prefix, scramble, text_slices
 from flowlab.session import materialise
 
@@ -181,7 +181,7 @@ def _repeated(stretches: DataFrame, window: int) -> DataFrame:
 
 
 def _removed(found: DataFrame) -> DataFrame:
-    """(a, b, n_removed, n_spans, digest, kept): what is left of each text."""
+    """(a, b, n_removed, n_spans, digest, kept): what is left of each text; ``kept`` without cut characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -193,39 +193,58 @@ def _removed(found: DataFrame) -> DataFrame:
                     kept.append(raw[at:x])
                     at = y
                 kept = b"".join([*kept, raw[at : part.at[i + 1]]])
-                rows.append((int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((int((gone[:, 1] - gone[:, 0]).sum()), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.rows.column("a"), part.rows.column("b"), *columns], ["a", "b", "n_removed", "n_spans", "digest", "kept"])
 
-    return found.mapInArrow(run, "a long, b long, n_removed long, n_spans long, digest string, kept binary")
+    return found.mapInArrow(run, "a long, b long, n_removed long, n_spans long, digest string, kept string")
 
 
-def repeats(docs: DataFrame, window: int = LEAST_BYTES, hot: int = HOT, with_bytes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and ``kept`` if asked for
-    (the bytes left of a changed text, null for an unchanged one).
-
-    Shuffled are anchors, the texts once, and the stretches around shared anchors. A task
-    holds whole anchors of at most about TASK_BYTES, or one anchor; a hot anchor's stretches are
-    spread by content, and equal stretches are sorted once.
-    """
-    if window < SEED + 1 or window <= STEP:
+def _found(docs: DataFrame, window: int, hot: int, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows; (a, b, n_removed, n_spans, digest) of changed texts; (a, b) of long texts on several rows."""
+    if window <= SEED:
         raise ValueError(f"windows must be longer than {SEED} bytes")
     sketch = materialise(sketches(docs, _units, SEED, window, _whole), "sketches")
     texts = sharing_texts(docs, sketch, F.col("least") < F.col("most"), hot)
     changed = _removed(with_spans(texts, _repeated(_stretches(texts, window), window)))
-    changed = materialise(changed if with_bytes else changed.drop("kept"), "changed")
+    changed = materialise(changed if with_text else changed.drop("kept"), "changed")
     copies = sketch.where(F.col("n") >= window).groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1")
-    joined = sketch.join(changed, ["a", "b"], "left").join(materialise(copies, "copies"), ["a", "b"], "left")
+    return sketch, changed, materialise(copies, "copies")
+
+
+def repeats(docs: DataFrame, window: int = LEAST_BYTES, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    Shuffled are anchors, the texts once, and the stretches around shared anchors. A task
+    holds whole anchors of at most about TASK_BYTES, or one anchor; a hot anchor's stretches are
+    spread by content, and equal stretches are sorted once.
+    """
+    sketch, changed, copies = _found(docs, window, hot, with_text=False)
+    joined = sketch.join(changed, ["a", "b"], "left").join(copies, ["a", "b"], "left")
     copied, hit = F.col("copies").isNotNull(), F.col("n_removed").isNotNull()
     nothing = hashlib.sha256(b"").hexdigest()
-    out = [
+    return joined.select(
         "doc_id",
         F.col("n").alias("n_bytes"),
         F.when(copied, F.col("n")).when(hit, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"),
         F.when(copied, F.lit(1)).when(hit, F.col("n_spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(copied, F.lit(nothing)).when(hit, F.col("digest")).otherwise(F.col("whole")).alias("kept_sha256"),
-    ]
-    left = F.when(copied, F.lit("").cast("binary")).when(hit, F.col("kept")).alias("kept")
-    return joined.select(*out, *(["a", "b", left] if with_bytes else []))
+    )
+
+
+def strip(docs: DataFrame, window: int = LEAST_BYTES, hot: int = HOT) -> DataFrame:
+    """``docs`` without the repeated bytes in ``text`` and without rows of which nothing is left.
+
+    Bytes of a cut character go with it. ``n_chars``, if there, follows a changed text.
+    """
+    _, changed, copies = _found(docs, window, hot, with_text=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *halves())
+    joined = rows.join(changed.select("a", "b", "kept"), ["a", "b"], "left").join(copies, ["a", "b"], "left")
+    whole, kept = F.col("copies").isNotNull(), F.col("kept")
+    joined = joined.where(~whole & (kept.isNull() | (kept != "")))
+    new = {"text": F.coalesce(kept, F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNull(), F.col("row.n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
