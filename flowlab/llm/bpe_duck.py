@@ -32,7 +32,7 @@ SHORT = 64
 #: Bytes of words that one query takes, and rows that one recursion may keep.
 QUERY_BYTES = 1 << 20
 KEPT_ROWS = 4 << 20
-MEMORY = "400MB"
+MEMORY = "300MB"
 
 # pos counts a word's tokens from 0 in every round; rank * 65536 + pos orders pairs by rank, then place.
 _SHORT = """
@@ -245,18 +245,26 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with ids and decoded bytes."""
+def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
+    written = " ".join(map(str, ids)).encode()
+    return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every document encoded, its ids decoded, both digested.
+
+    :func:`encode` and :func:`decode` in one pass, so that one codec serves both and no ids
+    leave the worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for ids, decoded in zip(batch.column("ids"), batch.column("decoded"), strict=True):
-                ids = ids.values.to_pylist() if ids.is_valid else []
-                written = " ".join(map(str, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded.as_py()).hexdigest()))
-            if rows:
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        use = codec(rank_file, pattern)
+        for part in text_slices(batches, limit=2 << 20):
+            ids = use.encode(_texts(part))
+            rows = [_digest(i.tolist(), d) for i, d in zip(ids, use.decode(ids), strict=True)]
+            types = (pa.int64(), pa.string(), pa.string())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -55,8 +55,7 @@ def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_bpe_duckdb")
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_duck.encode(table(spark, folder, "documents"), ranks, pattern)
-    return bpe_duck.digests(bpe_duck.decode(encoded, ranks, pattern))
+    return bpe_duck.round_trip(table(spark, folder, "documents"), ranks, pattern)
 
 
 @query("op10_secret_lexer")
