@@ -174,21 +174,48 @@ def key_chunks(batches: Iterator[pa.RecordBatch], limit: int, weight: Callable[[
         yield pa.Table.from_batches(held)
 
 
-def flagged_runs(flags: np.ndarray, cuts: np.ndarray, low: np.ndarray, window: int) -> tuple[np.ndarray, list[bytes]]:
-    """Rows with a flagged window, and for each the packed units [from, to) that its flagged windows cover."""
+OWNER = np.dtype([("a", "<i8"), ("b", "<i8"), ("low", "<i4")])
+
+
+def combined(key: np.ndarray, parts: list[bytes], owners: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Equal parts of one key as one row with all its owners: what repeats in a slice moves once."""
+    rows: dict[tuple[int, bytes], list[int]] = {}
+    for i, row in enumerate(zip(key.tolist(), parts, strict=True)):
+        rows.setdefault(row, []).append(i)
+    packed = [owners[i].tobytes() for i in rows.values()]
+    keys, values = zip(*rows, strict=True) if rows else ((), ())
+    return pa.array(keys, pa.int64()), pa.array(values, pa.binary()), pa.array(packed, pa.binary())
+
+
+def flagged_spans(flags: np.ndarray, cuts: np.ndarray, owners: list[bytes], window: int) -> pa.RecordBatch:
+    """(a, b, spans): for each owner of a row, the packed units [from, to) that the row's flagged windows cover.
+
+    Row i has the windows cuts[i] to cuts[i + 1]; every owner holds it, each at a place of its own.
+    """
     edge = np.diff(flags.astype(np.int8), prepend=0)
-    edge[cuts[:-1]] = flags[cuts[:-1]]
+    starts = cuts[:-1][cuts[:-1] < cuts[1:]]
+    edge[starts] = flags[starts]
     begin = np.flatnonzero(edge == 1)
-    stops = np.append(~flags[1:], True) if len(flags) else flags
-    if len(flags):
-        stops[cuts[1:] - 1] = True
-    end = np.flatnonzero(flags & stops)
+    last = np.append(~flags[1:], True)[: len(flags)]
+    last[cuts[1:][cuts[:-1] < cuts[1:]] - 1] = True
+    end = np.flatnonzero(flags & last)
     row = np.searchsorted(cuts, begin, "right") - 1
-    spans = np.empty((len(begin), 2), np.int32)
-    spans[:, 0], spans[:, 1] = begin - cuts[row] + low[row], end - cuts[row] + low[row] + window
-    rows, first = np.unique(row, return_index=True)
-    parts = np.append(first, len(row)).tolist()
-    return rows, [spans[x:y].tobytes() for x, y in zip(parts, parts[1:], strict=False)]
+    flat = np.frombuffer(b"".join(owners), OWNER)
+    sizes = np.array([len(o) // OWNER.itemsize for o in owners], np.int64)
+    first = np.cumsum(sizes) - sizes
+    times = sizes[row]
+    span = np.repeat(np.arange(len(row)), times)
+    own = flat[np.repeat(first[row], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    spans = np.empty((len(span), 2), np.int32)
+    spans[:, 0] = begin[span] - cuts[row[span]] + own["low"]
+    spans[:, 1] = end[span] - cuts[row[span]] + own["low"] + window
+    order = np.lexsort((own["b"], own["a"]))
+    own, spans = own[order], spans[order]
+    new = np.append(True, (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1]))[: len(own)]
+    heads = np.flatnonzero(new)
+    parts = [spans[x:y].tobytes() for x, y in zip(heads.tolist(), np.append(heads[1:], len(own)).tolist(), strict=True)]
+    columns = [pa.array(own[c][heads].copy()) for c in ("a", "b")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["a", "b", "spans"])
 
 
 def merged(spans: list[bytes]) -> np.ndarray:

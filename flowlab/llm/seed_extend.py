@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.anchors import HOT, flagged_runs, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
+from flowlab.llm.anchors import HOT, OWNER, combined, flagged_spans, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
 from flowlab.llm.text import U64, WORDS, Slice, scramble, text_slices, word_bounds, word_hashes
 from flowlab.session import materialise
 
@@ -48,9 +48,10 @@ def _whole(part: Slice) -> list[str]:
 
 
 def _extended(texts: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, a, b, low, hashes): the hash of each window around each seed, packed.
+    """(key, hashes, owners): the hash of each window around each seed, packed, and where in the document it is.
 
-    A hot seed's windows are dealt one by one, by their own content.
+    A hot seed's windows are dealt one by one, by their own content. The first packed number
+    is the document's id, so that a row is one document's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,41 +61,44 @@ def _extended(texts: DataFrame, window: int) -> DataFrame:
             seeds, at = seed_arrays(part.rows.column("seeds"))
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
             low, high, hot = seeds["low"] + first[text], seeds["high"] + first[text], seeds["hot"].astype(bool)
-            own = [part.rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "a", "b")]
+            ids = part.rows.column("doc_id").to_numpy().tolist()
+            doc = [np.int64(i).tobytes() for i in ids]
             calm = ~hot
-            packed = [hashes[x : y + 1].tobytes() for x, y in zip(low[calm].tolist(), high[calm].tolist(), strict=True)]
+            packed = [doc[t] + hashes[x : y + 1].tobytes() for t, x, y in zip(text[calm].tolist(), low[calm].tolist(), high[calm].tolist(), strict=True)]
             sizes = (high - low + 1)[hot]
             each = np.repeat(low[hot], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             owner = np.repeat(text[hot], sizes)
-            key = np.concatenate([seeds["key"][calm], hashes[each].view(np.int64)])
+            packed += [doc[t] + h.tobytes() for t, h in zip(owner.tolist(), hashes[each], strict=True)]
+            key = np.concatenate([seeds["key"][calm].astype(np.int64), hashes[each].view(np.int64)])
             rows = np.concatenate([text[calm], owner])
-            place = np.concatenate([seeds["low"][calm], each - first[owner]]).astype(np.int32)
-            packed += [h.tobytes() for h in hashes[each]]
-            columns = [pa.array(key.astype(np.int64)), *(pa.array(c[rows], pa.int64()) for c in own), pa.array(place), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "a", "b", "low", "hashes"])
+            owners = np.empty(len(rows), OWNER)
+            owners["a"], owners["b"] = (part.rows.column(c).to_numpy()[rows] for c in ("a", "b"))
+            owners["low"] = np.concatenate([seeds["low"][calm], each - first[owner]])
+            yield pa.RecordBatch.from_arrays([*combined(key, packed, owners)], ["key", "hashes", "owners"])
 
-    return texts.mapInArrow(run, "key long, doc_id long, a long, b long, low int, hashes binary")
+    return texts.mapInArrow(run, "key long, hashes binary, owners binary")
 
 
 def _repeated(windows: DataFrame, window: int) -> DataFrame:
-    """(a, b, spans) of the runs with windows that a smaller document has too."""
+    """(a, b, spans) of the texts with windows that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_chunks(batches, 1 << 20, lambda b: b.column("hashes").nbytes // 8):
             packed = table.column("hashes").to_pylist()
-            hashes = np.frombuffer(b"".join(packed), U64)
+            numbers = np.frombuffer(b"".join(packed), U64)
             sizes = np.array([len(p) // 8 for p in packed], np.int64)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            doc = np.repeat(table.column("doc_id").to_numpy(), sizes)
+            head = np.cumsum(sizes) - sizes
+            real = np.ones(len(numbers), bool)
+            real[head] = False
+            hashes = numbers[real]
+            cuts = np.concatenate([[0], np.cumsum(sizes - 1)])
+            doc = np.repeat(numbers[head].view(np.int64), sizes - 1)
             order = np.argsort(hashes, kind="stable")
             new = np.append(True, hashes[order][1:] != hashes[order][:-1])
             least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
             flags = np.empty(len(hashes), bool)
             flags[order] = doc[order] > least[np.cumsum(new) - 1]
-            rows, spans = flagged_runs(flags, cuts, table.column("low").to_numpy(), window)
-            chosen = table.select(["a", "b"]).take(pa.array(rows)).combine_chunks()
-            columns = [pa.array(chosen.column(c).to_numpy()) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.binary())], ["a", "b", "spans"])
+            yield flagged_spans(flags, cuts, table.column("owners").to_pylist(), window)
 
     return windows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, spans binary")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.anchors import HOT, flagged_runs, halves, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
+from flowlab.llm.anchors import HOT, OWNER, combined, flagged_spans, halves, key_chunks, merged, seed_arrays, sharing_texts, sketches, with_spans
 from flowlab.llm.text import BYTES, U64, Slice, byte_prefix, scramble, text_slices
 from flowlab.session import materialise
 
@@ -86,11 +86,14 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(stretches: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows of all stretches in turn, whether one also starts elsewhere, and where each stretch's begin."""
+def repeated_windows(stretches: list[bytes], holders: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of all stretches in turn, whether one also starts elsewhere, and where each stretch's begin.
+
+    ``holders``: at how many places each stretch stands.
+    """
     distinct: dict[bytes, int] = {}
     which = [distinct.setdefault(s, len(distinct)) for s in stretches]
-    times = np.bincount(which, minlength=len(distinct))
+    times = np.bincount(which, holders, len(distinct))
     sizes = np.array([len(s) for s in distinct], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8)
@@ -129,7 +132,7 @@ def _whole(part: Slice) -> list[str]:
 
 
 def _stretches(texts: DataFrame, window: int) -> DataFrame:
-    """(key, a, b, low, stretch): the bytes that the windows around each seed cover.
+    """(key, stretch, owners): the bytes that the windows around each seed cover, and whose they are.
 
     A hot anchor's windows are dealt in groups of STEP places, by the bytes that all windows
     of the group hold; equal windows still meet, and nothing else needs to.
@@ -160,22 +163,23 @@ def _stretches(texts: DataFrame, window: int) -> DataFrame:
                 text = np.concatenate([text[calm], text[source]])
             raw = part.data.tobytes()
             parts = [raw[x : y + window] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
-            own = [pa.array(part.rows.column(c).to_numpy()[text]) for c in ("a", "b")]
-            columns = [pa.array(key), *own, pa.array((low - part.at[text]).astype(np.int32)), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b", "low", "stretch"])
+            owners = np.empty(len(text), OWNER)
+            owners["a"], owners["b"] = (part.rows.column(c).to_numpy()[text] for c in ("a", "b"))
+            owners["low"] = low - part.at[text]
+            yield pa.RecordBatch.from_arrays([*combined(key, parts, owners)], ["key", "stretch", "owners"])
 
-    return texts.mapInArrow(run, "key long, a long, b long, low int, stretch binary")
+    return texts.mapInArrow(run, "key long, stretch binary, owners binary")
 
 
 def _repeated(stretches: DataFrame, window: int) -> DataFrame:
-    """(a, b, spans) of the stretches with repeated windows."""
+    """(a, b, spans) of the texts with repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_chunks(batches, TASK_BYTES, lambda b: b.column("stretch").nbytes):
-            flags, cuts = repeated_windows(table.column("stretch").to_pylist(), window)
-            rows, spans = flagged_runs(flags, cuts, table.column("low").to_numpy(), window)
-            chosen = [pa.array(table.column(c).to_numpy()[rows]) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*chosen, pa.array(spans, pa.binary())], ["a", "b", "spans"])
+            owners = table.column("owners").to_pylist()
+            holders = np.array([len(o) // OWNER.itemsize for o in owners])
+            flags, cuts = repeated_windows(table.column("stretch").to_pylist(), holders, window)
+            yield flagged_spans(flags, cuts, owners, window)
 
     return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, spans binary")
 
