@@ -1,12 +1,12 @@
 """Toxicity by weak supervision.
 
 Lexicon and pattern voters look at every text. A generative label model, fitted to the
-counts of all vote patterns without labels, estimates how often each voter fires on either
+counts of all vote patterns, estimates how often each voter fires on either
 class and which voters fire together (a tree of dependences in each class), and gives every
 pattern its posterior. A linear classifier is trained on posterior labels, and scores.
 
-Labels serve only to find words and stems for the lexicon voters, and only those of rows
-that are not held out. Cases: a null text is empty and scores like one; null or conflicting
+Labels serve only to find words and stems for the lexicon voters and to say which class is
+which in the label model, and only those of rows that are not held out. Cases: a null text is empty and scores like one; null or conflicting
 labels are left out; without labels the fixed lexicon and the patterns vote alone, and
 without any pattern that looks toxic every score is the floor. Rows are scored one by one,
 so repeated rows score alike; a null doc_id is scored, never learned from, and not held out.
@@ -35,91 +35,133 @@ LEXICON = frozenset(
 PREDICTED_FROM = 0.3
 #: At most so many labelled rows of either class serve to find words and stems, and at most so
 #: many rows of either side of the posterior to train the classifier; each of at most FIT_BYTES.
-FIT_DOCS = 1500
-TRAIN_DOCS = 2000
+FIT_DOCS = 3000
+TRAIN_DOCS = 3000
 FIT_BYTES = 20_000
-#: A word or stem is taken up if this share of the weighted rows it occurs in is toxic.
-LEAST_SHARE = 0.95
+#: A word or stem is taken up if its rate in toxic rows exceeds that in clean ones by so many
+#: standard errors, and it is this many times as frequent.
+LEAST_Z = 6.0
+LEAST_RATIO = 9.0
 LEAST_ROWS = 5
-#: and it occurs in at least this part of the toxic rows; rarer ones are mostly chance.
-LEAST_PART = 0.025
-WORD_VOTERS, STEM_VOTERS = 4, 6
+#: Voters for each of: whole words, stems, stems of two or more words of a text.
+DEALT = (3, 4, 4)
 STEMS = (4, 5, 6)
 FEATURES = 4096
+PENALTY = 5e-5
+#: Weight of the labelled rows in the label model, against all rows.
+ANCHOR = 1.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"!{2,}")
 _ADDRESS = re.compile(r"\b(?:you|your|du|dein|ihr|tu|toi|vous|tú|usted)\b(?: \w+){0,2} (?:are|is|bist|seid|es|êtes|eres)\b", re.IGNORECASE)
 
-#: A feature is (length of the stem or 0 for a whole word, characters).
-Feature = tuple[int, str]
+#: A feature is (length of the stem or 0 for a whole word, characters, words needed: 1 or 2).
+Feature = tuple[int, str, int]
 
 
-def features(text: str) -> set[Feature]:
-    words = set(_WORD.findall(text.lower()))
-    found = {(0, w) for w in words}
+def _counted(words: set[str]) -> Counter[tuple[int, str]]:
+    found = Counter((0, w) for w in words)
     for n in STEMS:
         found.update((n, w[:n]) for w in words if len(w) >= n)
     return found
 
 
+def features(text: str) -> set[Feature]:
+    """Words, stems, and stems that several different words share."""
+    return {(n, s, k) for (n, s), times in _counted(set(_WORD.findall(text.lower()))).items() for k in (1, 2) if times >= k}
+
+
+def present(words: set[str], known: dict[int, set[str]]) -> Counter[tuple[int, str]]:
+    """The known words and stems of a text, and in how many of its words each is."""
+    found = Counter((0, w) for w in words & known.get(0, set()))
+    for n in STEMS:
+        some = known.get(n)
+        if some:
+            found.update((n, s) for w in words if (s := w[:n]) in some)
+    return found
+
+
+def _known(chosen) -> dict[int, set[str]]:
+    by: dict[int, set[str]] = {}
+    for n, s, _ in chosen:
+        by.setdefault(n, set()).add(s)
+    return by
+
+
 @dataclass(frozen=True)
 class Voters:
     """Numbered voters; each fires or not, so a document's votes are the bits of one number."""
 
-    words: list[frozenset[str]] = field(default_factory=list)
-    stems: list[dict[int, frozenset[str]]] = field(default_factory=list)
+    lists: list[frozenset[Feature]] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "known", _known(f for group in self.lists for f in group))
+        object.__setattr__(self, "voter", {f: k for k, group in enumerate(self.lists) for f in group})
 
     @property
     def n(self) -> int:
-        return len(self.words) + len(self.stems) + 5
+        return len(self.lists) + 4
 
     def votes(self, text: str) -> int:
         words = set(_WORD.findall(text.lower()))
-        stems = {n: {w[:n] for w in words if len(w) >= n} for n in STEMS}
-        fires = [not words.isdisjoint(s) for s in self.words]
-        fires += [any(not stems[n].isdisjoint(s) for n, s in group.items()) for group in self.stems]
+        fires = [False] * len(self.lists)
+        for (n, s), times in present(words, self.known).items():
+            for k in (1, 2):
+                if times >= k and (n, s, k) in self.voter:
+                    fires[self.voter[n, s, k]] = True
         lexical = words & LEXICON
         fires += [bool(lexical), len(lexical) > 1, bool(_SHOUT.search(text)), bool(_ADDRESS.search(text))]
-        fires.append(not any(fires) and len(words) > 0)  # nothing suspicious at all
         return sum(1 << k for k, f in enumerate(fires) if f)
 
 
+def _telling(toxic: Counter, clean: Counter, n1: float, n0: float, ratio: float) -> list[Feature]:
+    """Features that toxic rows have far more often than chance allows, the most telling first."""
+    found = []
+    for f, n in toxic.items():
+        p1, p0 = n / n1, (clean[f] + 0.5) / n0
+        p = (n + clean[f] + 0.5) / (n1 + n0)
+        z = (p1 - p0) / np.sqrt(p * (1 - min(p, 0.999)) * (1 / n1 + 1 / n0))
+        if n >= LEAST_ROWS and z >= LEAST_Z and p1 >= ratio * p0:
+            found.append((-z, f))
+    return [f for _, f in sorted(found)]
+
+
 def induce(rows: list[tuple[int, set[Feature]]]) -> Voters:
-    """Lexicon voters from labelled rows: words and stems seen almost only in toxic ones, dealt over voters."""
+    """Lexicon voters from labelled rows: words and stems of toxic ones, dealt over voters."""
     # Copies of one text are no further evidence.
     rows = list({(label, frozenset(found)) for label, found in rows})
     size = {y: max(1, sum(label == y for label, _ in rows)) for y in (0, 1)}
     seen = {0: Counter(), 1: Counter()}
     for label, found in rows:
         seen[label].update(found)
-    good = []
-    for f, n in seen[1].items():
-        share = (n / size[1]) / (n / size[1] + (seen[0][f] + 0.5) / size[0])
-        if n >= max(LEAST_ROWS, LEAST_PART * size[1]) and share >= LEAST_SHARE:
-            good.append((-n, f))
-    good.sort()
-    words = [w for _, (k, w) in good if k == 0]
-    stems = [f for _, f in good if f[0]]
-    dealt = [frozenset(words[k::WORD_VOTERS]) for k in range(WORD_VOTERS)]
-    groups = [{n: frozenset(s for m, s in stems[k::STEM_VOTERS] if m == n) for n in STEMS} for k in range(STEM_VOTERS)]
-    return Voters(dealt, groups)
+    good = _telling(seen[1], seen[0], size[1], size[0], LEAST_RATIO)
+    kinds = [[f for f in good if f[0] == 0 and f[2] == 1], [f for f in good if f[0] and f[2] == 1], [f for f in good if f[0] and f[2] == 2]]
+    return Voters([frozenset(kind[k::n]) for kind, n in zip(kinds, DEALT, strict=True) for k in range(n)])
 
 
 class LabelModel:
     """A mixture of two classes; in each, voters depend on one another along a tree.
 
-    Fitted by expectation maximisation to pattern counts alone. ``accuracy[y, j]`` is how often
-    voter j fires on class y; ``parent[j]`` and ``given[y, a, j]`` (firing where the parent's
-    vote is a) hold the correlations.
+    Fitted by expectation maximisation to the pattern counts of all rows. ``accuracy[y, j]`` is
+    how often voter j fires on class y; ``parent[j]`` and ``given[y, a, j]`` (firing where the
+    parent's vote is a) hold the correlations. ``known`` are (pattern, class, weight) of labelled
+    rows, whose class stays fixed, so that the classes keep their meaning; it may be empty.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, n: int, start: np.ndarray, rounds: int = 40):
-        votes = ((patterns[:, None] >> np.arange(n)) & 1).astype(float)
+    def __init__(
+        self, patterns: np.ndarray, counts: np.ndarray, n: int, start: np.ndarray, known: list[tuple[int, int, float]] = (), rounds: int = 40
+    ):
+        fixed = np.array([y for _, y, _ in known], float)
+        both = np.concatenate([patterns, np.array([p for p, _, _ in known], np.int64)])
+        votes = ((both[:, None] >> np.arange(n)) & 1).astype(float)
+        weights = np.concatenate([counts.astype(float), [w for _, _, w in known]])
         self.n = n
         posterior = start
+        if len(known):
+            self._maximise(votes, np.where(np.arange(len(both)) < len(patterns), 0.0, weights), np.concatenate([start * 0, fixed]))
+            posterior = self.posterior(patterns)
         for _ in range(rounds):
-            self._maximise(votes, counts.astype(float), posterior)
+            self._maximise(votes, weights, np.concatenate([posterior, fixed]))
             posterior = self.posterior(patterns)
 
     def _maximise(self, votes: np.ndarray, counts: np.ndarray, posterior: np.ndarray) -> None:
@@ -183,31 +225,25 @@ class Linear:
     bias: float
 
     def __post_init__(self) -> None:
-        self.by = {n: {s: w for (m, s), w in self.weights.items() if m == n} for n in (0, *STEMS)}
+        self.known = _known(self.weights)
 
     def score(self, text: str) -> float:
-        words = set(_WORD.findall(text.lower()))
-        z = self.bias
-        for n, known in self.by.items():
-            if known:
-                hits = known.keys() & (words if n == 0 else {w[:n] for w in words})
-                z += sum(known[h] for h in sorted(hits))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        found = present(set(_WORD.findall(text.lower())), self.known)
+        hits = [self.weights.get((n, s, k), 0.0) for (n, s), times in sorted(found.items()) for k in (1, 2) if times >= k]
+        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(hits), -30, 30))))
 
 
-def train(rows: list[tuple[float, set[Feature]]], mass: tuple[float, float], steps: int = 800) -> Linear:
+def train(rows: list[tuple[float, set[Feature]]], mass: tuple[float, float], steps: int = 600) -> Linear:
     """Logistic regression on soft labels; ``mass`` is what the rows under and over 0.5 stand for."""
     floor = Linear({}, float(np.log(0.01 / 0.99)))
     high = np.array([p >= 0.5 for p, _ in rows])
     if not len(rows) or high.all() or not high.any():
         return floor
-    seen = Counter(f for _, found in rows for f in found)
-    toxic = Counter(f for (_, found), h in zip(rows, high.tolist(), strict=True) if h for f in found)
-    rate1, rate0 = max(high.sum(), 1), max((~high).sum(), 1)
-    # Common words say nothing; their sum over a long text would.
-    telling = [f for f in toxic if toxic[f] / rate1 >= 3 * (seen[f] - toxic[f] + 0.5) / rate0]
-    telling = [f for f in telling if toxic[f] >= max(LEAST_ROWS, LEAST_PART * rate1 / 2)]
-    chosen = sorted(telling, key=lambda f: (-toxic[f], f))[:FEATURES]
+    seen = {True: Counter(), False: Counter()}
+    for (_, found), h in zip(rows, high.tolist(), strict=True):
+        seen[h].update(found)
+    rate1, rate0 = float(high.sum()), float((~high).sum())
+    chosen = _telling(seen[True], seen[False], rate1, rate0, 3.0)[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, (_, found) in enumerate(rows):
@@ -222,10 +258,11 @@ def train(rows: list[tuple[float, set[Feature]]], mass: tuple[float, float], ste
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         error = (weight * (y - p)).astype(np.float32)
-        grad = np.concatenate([x.T @ error - 2e-5 * w, [error.sum()]])
+        grad = np.concatenate([x.T @ error - PENALTY * w, [error.sum()]])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-        w, b = (w + step[:-1]).astype(np.float32), b + step[-1]
+        # Only evidence for toxicity counts: what is absent from toxic rows does not clear a text.
+        w, b = np.maximum(w + step[:-1], 0).astype(np.float32), b + step[-1]
     return Linear({f: float(v) for f, v in zip(chosen, w, strict=True) if v}, float(b))
 
 
@@ -286,9 +323,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, train_docs
         return voters, None, train([], (1.0, 1.0))
     patterns, counts = (np.array(c, np.int64) for c in zip(*table, strict=True))
     # To start with, a pattern is as likely toxic as lexicon voters fire in it.
-    lexical = len(voters.words) + len(voters.stems) + 2
+    lexical = len(voters.lists) + 2
     firing = sum((patterns >> k) & 1 for k in range(lexical))
-    model = LabelModel(patterns, counts, voters.n, np.array([0.02, 0.5, 0.9])[np.minimum(firing, 2)])
+    rates = {r.low: r.n for r in known.groupBy(F.col("toxic").cast("int").alias("low")).agg(F.count("*").alias("n")).collect()}
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sample.toArrow(), "doc_id long, toxic double"))
+    anchored = [(r.votes, int(r.toxic), r.n) for r in voted.join(ids, "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()]
+    # Labelled rows weigh as much as all others, either class by its share of the labels.
+    size = {y: sum(n for _, label, n in anchored if label == y) for y in rates}
+    weigh = {y: ANCHOR * counts.sum() * n / sum(rates.values()) / max(size[y], 1) for y, n in rates.items()}
+    anchored = sorted((v, y, n * weigh[y]) for v, y, n in anchored) if len(rates) == 2 else []
+    model = LabelModel(patterns, counts, voters.n, np.array([0.02, 0.5, 0.9])[np.minimum(firing, 2)], anchored)
     posterior = model.posterior(patterns)
     toxic = [int(p) for p, q in zip(patterns, posterior, strict=True) if q >= 0.5]
     open_rows = voted.where(F.col("doc_id").isNotNull() & ~held_out())
