@@ -84,27 +84,22 @@ def drift_windows(spark, sf):
 
 @query("error_windows_stream", f"with {WINDOWS_SQL}" + """
 select stream_key, strftime(day, '%Y-%m-%d') as ts, n, errors from windows
-where day + interval 1 day <= (select max(ts) from errors) - interval 1 hour
 """)
 def error_windows_stream(spark, sf):
-    errors = planted(table_stream(spark, sf, "events"))
-    windows = drift.run_to_table(drift.error_windows(errors, "1 day", "1 hour"), "windows")
+    windows = drift.stream_windows(planted(table_stream(spark, sf, "events")), "1 day")
     return day(windows).select("stream_key", "ts", "n", "errors")
 
 
-@query("drift_windows_stream", "select * from (" + f"with {COMPARE_SQL}" + """
-) where ts::timestamp + interval 1 day <= (select max(ts) from events) - interval 1 hour
-""")
+@query("drift_windows_stream", f"with {COMPARE_SQL}")
 def drift_windows_stream(spark, sf):
-    errors = planted(table_stream(spark, sf, "events"))
-    windows = drift.run_to_table(drift.error_windows(errors, "1 day", "1 hour"), "windows")
+    windows = drift.stream_windows(planted(table_stream(spark, sf, "events")), "1 day")
     return round_all(day(drift.compare_windows(windows)), "mean_old", "mean_new", "bound")
 
 
 @query("adwin_stream")
 def adwin_stream(spark, sf):
-    errors = planted(table_stream(spark, sf, "events")).withColumnRenamed("error", "value")
-    return drift.run_to_table(drift.detect(errors), "adwin")
+    """Drifts of the hourly error rates."""
+    return drift.detect_windows(drift.stream_windows(planted(table_stream(spark, sf, "events")), "1 hour"))
 
 
 @query("adwin_first_drift")
@@ -114,45 +109,41 @@ def adwin_first_drift(spark, sf):
 
 @query("adwin_slices_stream")
 def adwin_slices_stream(spark, sf):
-    errors = planted(table_stream(spark, sf, "events"))
-    slices = drift.run_to_table(
-        drift.error_windows(errors, "1 hour", "1 hour"), "slices", as_stream=True
-    )
-    return drift.run_to_table(drift.detect(drift.window_rates(slices)), "adwin-slices")
+    """Drifts of the error rates of quarters of an hour."""
+    return drift.detect_windows(drift.stream_windows(planted(table_stream(spark, sf, "events")), "15 minutes"))
 
 
 @query("drift_refit", sql(
     COMPARE_SQL_CTES, """
 rows as (
   select event_id as id, 0 as g, 1.0::double as w, (event_id % 3)::int as y,
-    [ln(1 + abs(value)), (user_id % 7) / 7.0::double, 1.0] as x from events)""",
+    [ln(1 + abs(value)), (user_id % 7) / 7.0::double, 1.0] as x from events
+  where ts < (select max(ts::timestamp) + interval 1 day from compared where drift = 1))""",
     g.zeros("zero", CLASSES, 2),
     g.steps("s", "rows", "zero", 2, 0.1, mask="q.j > 1", pull=g.PullSql("zero")),
     final="select * from (" + g.named("s2", 2) + ") where exists (select * from compared where drift = 1)",
 ))
 def drift_refit(spark, sf):
-    """Refit a model on the rows of a micro-batch that shows a drift."""
+    """Refit a model on the rows up to the last window that shows a drift."""
     out = fresh_path(spark, "refit")
-    spark.createDataFrame([], learn.PARAMETER_SCHEMA).write.parquet(f"{out}/batch=-1")
-
-    def detector(batch):
-        windows = drift.error_windows(planted(batch), "1 day")
-        return drift.compare_windows(windows).filter("drift = 1")
+    spark.createDataFrame([], learn.PARAMETER_SCHEMA).write.parquet(f"{out}/models/batch=-1")
+    events = table(spark, sf, "events")
 
-    def refit(batch, number):
+    def refit(until, number):
         value = F.log1p(F.abs(F.col("value")))
-        rows = batch.select(
+        rows = events.filter(F.col("ts").cast("timestamp") < F.lit(until)).select(
             F.array(value, (F.col("user_id") % 7) / 7.0).alias("x"),
             (F.col("event_id") % CLASSES).cast("int").alias("y"),
         )
         old = learn.SoftmaxModel.zeros(CLASSES, 2)
         fit = learn.refit_softmax(rows, old, None, [0], steps=2, rate=0.1)
-        fit.model.table(batch.sparkSession).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fit.model.table(spark).write.mode("overwrite").parquet(f"{out}/models/batch={number}")
 
-    events = table_stream(spark, sf, "events")
-    drift.refit_on_drift(events, detector, refit, fresh_path(spark, "refit-marks")).awaitTermination()
-    refitted = spark.read.schema(f"{learn.PARAMETER_SCHEMA}, batch int").parquet(out)
-    return round_all(refitted.select("key", "idx", "value"), "value")
+    errors = planted(table_stream(spark, sf, "events"))
+    drift.refit_on_drift(errors, "1 day", refit, out, fresh_path(spark, "refit-marks")).awaitTermination()
+    models = spark.read.schema(f"{learn.PARAMETER_SCHEMA}, batch int").parquet(f"{out}/models")
+    last = models.filter(F.col("batch") == models.agg(F.max("batch")).first()[0])
+    return round_all(last.select("key", "idx", "value"), "value")
 
 
 @query("replay_stream", """
@@ -165,6 +156,6 @@ def replay_stream(spark, sf):
     events = table_stream(spark, sf, "events").select(
         "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
     )
-    order = ["ts", "event_id"]
-    admitted = drift.run_to_table(replay.admit(events, "event_type", order), "replay")
-    return replay.buffer(admitted, "event_type", order).drop("ts")
+    out = fresh_path(spark, "replay")
+    replay.keep_first(events, "event_type", ["ts", "event_id"], out, fresh_path(spark, "replay-marks")).awaitTermination()
+    return replay.latest(spark, out, events.schema).drop("ts")

@@ -1,19 +1,23 @@
 """Error streams and concept-drift detection.
 
-`detect` updates one adaptive window per key, element by element. Its order within a key
-is sequential by nature; for a key with very many elements, `error_windows` first counts
-per time slice (combined before the shuffle), and either the slices' error rates go to the
-same detector or `compare_windows` tests each slice against the ones before.
+A stream is first counted per key and time slice: every micro-batch appends its partial
+counts (`accumulate_windows`), which are summed when read (`windows_so_far`). So nothing
+is late, no slice stays open, and answers do not depend on how the rows came in batches.
+The slices' error rates go to the adaptive window (`detect_windows`), or `compare_windows`
+tests each slice against the ones before. `detect` updates the window element by element
+instead; it is sequential within a key, and in the order of arrival across micro-batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab import fixed
@@ -76,14 +80,8 @@ def first_drift(drifts: DataFrame) -> DataFrame:
     return first.select("stream_key", "d.*")
 
 
-def error_windows(errors: DataFrame, width: str, delay: str | None = None) -> DataFrame:
-    """Elements and errors per key and tumbling window, on a table or a stream.
-
-    On a stream ``delay`` sets the watermark: rows later than that are dropped, and
-    counted by Spark in ``numRowsDroppedByWatermark``.
-    """
-    if delay is not None:
-        errors = errors.withWatermark("ts", delay)
+def error_windows(errors: DataFrame, width: str) -> DataFrame:
+    """Elements and errors per key and tumbling window of a table."""
     return (
         errors.groupBy("stream_key", F.window("ts", width).alias("w"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("error").cast("long").alias("errors"))
@@ -91,6 +89,58 @@ def error_windows(errors: DataFrame, width: str, delay: str | None = None) -> Da
     )
 
 
+WINDOW_SCHEMA = "stream_key string, ts timestamp, until timestamp, n long, errors long"
+AVAILABLE = {"availableNow": True}
+
+
+def accumulate_windows(
+    errors: DataFrame, width: str, out: str, checkpoint: str, trigger: Mapping[str, object] = AVAILABLE
+) -> StreamingQuery:
+    """Start a query that appends every micro-batch's window counts to ``out``.
+
+    A batch that runs again replaces what it wrote. ``trigger`` is passed to the writer.
+    """
+    spark = errors.sparkSession
+    spark.createDataFrame([], WINDOW_SCHEMA).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def act(batch: DataFrame, number: int) -> None:
+        error_windows(batch, width).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return errors.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def windows_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """The windows of all batches at ``out``, whole however their rows were dealt over batches."""
+    parts = spark.read.schema(WINDOW_SCHEMA).parquet(out)
+    sums = [F.sum(c).alias(c) for c in ("n", "errors")]
+    return parts.groupBy("stream_key", "ts", "until").agg(*sums)
+
+
+def stream_windows(errors: DataFrame, width: str, name: str = "windows") -> DataFrame:
+    """Count all that is now available of a stream, and read the counts."""
+    spark = errors.sparkSession
+    out = fresh_path(spark, name)
+    accumulate_windows(errors, width, out, fresh_path(spark, f"{name}-checkpoint")).awaitTermination()
+    return windows_so_far(spark, out)
+
+
+def detect_windows(windows: DataFrame) -> DataFrame:
+    """Drift events of window counts, in the order of time: one element per window, its error rate.
+
+    A group is one key's windows, so its size follows the time span and not the traffic.
+    """
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        window, found = AdaptiveWindow(), []
+        rows = rows.sort_values(["ts", "event_id"])
+        for ts, value in zip(rows["ts"], rows["value"], strict=True):
+            drift = window.add(float(value))
+            if drift:
+                found.append((key[0], ts, drift[2], drift[0], drift[1]))
+        return pd.DataFrame(found, columns=["stream_key", "ts", "n", "mean_old", "mean_new"])
+
+    return window_rates(windows).groupBy("stream_key").applyInPandas(run, DRIFT_SCHEMA)
+
+
 def window_rates(windows: DataFrame) -> DataFrame:
     """Windows as elements for `detect`: the value is the window's error rate."""
     return windows.select(
@@ -121,37 +171,46 @@ def compare_windows(windows: DataFrame, delta: float = fixed.DRIFT_DELTA) -> Dat
 
 
 def refit_on_drift(
-    rows: DataFrame,
-    detector: Callable[[DataFrame], DataFrame],
-    refit: Callable[[DataFrame, int], None],
+    errors: DataFrame,
+    width: str,
+    refit: Callable[[datetime, int], None],
+    out: str,
     checkpoint: str,
-):
-    """Start a query that refits whenever a micro-batch of ``rows`` shows a drift.
-
-    ``detector`` returns the drift events of a micro-batch; ``refit`` gets the
-    micro-batch and its number, which makes its output path repeatable.
+    detector: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: Mapping[str, object] = AVAILABLE,
+) -> StreamingQuery:
+    """Start a query that calls ``refit`` when the windows so far show a drift.
+
+    Every micro-batch adds its counts to ``out``; the detector reads the windows of all
+    batches (by default those where `compare_windows` finds a drift; `detect_windows` fits
+    as well). ``refit`` gets the end of the last window with a drift and the batch number,
+    again whenever a batch changes what lies before that end. So the last call is the same
+    however the rows came in batches.
     """
-    def act(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        try:
-            if not detector(kept).isEmpty():
-                refit(kept, number)
-        finally:
-            kept.unpersist()
+    spark = errors.sparkSession
+    spark.createDataFrame([], WINDOW_SCHEMA).write.mode("overwrite").parquet(f"{out}/windows/batch=-1")
+    spark.createDataFrame([], "until timestamp").write.mode("overwrite").parquet(f"{out}/last/batch=-1")
+    detector = detector or (lambda windows: compare_windows(windows).filter("drift = 1"))
 
-    return (
-        rows.writeStream.foreachBatch(act)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def run_to_table(stream: DataFrame, name: str, as_stream: bool = False) -> DataFrame:
-    """Run a stream over everything now available, into a Parquet table, and read that.
-
-    ``as_stream`` reads the table as a stream again, to hand it to a second stateful step.
-    """
+    def act(batch: DataFrame, number: int) -> None:
+        path = f"{out}/windows/batch={number}"
+        error_windows(batch, width).write.mode("overwrite").parquet(path)
+        windows = windows_so_far(spark, f"{out}/windows")
+        drifts = detector(windows).select("stream_key", "ts").join(windows, ["stream_key", "ts"])
+        last = drifts.agg(F.max("until")).first()[0]
+        past = spark.read.schema("until timestamp, batch int").parquet(f"{out}/last").filter(F.col("batch") < number)
+        before = past.agg(F.max(F.struct("batch", "until")).alias("m")).first()["m"]
+        spark.createDataFrame([(last,)], "until timestamp").write.mode("overwrite").parquet(f"{out}/last/batch={number}")
+        first = spark.read.schema(WINDOW_SCHEMA).parquet(path).agg(F.min("ts")).first()[0]
+        edges = [t for t in (last, before["until"] if before else None) if t is not None]
+        if last is not None and first is not None and first < max(edges):
+            refit(last, number)
+
+    return errors.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything now available, into a Parquet table, and read that."""
     spark = stream.sparkSession
     out, marks = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
     query = (
@@ -163,5 +222,4 @@ def run_to_table(stream: DataFrame, name: str, as_stream: bool = False) -> DataF
         .start()
     )
     query.awaitTermination()
-    reader = spark.readStream if as_stream else spark.read
-    return reader.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)

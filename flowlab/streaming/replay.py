@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab import fixed
 from flowlab.operators.sample import replay_first
+from flowlab.streaming.drift import AVAILABLE
 
 SHARDS = 16
 
@@ -23,7 +25,7 @@ def admit(
     per_class: int = fixed.REPLAY_PER_CLASS,
     shards: int = SHARDS,
 ) -> DataFrame:
-    """Rows of a stream that may belong to the buffer.
+    """Rows of a stream that may belong to the buffer by order of arrival.
 
     Each class is dealt over ``shards`` keys by a hash of ``order``, so a dominant class
     is not one task's. A shard admits its first ``per_class`` rows and then nothing; its
@@ -57,6 +59,42 @@ def admit(
     )
 
 
+def keep_first(
+    rows: DataFrame,
+    label: str,
+    order: list[str],
+    out: str,
+    checkpoint: str,
+    per_class: int = fixed.REPLAY_PER_CLASS,
+    trigger: Mapping[str, object] = AVAILABLE,
+) -> StreamingQuery:
+    """Start a query that keeps the first rows of each class by ``order``, whenever they arrive.
+
+    Every micro-batch merges its own first rows with the buffer of the batches before it, and
+    writes the new buffer under its number; `latest` reads the last one. A batch that runs
+    again starts from the same buffer.
+    """
+    spark = rows.sparkSession
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def act(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(schema).parquet(out).filter(F.col("batch") < number)
+        before = known.filter(F.col("batch") == known.agg(F.max("batch")).first()[0]) if not known.isEmpty() else known
+        first = replay_first(batch.select(*rows.columns), label, order, per_class)
+        merged = before.select(*rows.columns).union(first.select(*rows.columns))
+        replay_first(merged, label, order, per_class).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return rows.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The buffer after the last batch written at ``out``."""
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.filter(F.col("batch") == last).drop("batch") if last is not None else every.drop("batch")
+
+
 def buffer(
     admitted: DataFrame, label: str, order: list[str], per_class: int = fixed.REPLAY_PER_CLASS
 ) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from flowlab.operators.sample import replay_first
 from flowlab.plans.catalog.streams import planted
 from flowlab.session import fresh_path
@@ -80,13 +81,46 @@ def test_windows_of_a_stream_equal_those_of_a_table(spark, files):
     path, rows = files
     errors = lambda df: df.withColumn("error", F.col("value").cast("int"))
     stream = errors(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
-    got = drift.run_to_table(drift.error_windows(stream, "1 hour", "10 minutes"), "t")
-    every = drift.error_windows(errors(rows), "1 hour")
-    last = rows.agg(F.max("ts")).first()[0]
-    closed = every.filter(F.col("until") <= F.lit(last) - F.expr("interval 10 minutes"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, closed.collect()))
-    drifts = drift.compare_windows(every).filter("drift = 1 and stream_key = 'hot'")
+    got = drift.stream_windows(stream, "7 hours")
+    every = drift.error_windows(errors(rows), "7 hours")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
+    drifts = drift.compare_windows(drift.error_windows(errors(rows), "1 hour")).filter("drift = 1 and stream_key = 'hot'")
     assert drifts.agg(F.min("ts")).first()[0] >= rows.filter("event_id = 1440").first()["ts"]
+    found = drift.first_drift(drift.detect_windows(drift.error_windows(errors(rows), "10 minutes"))).collect()
+    step, later = (rows.filter(f"event_id = {i}").first()["ts"] for i in (1500, 2500))
+    assert {r["stream_key"]: step <= r["ts"] <= later for r in found} == {"hot": True, "cold": True}
+
+
+LARGER = str(DATA.parent / "sf0.01")
+STREAMED = [
+    "error_bits_stream", "error_windows_stream", "drift_windows_stream", "adwin_stream", "adwin_first_drift",
+    "adwin_slices_stream", "drift_refit", "replay_stream",
+]
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """The events as a folder of many part files, not in the order of time."""
+    folder = fresh_path(spark, "shuffled")
+    table(spark, LARGER, "events").repartition(24, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", STREAMED)
+def test_streams_do_not_depend_on_files_and_batches(spark, shuffled, name, monkeypatch):
+    from flowlab.plans.catalog import streams
+
+    run = lambda folder: sorted(map(repr, getattr(streams, name)(spark, folder).collect()))
+    expected = run(LARGER)
+    assert expected
+    for per_trigger in (7, 64):
+        monkeypatch.setattr(streams, "table_stream", lambda s, f, n, k=per_trigger: table_stream(s, f, n, k))
+        assert run(shuffled) == expected
+
+
+def test_a_missing_table_is_an_error(spark, data):
+    with pytest.raises(Exception, match="absent"):
+        table_stream(spark, data, "absent")
 
 
 def test_replay_stream_equals_batch(spark, files):
@@ -105,16 +139,41 @@ def test_null_prediction_is_an_error(spark):
     assert [r["error"] for r in drift.with_error(df).collect()] == [0, 1, 1]
 
 
-def test_refit_is_called_only_on_drift(spark, data):
+@pytest.mark.parametrize(("drifting", "expected"), [(True, 1), (False, 0)])
+def test_refit_is_called_only_on_drift(spark, data, drifting, expected):
+    calls = []
+    drift.refit_on_drift(
+        planted(table_stream(spark, data, "events")),
+        "1 day",
+        lambda until, number: calls.append((until, number)),
+        fresh_path(spark, "refit"),
+        fresh_path(spark, "marks"),
+        lambda windows: windows.filter(F.lit(drifting)),
+    ).awaitTermination()
+    assert len(calls) == expected
+
+
+def test_the_adaptive_window_triggers_the_refit(spark, files):
+    path, rows = files
     calls = []
-    for threshold, expected in ((0, 1), (10**9, 0)):
-        calls.clear()
-        query = drift.refit_on_drift(
-            planted(table_stream(spark, data, "events")),
-            lambda batch: batch.groupBy().count().filter(F.col("count") > threshold),
-            lambda batch, number: calls.append((number, batch.count())),
-            fresh_path(spark, "marks"),
-        )
-        query.awaitTermination()
-        assert len(calls) == expected
-    assert table(spark, data, "events").count() > 0
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drift.refit_on_drift(
+        stream.withColumn("error", F.col("value").cast("int")), "10 minutes", lambda until, number: calls.append((until, number)),
+        fresh_path(spark, "refit"), fresh_path(spark, "marks"), drift.detect_windows,
+    ).awaitTermination()
+    step = rows.filter("event_id = 1500").first()["ts"]
+    assert calls and all(until > step for until, _ in calls)
+
+
+def test_the_buffer_does_not_depend_on_arrival(spark, files):
+    path, rows = files
+    order = ["ts", "event_id"]
+    backwards = fresh_path(spark, "backwards")
+    for i in (2, 0, 1):
+        rows.filter(f"event_id div 1000 = {i}").coalesce(1).write.mode("append").parquet(backwards)
+    expected = sorted(map(tuple, replay_first(rows, "stream_key", order, 40).collect()))
+    for per_trigger in (1, 3):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(backwards)
+        out = fresh_path(spark, "buffer")
+        replay.keep_first(stream, "stream_key", order, out, fresh_path(spark, "marks"), 40).awaitTermination()
+        assert sorted(map(tuple, replay.latest(spark, out, rows.schema).collect())) == expected
