@@ -54,8 +54,10 @@ def softmax(z: Column) -> Column:
 
 
 def cross_entropy(z: Column, y: Column) -> Column:
-    """Negative log-likelihood of class ``y`` under logits ``z``."""
-    return log_sum_exp(z) - F.get(z, y)
+    """Negative log-likelihood of class ``y`` under logits ``z``; a label outside them is an error."""
+    message = F.concat(F.lit("label outside the logits: "), F.coalesce(y.cast("string"), F.lit("null")))
+    inside = (y >= 0) & (y < F.size(z))
+    return log_sum_exp(z) - F.when(z.isNull() | inside, F.get(z, y)).otherwise(F.raise_error(message).cast("double"))
 
 
 def argmax(z: Column) -> Column:

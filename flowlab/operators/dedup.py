@@ -39,10 +39,10 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def removal_report(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
-    """Rows before and after whole-row and feature deduplication, from one shuffle.
+    """Rows before and after whole-row and feature deduplication.
 
-    Whole rows are counted within their feature group, so both counts come from the same
-    grouping.
+    Copies are combined first, then distinct rows within their feature group: two
+    shuffles, neither of which gathers a repeated row.
     """
     features = [c for c in df.columns if c not in drop]
     whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
@@ -61,19 +61,22 @@ def removal_report(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
 def remove_leaks(victim: DataFrame, guard: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """Drop the rows of ``victim`` that occur in ``guard``, nulls being equal.
 
-    The guard is reduced to distinct rows first. A 64-bit hash of the columns is the
+    Columns are compared by value: where the sides' types differ, both are cast to their
+    common type first. The guard is reduced to distinct rows. A 64-bit hash of the columns is the
     shuffle key and the columns themselves decide, so a wide row is sorted by one number
     and a collision does no harm. The victim side may be skewed: adaptive execution
     splits its oversized partitions, which an anti join allows.
     """
     columns = list(on) if on else [c for c in victim.columns if c in guard.columns]
-    digest = F.xxhash64(*columns)
-    seen = guard.select(*columns).distinct().select(
-        *[F.col(c).alias(f"_seen_{i}") for i, c in enumerate(columns)], digest.alias("_seen")
+    common = victim.select(*columns).limit(0).union(guard.select(*columns).limit(0)).schema
+    cast = {c: F.col(f"`{c}`").cast(f.dataType) for c, f in zip(columns, common.fields)}
+    digest = F.xxhash64(*cast.values())
+    seen = guard.select(*[v.alias(c) for c, v in cast.items()]).distinct().select(
+        *[F.col(f"`{c}`").alias(f"_seen_{i}") for i, c in enumerate(columns)], digest.alias("_seen")
     )
     same = reduce(
         lambda a, b: a & b,
-        [F.col(c).eqNullSafe(F.col(f"_seen_{i}")) for i, c in enumerate(columns)],
+        [cast[c].eqNullSafe(F.col(f"_seen_{i}")) for i, c in enumerate(columns)],
         F.col("_digest") == F.col("_seen"),
     )
     return victim.withColumn("_digest", digest).join(seen, same, "left_anti").drop("_digest")
@@ -115,6 +118,34 @@ def dedup_pair(
     return out.select(*features, f"_kept.{key}", f"_kept.{is_test}").filter(F.col(key).isNotNull())
 
 
+def pair_report(df: DataFrame, key: str, is_test: str, victim: str = "test") -> DataFrame:
+    """What `dedup_pair` removes, per set: rows in, copies, leaks, rows out.
+
+    From the same grouping: a distinct row counts its copies on either side, and is a leak
+    where the guard side has it too.
+    """
+    features = [c for c in df.columns if c not in (key, is_test)]
+    test = F.col(is_test)
+    merged = df.groupBy(*features).agg(
+        F.count(F.when(~test, 1)).alias("n_train"), F.count(F.when(test, 1)).alias("n_test")
+    )
+    sides = []
+    for side, other in (("train", "test"), ("test", "train")):
+        n, there = F.col(f"n_{side}"), F.col(f"n_{side}") > 0
+        leak = there & (F.col(f"n_{other}") > 0) if side == victim else F.lit(False)
+        sides.append(F.struct(
+            F.lit(side).alias("split"),
+            n.alias("n"),
+            F.greatest(n - 1, F.lit(0)).alias("copies"),
+            leak.cast("long").alias("leaks"),
+        ))
+    sums = [F.coalesce(F.sum(f"s.{c}"), F.lit(0)).cast("long") for c in ("n", "copies", "leaks")]
+    rows_in, copies, leaks = sums
+    return merged.select(F.explode(F.array(*sides)).alias("s")).groupBy(F.col("s.split").alias("split")).agg(
+        rows_in.alias("rows_in"), copies.alias("copies"), leaks.alias("leaks"), (rows_in - copies - leaks).alias("rows_out")
+    )
+
+
 def union_sets(train: DataFrame, test: DataFrame, split: str = "split") -> DataFrame:
     """Both sets in one table; the literal column says which set a row belongs to."""
     return train.withColumn(split, F.lit("train")).unionByName(

@@ -154,13 +154,19 @@ def epoch_loss(df: DataFrame, epoch: str = "epoch", batch_loss: str = "loss") ->
 
 
 def passed_thresholds(score: Column, grid: Sequence[float]) -> Column:
-    """How many thresholds of an even ascending grid lie strictly below the score.
+    """How many thresholds of an ascending grid lie strictly below the score.
 
-    The position is estimated from the step and then corrected against the grid values
-    themselves, so the outcome is that of the comparisons.
+    On an even grid the position is estimated from the step and then corrected against the
+    grid values themselves, so the outcome is that of the comparisons; on any other grid
+    the comparisons are made.
     """
+    if not grid:
+        return F.lit(0)
     low, last = grid[0], len(grid) - 1
-    step = (grid[-1] - low) / last
+    step = (grid[-1] - low) / last if last else 0.0
+    if step <= 0 or any(abs(t - (low + i * step)) > step / 4 for i, t in enumerate(grid)):
+        below = F.size(F.filter(vectors.constant(grid), lambda t: t < score))
+        return F.when(score.isNull() | F.isnan(score), 0).otherwise(below)
     guess = F.floor((score - low) / step).cast("int")
     near = F.greatest(F.lit(0), F.least(F.lit(last), guess))
     values = vectors.constant(grid)
@@ -183,8 +189,9 @@ def threshold_sweep(
     """F1 of the positive class at every threshold, from one pass over the scores.
 
     Scores are counted by the number of thresholds they pass; the sweep then sums these
-    few counts from the top.
+    few counts from the top. The grid may be uneven and in any order.
     """
+    grid = sorted(set(grid))
     counts = df.groupBy(passed_thresholds(F.col(score), grid).alias("passed")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(y_true) == 1).cast("long")).alias("positives")
     )

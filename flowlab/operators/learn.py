@@ -114,6 +114,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix, without copying cell by cell."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    widths = pa.compute.list_value_length(column)
+    if len(column) and (widths.null_count or pa.compute.min(widths) != pa.compute.max(widths)):
+        raise ValueError("vectors must have one width")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 

@@ -9,7 +9,9 @@ lies, so no step sorts or numbers the whole table, or a whole class, in one task
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,14 +93,12 @@ def hash_cuts(
     ordered = _with_order(df.select(key), key, seed)
     sizes = sorted(ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
     ranks = ranks_of(sum(n for _, n in sizes))
+    reached = list(accumulate(n for _, n in sizes))
     wanted: dict[tuple[str, int], int] = {}
     for rank in set(ranks) - {0}:
-        passed = 0
-        for prefix, n in sizes:
-            if passed + n >= rank:
-                wanted[(prefix, rank - passed)] = rank
-                break
-            passed += n
+        at = bisect_left(reached, rank)
+        prefix, n = sizes[at]
+        wanted[(prefix, rank - (reached[at] - n))] = rank
     if not wanted:
         return [None for _ in ranks]
     deepest = max(offset for _, offset in wanted)
@@ -154,8 +154,17 @@ def client_partition(
 ) -> DataFrame:
     """Deal the rows at random to clients in equal chunks; the last takes the remainder."""
     cuts = hash_cuts(df, key, lambda n: [n // clients * i for i in range(1, clients)], seed)
-    passed = sum((_after(key, seed, cut).cast("int") for cut in cuts), F.lit(0))
-    return df.withColumn(target, passed)
+    if not cuts or cuts[0] is None:
+        # Fewer rows than clients: all cuts lie before the first row.
+        return df.withColumn(target, F.lit(clients - 1))
+    # The cuts ascend, so those passed are a prefix: halve the range, comparing (hash, key).
+    known = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in cuts])
+    own = F.struct(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    halve = lambda at, step: F.when(
+        (at + step <= len(cuts)) & (F.get(known, at + step - 1) < own), at + step
+    ).otherwise(at)
+    return df.withColumn(target, F.aggregate(steps, F.lit(0), halve))
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = fixed.SEED) -> DataFrame:
@@ -212,16 +221,14 @@ def class_cap(
 
     A first pass over label and key counts each class per hash range and tells in which
     range a class reaches its cap. If that range is itself large, a second count splits
-    it. The last pass drops all that lies beyond before the shuffle, so the ranking
-    window of even a dominant class sees little more than its cap. If ``df`` is costly
-    to compute, materialise it first.
+    it. Rows before the cut range stay and rows after it go by a filter, without moving;
+    only the cut ranges are ranked. A class under its cap is never sorted. If ``df`` is
+    costly to compute, materialise it first.
     """
     special = dict(special or {})
     limit = F.lit(cap)
     for value, other in special.items():
         limit = F.when(F.col(label) == value, other).otherwise(limit)
-    largest = max([cap, *special.values()])
-
     ordered = df.withColumn("_h", hash_order(F.col(key), seed))
     same_class = F.col(label).eqNullSafe(F.col("_class"))
     digits = CAP_DIGITS
@@ -230,16 +237,12 @@ def class_cap(
         at_cut = same_class & (F.substring("_h", 1, digits) == F.col("_last"))
         digits *= 2
         cuts = _cut_ranges(ordered.join(cuts, at_cut), label, limit, digits)
-    near = (
-        ordered.join(cuts.select("_class", "_last"), same_class, "left")
-        .filter(F.col("_last").isNull() | (F.substring("_h", 1, digits) <= F.col("_last")))
-        .drop("_class", "_last")
-    )
-    place = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    capped = near.withColumn("_place", place).filter(F.col("_place") <= largest)
-    if special:
-        capped = capped.filter(F.col("_place") <= limit)
-    return capped.drop("_h", "_place")
+    spot = F.substring("_h", 1, digits)
+    marked = ordered.join(cuts.select("_class", "_last", F.col("_before").alias("_passed")), same_class, "left")
+    before = marked.filter(F.col("_last").isNull() | (spot < F.col("_last")))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_h", key)) + F.col("_passed")
+    at_cut = marked.filter(spot == F.col("_last")).withColumn("_place", place).filter(F.col("_place") <= limit)
+    return before.select(*df.columns).union(at_cut.select(*df.columns))
 
 
 def balanced_classes(
