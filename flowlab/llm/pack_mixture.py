@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from flowlab.llm.text import text_slices
-from flowlab.llm.tokens import Coder
+from flowlab.llm.tokens import Coder, vocabulary_coder
 from flowlab.session import materialise
 
 LENGTH = 2048
@@ -42,17 +41,9 @@ _CODERS: dict[str, Coder] = {}
 
 
 def _coder(vocabulary: str) -> Coder:
-    """One coder per worker process, ids as unsigned 16-bit numbers."""
+    """One coder per worker process."""
     if vocabulary not in _CODERS:
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if tokenizer.get_vocab_size() > 65536:
-            raise ValueError("ids must stay under 65536")
-
-        def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _CODERS[vocabulary] = Coder(encode)
+        _CODERS[vocabulary] = vocabulary_coder(vocabulary)
     return _CODERS[vocabulary]
 
 
@@ -66,7 +57,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, end = _coder(vocabulary), np.uint16(end_id).tobytes()
         used: dict[str, int] = {}
-        for part in text_slices(batches, limit=4 << 20):
+        for part in text_slices(batches, limit=2 << 20):
             raw = part.data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(part.at[:-1].tolist(), part.at[1:].tolist(), strict=True)]
             ids = [i + end for i in use(texts)]
