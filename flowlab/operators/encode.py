@@ -6,7 +6,7 @@ apply step is then a projection.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -75,21 +75,45 @@ def one_hot_pair(
     columns: Sequence[str] = tuple(fixed.CATEGORICALS),
     domain: str = "union",
 ) -> tuple[DataFrame, DataFrame]:
-    """One-hot two sets over a shared domain: both sets' values, or the train set's."""
+    """One-hot two sets over a shared domain: both sets' values, or the train set's.
+
+    Up to ONE_HOT_CATEGORIES values give a column each, more a sparse column (`one_hot_sparse`).
+    """
     tables = (train, test) if domain == "union" else (train,)
-    found = one_hot_domains(columns, *tables)
-    return one_hot(train, found), one_hot(test, found)
+    expand = one_hot_like(columns, *tables)
+    return expand(train), expand(test)
 
 
 def one_hot_self(df: DataFrame, columns: Sequence[str] = tuple(fixed.CATEGORICALS)) -> DataFrame:
-    return one_hot(df, one_hot_domains(columns, df))
+    return one_hot_like(columns, df)(df)
 
 
-def one_hot_domains(columns: Sequence[str], *tables: DataFrame) -> dict[str, list]:
+def one_hot_like(columns: Sequence[str], *tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The one-hot expansion over the values of all ``tables``."""
     found = domains(columns, *tables, limit=ONE_HOT_CATEGORIES)
-    if found is None:
-        raise ValueError(f"more than {ONE_HOT_CATEGORIES} categories in {list(columns)}")
-    return found
+    if found is not None:
+        return lambda df: one_hot(df, found)
+    encoders = fit_ordinals(columns, *tables)
+    sizes = [domain_table(c, *tables).count() for c in columns]
+    return lambda df: one_hot_sparse(df, encoders, sizes)
+
+
+def one_hot_sparse(df: DataFrame, encoders: Sequence[OrdinalEncoder], sizes: Sequence[int]) -> DataFrame:
+    """Replace the encoders' columns by one column ``onehot``: its size and the places that hold 1.
+
+    The places are those of the columns that `one_hot` would make; a missing or unseen
+    value has none.
+    """
+    codes, offset, total = [], 0, sum(sizes)
+    out = df
+    for i, (encoder, size) in enumerate(zip(encoders, sizes, strict=True)):
+        out = encoder.apply(out, f"_code_{i}")
+        codes.append(F.col(f"_code_{i}") + offset)
+        offset += size
+    places = F.filter(F.array(*codes), lambda k: k.isNotNull())
+    gone = {e.column for e in encoders}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in gone]
+    return out.select(*kept, F.struct(F.lit(total).alias("size"), places.alias("indices")).alias("onehot"))
 
 
 @dataclass
@@ -109,7 +133,9 @@ class OrdinalEncoder:
         found = domain_table(column, *tables)
         rows = small_or_none(found, SMALL_ROWS)
         if rows is not None:
-            return cls.of(found, column, sorted(r[0] for r in rows))
+            # Spark's own order, which puts NaN last, as on the path of many values.
+            ordered = found.sparkSession.createDataFrame(rows, found.schema).orderBy(column).collect()
+            return cls.of(found, column, [r[0] for r in ordered])
         ranked = number_sorted(found, [F.col(column)], "_code")
         return cls(column, None, ranked.withColumn("_code", F.col("_code") - 1))
 

@@ -169,6 +169,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         x, g = _matrix(batch.column("x")), batch.column("g").to_numpy()
+        if batch.column("y").null_count or pa.compute.min(batch.column("y")).as_py() < 0:
+            raise ValueError("labels must be class numbers from 0")
         y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
         width = x.shape[1]
         step = max(1, BLOCK_BYTES // (8 * max(width, 1)))
@@ -244,6 +246,11 @@ def gradient_sums(
             width = batch.column("d")[0].as_py()
             x = _numbers(batch.column("x"), np.float64).reshape(-1, width)
             y, w = _numbers(batch.column("y"), np.int32), _numbers(batch.column("w"), np.float64)
+            classes = min(len(model.bias) for model in models.values())
+            if len(y) and y.max() >= classes:
+                raise ValueError(f"a label is {y.max()}, the model has {classes} classes")
+            if any(model.weight.shape[1] != width for model in models.values()):
+                raise ValueError(f"vectors have {width} numbers, the model takes others")
             g = np.repeat(batch.column("g").to_numpy(), batch.column("n").to_numpy())
             for lo in range(0, len(y), CHUNK_ROWS):
                 here = slice(lo, lo + CHUNK_ROWS)

@@ -124,6 +124,8 @@ SWEEP_SQL = inputs.SCORES_SQL + """
     else 2.0::double * hits / (predicted + positives) end as f1 from swept)
 , best as (select threshold, f1 from f1s order by f1 desc, threshold limit 1)
 """
+UNEVEN = (0.9, 0.1, 0.11, 0.12, 0.13, 0.34, 0.335)
+UNEVEN_SQL = SWEEP_SQL.replace("k / 100.0::double", "k::double").replace("range(10, 91) g(k)", f"unnest({list(UNEVEN)}) g(k)")
 
 
 @query("threshold_sweep", f"with {SWEEP_SQL} select threshold, round(f1, 6) + 0.0 as f1, hits, predicted from f1s")
@@ -131,6 +133,11 @@ def threshold_sweep(spark, sf):
     return round_all(evaluate.threshold_sweep(inputs.scores(spark, sf)), "f1")
 
 
+@query("threshold_sweep_uneven", f"with {UNEVEN_SQL} select threshold, round(f1, 6) + 0.0 as f1, hits, predicted from f1s")
+def threshold_sweep_uneven(spark, sf):
+    return round_all(evaluate.threshold_sweep(inputs.scores(spark, sf), grid=UNEVEN), "f1")
+
+
 @query("best_threshold", f"with {SWEEP_SQL} select threshold, round(f1, 6) + 0.0 as f1 from best")
 def best_threshold(spark, sf):
     return round_all(evaluate.best_threshold(evaluate.threshold_sweep(inputs.scores(spark, sf))), "f1")

@@ -188,3 +188,8 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select(
         "doc_id", F.col("quality").alias("y_true"), prob.alias("prob")
     )
+
+
+def whole_events(spark, sf):
+    """Events with what a sampling or numbering job carries along; the time is left out, as its text differs between engines."""
+    return table(spark, sf, "events").select("event_id", "event_type", "user_id", "value", "props")

@@ -26,13 +26,14 @@ with named as (
 ), distinct_docs as (
   select min(doc_id) as doc_id, label, text, is_test from named group by label, text, is_test
 ), leakfree as (
-  select * from distinct_docs t where is_test and not exists (
+  select * from distinct_docs t where not is_test or not exists (
     select 1 from distinct_docs g where not g.is_test and g.label = t.label and g.text = t.text)
 ), ranked as (
   select *, row_number() over (
-    partition by label order by md5(doc_id::varchar || ':42'), doc_id) as rn from leakfree
-), counts as (select label, count(*) as n from ranked where rn <= 40 group by label)
-select label::int as label, n, round_even(100.0::double * n / sum(n) over (), 2) as percent
+    partition by is_test, label order by md5(doc_id::varchar || ':42'), doc_id) as rn from leakfree
+), counts as (select is_test, label, count(*) as n from ranked where rn <= 40 group by all)
+select case when is_test then 'test' else 'train' end as split, label::int as label, n,
+  round_even(100.0::double * n / sum(n) over (partition by is_test), 2) as percent
 from counts
 """)
 def prepared_label_distribution(spark, sf):
@@ -41,8 +42,11 @@ def prepared_label_distribution(spark, sf):
         "is_test", F.col("doc_id") % 5 == 0
     )
     pair = materialise(dedup.dedup_pair(named, "doc_id", "is_test"), "documents")
-    capped = class_cap(pair.filter("is_test"), "label", "doc_id", 40)
-    return profile.label_distribution(capped, "label")
+    sides = []
+    for split, side in (("train", ~F.col("is_test")), ("test", F.col("is_test"))):
+        capped = class_cap(pair.filter(side), "label", "doc_id", 40)
+        sides.append(profile.label_distribution(capped, "label").select(F.lit(split).alias("split"), "*"))
+    return sides[0].union(sides[1])
 
 
 @query("csv_roundtrip", """
@@ -265,6 +269,37 @@ def leak_rows_kept(spark, sf):
     )
 
 
+@query("leak_mixed_types", f"with {LINE_SQL}" + """
+select l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus
+from lines l where l.is_test and not exists (
+  select 1 from train t where t.l_quantity = l.l_quantity and t.l_discount = l.l_discount
+    and t.l_tax is not distinct from l.l_tax and t.l_returnflag = l.l_returnflag
+    and t.l_linestatus = l.l_linestatus)
+""")
+def leak_mixed_types(spark, sf):
+    """The victim's quantities are whole numbers, the guard's are doubles."""
+    lines = table(spark, sf, "lineitem").withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.0)))
+    is_test = F.col("l_orderkey") % 5 == 0
+    victim = lines.filter(is_test).select(*LINE_COLUMNS).withColumn("l_quantity", F.col("l_quantity").cast("int"))
+    left = dedup.remove_leaks(victim, lines.filter(~is_test).select(*LINE_COLUMNS))
+    return left.withColumn("l_quantity", F.col("l_quantity").cast("double"))
+
+
+@query("pair_removal_report", """
+with o as (select o_orderstatus, o_orderpriority, o_custkey, o_orderkey % 5 = 0 as is_test from orders),
+g as (select o_orderstatus, o_orderpriority, o_custkey, count(*) filter (is_test) as n_test,
+  count(*) filter (not is_test) as n_train from o group by all),
+s as (
+  select 'train' as split, n_train as n, greatest(n_train - 1, 0) as copies, 0 as leaks from g
+  union all select 'test', n_test, greatest(n_test - 1, 0), (n_test > 0 and n_train > 0)::int from g)
+select split, sum(n)::bigint as rows_in, sum(copies)::bigint as copies, sum(leaks)::bigint as leaks,
+  sum(n - copies - leaks)::bigint as rows_out from s group by split
+""")
+def pair_removal_report(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    return dedup.pair_report(orders.withColumn("is_test", F.col("o_orderkey") % 5 == 0), "o_orderkey", "is_test")
+
+
 @query("dedup_pair", """
 with sides as (
   select doc_id, lang, text, doc_id % 5 = 0 as is_test from documents),
@@ -283,13 +318,14 @@ def dedup_pair(spark, sf):
 
 
 @query("union_and_split_back", """
-select o_orderkey, o_orderstatus from orders where o_orderkey % 5 = 0
+select o_orderkey, o_orderstatus, case when o_orderkey % 5 = 0 then 'test' else 'train' end as side from orders
 """)
 def union_and_split_back(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     is_test = F.col("o_orderkey") % 5 == 0
     both = dedup.union_sets(orders.filter(~is_test), orders.filter(is_test))
-    return dedup.take_set(both, "test")
+    sides = [dedup.take_set(both, side).withColumn("side", F.lit(side)) for side in ("train", "test")]
+    return sides[0].union(sides[1])
 
 
 @query("replay_append", """

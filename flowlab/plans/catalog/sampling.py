@@ -11,6 +11,7 @@ from flowlab.plans.catalog.registry import query, round_all, table
 
 DOC_ORDER = "md5(doc_id::varchar || ':42'), doc_id"
 EVENT_ORDER = "md5(event_id::varchar || ':42'), event_id"
+EVENT_COLUMNS = "event_id, event_type, user_id, value, props"
 
 
 def capped_sql(source: str, label: str, order: str, cap: str, columns: str) -> str:
@@ -21,27 +22,27 @@ where rn <= {cap}
 """
 
 
-@query("class_cap", capped_sql("documents", "lang", DOC_ORDER, "120", "doc_id, lang"))
+@query("class_cap", capped_sql("documents", "lang", DOC_ORDER, "120", "doc_id, lang, source, n_chars, text"))
 def class_cap(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     return sample.class_cap(docs, "lang", "doc_id", 120)
 
 
 @query("class_cap_by_label", capped_sql(
     "events", "event_type", EVENT_ORDER, "case event_type when 'error' then 700 else 150 end",
-    "event_id, event_type",
+    EVENT_COLUMNS,
 ))
 def class_cap_by_label(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type")
+    events = inputs.whole_events(spark, sf)
     return sample.class_cap(events, "event_type", "event_id", 150, {"error": 700})
 
 
 @query("balanced_two_classes", capped_sql(
     "(select * from events where event_type in ('error', 'click'))", "event_type", EVENT_ORDER, "500",
-    "event_id, event_type",
+    EVENT_COLUMNS,
 ))
 def balanced_two_classes(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type")
+    events = inputs.whole_events(spark, sf)
     return sample.balanced_classes(events, "event_type", "event_id", ["error", "click"], 500)
 
 
@@ -52,35 +53,42 @@ ranked as (
 
 
 def split_sql(fraction: str) -> str:
-    return f"with {RANKED_SQL} select event_id, case when rn <= n - ceil({fraction} * n) then 1 else 2 end as part from ranked"
+    return f"with {RANKED_SQL} select {EVENT_COLUMNS}, case when rn <= n - ceil({fraction} * n) then 1 else 2 end as part from ranked"
 
 
 @query("split_exact", split_sql("0.8"))
 def split_exact(spark, sf):
-    return sample.split_exact(table(spark, sf, "events").select("event_id"), "event_id")
+    return sample.split_exact(inputs.whole_events(spark, sf), "event_id")
 
 
 @query("holdout_by_mode", split_sql("0.3"))
 def holdout_by_mode(spark, sf):
-    return sample.hold_out(table(spark, sf, "events").select("event_id"), "event_id", "multi")
+    return sample.hold_out(inputs.whole_events(spark, sf), "event_id", "multi")
 
 
 @query("client_partition", f"""
-with {RANKED_SQL} select event_id, least((rn - 1) // (n // 7), 6)::int as client from ranked
+with {RANKED_SQL} select {EVENT_COLUMNS}, least((rn - 1) // (n // 7), 6)::int as client from ranked
 """)
 def client_partition(spark, sf):
-    return sample.client_partition(table(spark, sf, "events").select("event_id"), "event_id", 7)
+    return sample.client_partition(inputs.whole_events(spark, sf), "event_id", 7)
 
 
-@query("shuffle_rows", f"with {RANKED_SQL} select event_id, event_type, rn from ranked")
+@query("shuffle_rows", f"with {RANKED_SQL} select {EVENT_COLUMNS}, rn from ranked")
 def shuffle_rows(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type")
-    return sample.global_rank(events, "event_id", target="rn")
+    """The shuffled rows with their place in the output."""
+    shuffled = sample.shuffle_rows(inputs.whole_events(spark, sf), "event_id")
+    placed = shuffled.withColumn("place", F.monotonically_increasing_id())
+    return sample.number_sorted(placed, [F.col("place")], "rn").drop("place")
 
 
-@query("batch_number", f"with {RANKED_SQL} select event_id, (rn - 1) // 64 as batch from ranked")
+@query("global_rank", f"with {RANKED_SQL} select {EVENT_COLUMNS}, rn from ranked")
+def global_rank(spark, sf):
+    return sample.global_rank(inputs.whole_events(spark, sf), "event_id", target="rn")
+
+
+@query("batch_number", f"with {RANKED_SQL} select {EVENT_COLUMNS}, (rn - 1) // 64 as batch from ranked")
 def batch_number(spark, sf):
-    return sample.batch_number(table(spark, sf, "events").select("event_id"), "event_id")
+    return sample.batch_number(inputs.whole_events(spark, sf), "event_id")
 
 
 REPLAY_SQL = """
@@ -223,14 +231,19 @@ def smoothed_class_weights(spark, sf):
 
 
 @query("profile_report", """
-with d as (select lang, source from documents), c as (select count(*) as n from d)
+with d as (
+  select case when doc_id % 7 = 0 then null else source end as source, doc_id // 2 as half, text, lang, n_chars from documents
+  union all select source, -1, text, lang, n_chars from documents), c as (select count(*) as n from d)
 select 'rows' as item, n from c
-union all select 'null_cells', 0 from c
+union all select 'null_cells', (select count(*) from d where source is null) from c
 union all select 'duplicate_rows', n - (select count(*) from (select distinct * from d)) from c
 union all select 'label ' || lang, count(*) from d group by lang
 """)
 def profile_report(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "source")
+    """All columns of the documents, with gaps and copies put in."""
+    docs, key = table(spark, sf, "documents"), F.col("doc_id")
+    gaps = docs.withColumn("source", F.when(key % 7 != 0, F.col("source"))).withColumn("half", F.floor(key / 2))
+    docs = gaps.drop("doc_id").unionByName(docs.withColumn("half", F.lit(-1).cast("long")).drop("doc_id"))
     report = profile.profile(docs, "lang", None)
     line = lambda df, name, value: df.select(name.alias("item"), F.col(value).cast("long").alias("n"))
     return (

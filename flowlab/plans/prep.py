@@ -93,12 +93,13 @@ def prepare_online(
 
     categories = [c for c in fixed.CATEGORICALS if c in train.columns]
     tables = (train, test) if domain == "union" else (train,)
-    found = encode.one_hot_domains(categories, *tables)
+    expand = encode.one_hot_like(categories, *tables)
     both = dedup.union_sets(train, test).withColumn("is_test", F.col("split") == "test").drop("split")
     pair = materialise(dedup.dedup_pair(both, key, "is_test", victim="train"), "pair")
     train, test = pair.filter("not is_test").drop("is_test"), pair.filter("is_test").drop("is_test")
-    train, test = encode.one_hot(train, found), encode.one_hot(test, found)
-    return encode.minmax_pair(train, test, features_of(train, "label", key))
+    train, test = expand(train), expand(test)
+    features = [c for c in features_of(train, "label", key) if c != "onehot"]
+    return encode.minmax_pair(train, test, features)
 
 
 def features_of(df: DataFrame, label: str, key: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,23 +32,42 @@ def read_csv(
     schema: T.StructType,
     na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS),
     multi_line: bool = False,
+    escaped_breaks: bool = True,
 ) -> DataFrame:
     """A CSV file with header. Cells holding a missing-value token become null.
 
     Columns are read as text and then cast by the declared schema, so a token never
-    fails a numeric column, while other malformed numbers do. ``multi_line`` admits line
-    breaks within quotes, at the price of one task per file.
+    fails a numeric column, while other malformed numbers do. A line with a field too many
+    or too few is an error. Text columns have the line breaks that `write_csv` escapes;
+    ``escaped_breaks=False`` takes backslashes as they are. ``multi_line`` admits
+    unescaped line breaks within quotes, at the price of one task per file.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = (
         spark.read.schema(text)
-        .options(header=True, enforceSchema=False, escape='"', multiLine=multi_line)
+        .options(header=True, enforceSchema=False, escape='"', multiLine=multi_line, mode="FAILFAST", columnPruning=False)
         .csv(path)
     )
-    known = lambda c: F.when(~c.isin(*na_tokens), c)
-    return raw.select(
-        *[known(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema]
-    )
+
+    def cell(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        known = F.when(~c.isin(*na_tokens), c)
+        return _unescaped(known) if escaped_breaks and f.dataType == T.StringType() else known.cast(f.dataType)
+
+    return raw.select(*[cell(f).alias(f.name) for f in schema])
+
+
+def _escaped(c: Column) -> Column:
+    """Backslashes doubled, line breaks as backslash and letter."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(plain), F.lit(written))
+    return c
+
+
+def _unescaped(c: Column) -> Column:
+    """Between doubled backslashes, a backslash begins a line break."""
+    breaks = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(F.split(c, r"\\\\"), breaks), "\\")
 
 
 def mode_path(folder: str, split: str, mode: str) -> str:
@@ -91,8 +110,9 @@ def read_described(spark: SparkSession, data: str, description: str) -> tuple[Da
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, no index, quotes doubled, white space kept."""
-    df.write.mode("overwrite").options(
+    """Header, no index, quotes doubled, white space kept, line breaks escaped so that files stay splittable."""
+    texts = {f.name: _escaped(F.col(f"`{f.name}`")) for f in df.schema if f.dataType == T.StringType()}
+    df.withColumns(texts).write.mode("overwrite").options(
         header=True, emptyValue="", escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)

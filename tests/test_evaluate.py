@@ -92,3 +92,19 @@ def test_distillation_of_equal_logits_is_zero(spark):
 def test_cosine_of_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "x_static array<double>, x_dynamic array<double>")
     assert loss.decoupling_loss(df, 9, 10).first()["similarity"] == 0.0
+
+
+@pytest.mark.parametrize("grid", [[0.10, 0.11, 0.12, 0.13, 0.90], [0.9, 0.1, 0.5], [0.4], [0.1, 0.1000001, 0.2]])
+def test_sweep_over_any_grid(spark, grid):
+    scores = [(i % 2, (i * 37 % 101) / 100) for i in range(101)] + [(1, None), (0, 0.125), (1, 0.5), (1, 0.1)]
+    df = spark.createDataFrame(scores, "y_true int, prob double")
+    got = {r.threshold: (r.hits, r.predicted) for r in evaluate.threshold_sweep(df, grid=grid).collect()}
+    passed = lambda t: [y for y, p in scores if p is not None and p > t]
+    assert got == {t: (sum(passed(t)), len(passed(t))) for t in set(grid)}
+
+
+@pytest.mark.parametrize("label", [3, -1, None])
+def test_a_label_outside_the_logits_is_an_error(spark, label):
+    df = spark.createDataFrame([([0.1, 0.2, 0.3], 1), ([0.1, 0.2, 0.3], label)], "logits array<double>, y_true int")
+    with pytest.raises(Exception, match="label outside the logits"):
+        evaluate.mean_log_loss(df).collect()

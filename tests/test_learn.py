@@ -158,3 +158,12 @@ def test_rounds_and_phases_report_metrics(planted):
     first, second, phases = continual.two_phase(df, df, 3, "id", [3], steps=5, rate=1.0)
     assert phases.count() == 2
     assert np.array_equal(first.model.weight[:, 3], second.model.weight[:, 3])
+
+
+@pytest.mark.parametrize(
+    "bad", [([1.0, 2.0], 0), ([1.0, 2.0, 3.0], -1), ([1.0, 2.0, 3.0], None), (None, 1), ([1.0, 2.0, 3.0], 5)]
+)
+def test_a_fit_refuses_bad_rows(spark, bad):
+    df = spark.createDataFrame([([0.0, 1.0, 2.0], 0), ([1.0, 0.0, 2.0], 1), bad], "x array<double>, y int").coalesce(1)
+    with pytest.raises(Exception, match="one width|class numbers|classes"):
+        learn.fit_softmax(df, 2, steps=1)

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowlab import fixed
+from flowlab import fixed, session
 from flowlab.functions import cells
 from flowlab.operators import clean, dedup, encode, sample
 from flowlab.plans import prep
@@ -133,7 +134,6 @@ def test_small_table_helpers(spark):
 
 def test_csv_missing_tokens(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,proto,dur\n1,tcp,0.5\n2,NA,\n3,"null",NaN\n4, ,1\n')
-    from pyspark.sql import types as T
 
     schema = T.StructType([
         T.StructField("id", T.IntegerType()), T.StructField("proto", T.StringType()),
@@ -228,3 +228,63 @@ def test_capped_sizes_of_offline_preparation(spark):
         assert "proto_tcp" in x.columns and "is_sm_ips_ports" not in x.columns
         assert x.columns == y.columns
         assert x.agg(F.max("dur")).first()[0] <= 1.0
+
+
+@pytest.mark.parametrize(("left", "right"), [("int", "long"), ("int", "double"), ("long", "int"), ("double", "int"), ("float", "double")])
+def test_leaks_are_found_by_value(spark, left, right):
+    victim = spark.createDataFrame([(1,), (2,), (None,)], "v int").withColumn("v", F.col("v").cast(left))
+    guard = spark.createDataFrame([(1,), (None,), (7,)], "v int").withColumn("v", F.col("v").cast(right))
+    assert [r.v for r in dedup.remove_leaks(victim, guard).collect()] == [2]
+
+
+def test_csv_refuses_lines_of_another_width(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("t", T.StringType())])
+    for bad in ("1,a,b", "1"):
+        (tmp_path / "bad.csv").write_text(f"id,t\n2,x\n{bad}\n")
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            flow_files.read_csv(spark, str(tmp_path / "bad.csv"), schema).collect()
+
+
+def test_csv_keeps_line_breaks_and_backslashes(spark, tmp_path):
+    texts = ["a\nb", "\\", "\\n", "\\\\n\n", "x\r\ny\\", "\\r\\\\\r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    flow_files.write_csv(df, str(tmp_path / "t"))
+    assert {r.id: r.t for r in flow_files.read_csv(spark, str(tmp_path / "t"), df.schema).collect()} == dict(enumerate(texts))
+
+
+def test_working_tables_are_dropped(spark):
+    with session.working_tables(spark):
+        kept = session.materialise(spark.range(5), "t")
+        assert kept.count() == 5
+        path = kept.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert not os.path.exists(path)
+    assert session.settle(spark.range(5)).count() == 5
+
+
+def test_small_tables_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(session, "SMALL_BYTES", 1000)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 500).alias("t"))
+    assert session.small_or_none(wide) is None and session.settle(wide).count() == 10
+    assert len(session.small_or_none(spark.range(3))) == 3
+
+
+def test_ordinal_codes_of_nan_are_the_same_on_every_path(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (0.5,), (None,)], "v double")
+    for literal, small in ((200, 100_000), (0, 100_000), (0, 0)):
+        monkeypatch.setattr(encode, "LITERAL_CATEGORIES", literal)
+        monkeypatch.setattr(encode, "SMALL_ROWS", small)
+        coded = encode.OrdinalEncoder.fit("v", df).apply(df, "code").collect()
+        assert {repr(r.v): r.code for r in coded} == {"0.5": 0, "1.0": 1, "nan": 2, "None": None}
+
+
+def test_one_hot_of_many_values_is_sparse(spark, monkeypatch):
+    monkeypatch.setattr(encode, "ONE_HOT_CATEGORIES", 3)
+    train = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, "y")], "id int, p string, s string")
+    test = spark.createDataFrame([(4, "c", "x")], "id int, p string, s string")
+    pair = encode.one_hot_pair(train, test, ["p", "s"])
+    got = {r.id: (r.onehot["size"], r.onehot["indices"]) for df in pair for r in df.collect()}
+    assert got == {1: (5, [0, 3]), 2: (5, [1]), 3: (5, [4]), 4: (5, [2, 3])}
+    one = encode.one_hot_pair(train, test, ["p", "s"], "train")[1].first().onehot
+    assert (one["size"], one["indices"]) == (4, [2])

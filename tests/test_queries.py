@@ -26,7 +26,7 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     df = entry(spark)
-    assert df.columns == ["label", "n", "percent"]
+    assert df.columns == ["split", "label", "n", "percent"]
     assert df.count() > 0
 
 
