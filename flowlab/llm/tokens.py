@@ -34,7 +34,7 @@ class Coder:
         if len(known) > self.kept:
             known.clear()
         cut = [t.split(" ") for t in texts]
-        missing: set[str] = set().union(*(islice(parts, 1, None) for parts in cut)) - known.keys()
+        missing = set().union(*(islice(parts, 1, None) for parts in cut)).difference(known)
         open_ended = [m for m in missing if not m or m[-1].isspace()]
         closed = list(missing.difference(open_ended))
         known.update(dict.fromkeys(open_ended))
