@@ -332,6 +332,56 @@ def fit_softmax(
         rows.unpersist()
 
 
+def scale_groups(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Every feature group (an array column) by its own mean and deviation over all rows and places.
+
+    A constant group keeps its distances. One pass finds all groups' sums.
+    """
+    terms = []
+    for g in groups:
+        x = F.col(g).cast("array<double>")
+        square = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
+        terms += [F.sum(F.size(x)).alias(f"n_{g}"), F.sum(vectors.total(x)).alias(f"s_{g}"), F.sum(square).alias(f"q_{g}")]
+    sums = df.agg(*terms).first()
+    scales = {}
+    for g in groups:
+        n = sums[f"n_{g}"] or 1
+        mean = (sums[f"s_{g}"] or 0.0) / n
+        deviation = max((sums[f"q_{g}"] or 0.0) / n - mean * mean, 0.0) ** 0.5
+        scales[g] = (mean, deviation or 1.0)
+
+    def scaled(g: str):
+        mean, deviation = scales[g]
+        return F.transform(F.col(g).cast("array<double>"), lambda v: (v - mean) / deviation)
+
+    return df.withColumns({g: scaled(g) for g in groups}), scales
+
+
+def fit_groups(
+    df: DataFrame,
+    groups: Sequence[str],
+    classes: int,
+    frozen: Sequence[str],
+    steps: int = fixed.EPOCHS,
+    frozen_steps: int = fixed.EPOCHS,
+    rate: float = fixed.LEARNING_RATE,
+    y: str = "y",
+) -> Fit:
+    """A model on several feature groups, each scaled on its own.
+
+    After ``steps`` over all groups, ``frozen_steps`` follow in which the ``frozen`` groups'
+    weights stay.
+    """
+    scaled, _ = scale_groups(df, groups)
+    first = scaled.select(*[F.size(g).alias(g) for g in groups]).first()
+    starts = np.concatenate([[0], np.cumsum([first[g] for g in groups])])
+    held = [j for i, g in enumerate(groups) if g in frozen for j in range(starts[i], starts[i + 1])]
+    joined = scaled.select(F.concat(*groups).alias("x"), F.col(y).alias("y"))
+    together = fit_softmax(joined, classes, steps, rate)
+    after = fit_softmax(joined, classes, frozen_steps, rate, start=together.model.freeze_features(held))
+    return Fit(after.model, together.losses + after.losses)
+
+
 def refit_softmax(
     df: DataFrame,
     old: SoftmaxModel,

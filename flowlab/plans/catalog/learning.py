@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from flowlab.functions import vectors
 from flowlab.operators import encode, evaluate, federate, learn, loss, profile, sample
 from flowlab.operators.clean import reshape
 from flowlab.plans import continual
@@ -310,19 +311,39 @@ def weighted_fit(spark, sf):
     return fitted_metrics(loss.with_class_weight(data, weights, "y"), ["x"], weight="weight")
 
 
-@query("two_group_fit")
+GROUPS_SQL = """
+parts as (
+  select *, x[1:32] as s, [v * 10 for v in x[33:64]] as d from rows),
+scales as (
+  select (select avg(v) from parts, unnest(s) u(v)) as sm, (select stddev_pop(v) from parts, unnest(s) u(v)) as sd,
+    (select avg(v) from parts, unnest(d) u(v)) as dm, (select stddev_pop(v) from parts, unnest(d) u(v)) as dd),
+grouped as (
+  select id, g, w, y, list_append(list_concat([(v - sm) / sd for v in s], [(v - dm) / dd for v in d]), 1.0) as x
+  from parts, scales)"""
+
+
+@query("two_group_fit", sql(
+    ROWS_SQL, GROUPS_SQL, ZERO_SQL, g.steps("a", "grouped", "zero", 2, RATE),
+    g.steps("b", "grouped", "a2", 2, RATE, mask="q.j > 32"), final=g.named("b2", WIDTH),
+))
 def two_group_fit(spark, sf):
-    e = F.col("embedding").cast("array<double>")
+    """Two groups of different scale, the first one frozen after two steps."""
+    x = F.col("x")
     data = rows(spark, sf).select(
-        "vec_id", "y", F.concat(F.slice(e, 1, 32), F.slice(e, 33, 32)).alias("x")
+        "y", F.slice(x, 1, 32).alias("fixed_part"), F.transform(F.slice(x, 33, 32), lambda v: v * 10).alias("moving_part")
     )
-    return fitted_metrics(data, ["x"])
+    fit = learn.fit_groups(data, ["fixed_part", "moving_part"], CLASSES, ["fixed_part"], 2, 2, RATE)
+    return parameters(spark, fit.model)
 
 
 @query("sequence_fit")
 def sequence_fit(spark, sf):
-    data = rows(spark, sf).select("vec_id", "y", F.col("x").alias("v"))
-    return fitted_metrics(reshape(data, "v", 16).drop("v"), ["x"])
+    """Every vector as a sequence of 16 steps, fitted on each step's mean and its change to the next."""
+    data = reshape(rows(spark, sf).select("vec_id", "y", F.col("x").alias("v")), "v", 16, "steps")
+    means = F.transform("steps", lambda step: vectors.total(step) / F.size(step))
+    data = data.withColumn("means", means)
+    change = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.get("means", i) - F.get("means", i - 1))
+    return fitted_metrics(data.select("vec_id", "y", F.concat("means", change).alias("x")), ["x"])
 
 
 @query("image_fit")

@@ -167,3 +167,16 @@ def test_a_fit_refuses_bad_rows(spark, bad):
     df = spark.createDataFrame([([0.0, 1.0, 2.0], 0), ([1.0, 0.0, 2.0], 1), bad], "x array<double>, y int").coalesce(1)
     with pytest.raises(Exception, match="one width|class numbers|classes"):
         learn.fit_softmax(df, 2, steps=1)
+
+
+def test_a_frozen_group_keeps_its_weights(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(5, 3, (200, 3)), rng.normal(-2, 0.1, (200, 2))
+    y = (a[:, 0] + 20 * b[:, 1] > -35).astype(int)
+    rows = [(a[i].tolist(), b[i].tolist(), int(y[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>, y int")
+    scaled, scales = learn.scale_groups(df, ["a", "b"])
+    assert scales["a"] == pytest.approx((a.mean(), a.std())) and scales["b"] == pytest.approx((b.mean(), b.std()))
+    before = learn.fit_groups(df, ["a", "b"], 2, ["a"], 5, 0, 0.3).model
+    after = learn.fit_groups(df, ["a", "b"], 2, ["a"], 5, 5, 0.3).model
+    assert np.allclose(before.weight[:, :3], after.weight[:, :3]) and not np.allclose(before.weight[:, 3:], after.weight[:, 3:])
