@@ -43,10 +43,12 @@ FIT_BYTES = 20_000
 LEAST_Z = 6.0
 LEAST_RATIO = 9.0
 LEAST_ROWS = 5
+#: The same for the classifier's features, which it weighs itself.
+TRAIN_Z = 6.0
 #: Voters for each of: whole words, stems, stems of two or more words of a text.
 DEALT = (3, 4, 4)
 STEMS = (4, 5, 6)
-FEATURES = 4096
+FEATURES = 1024
 PENALTY = 5e-5
 #: Weight of the labelled rows in the label model, against all rows.
 ANCHOR = 1.0
@@ -59,18 +61,6 @@ _ADDRESS = re.compile(r"\b(?:you|your|du|dein|ihr|tu|toi|vous|tú|usted)\b(?: \w
 Feature = tuple[int, str, int]
 
 
-def _counted(words: set[str]) -> Counter[tuple[int, str]]:
-    found = Counter((0, w) for w in words)
-    for n in STEMS:
-        found.update((n, w[:n]) for w in words if len(w) >= n)
-    return found
-
-
-def features(text: str) -> set[Feature]:
-    """Words, stems, and stems that several different words share."""
-    return {(n, s, k) for (n, s), times in _counted(set(_WORD.findall(text.lower()))).items() for k in (1, 2) if times >= k}
-
-
 def present(words: set[str], known: dict[int, set[str]]) -> Counter[tuple[int, str]]:
     """The known words and stems of a text, and in how many of its words each is."""
     found = Counter((0, w) for w in words & known.get(0, set()))
@@ -114,27 +104,42 @@ class Voters:
         return sum(1 << k for k, f in enumerate(fires) if f)
 
 
-def _telling(toxic: Counter, clean: Counter, n1: float, n0: float, ratio: float) -> list[Feature]:
-    """Features that toxic rows have far more often than chance allows, the most telling first."""
-    found = []
-    for f, n in toxic.items():
-        p1, p0 = n / n1, (clean[f] + 0.5) / n0
-        p = (n + clean[f] + 0.5) / (n1 + n0)
-        z = (p1 - p0) / np.sqrt(p * (1 - min(p, 0.999)) * (1 / n1 + 1 / n0))
-        if n >= LEAST_ROWS and z >= LEAST_Z and p1 >= ratio * p0:
-            found.append((-z, f))
-    return [f for _, f in sorted(found)]
-
+def telling(rows: DataFrame, ratio: float, least_z: float = LEAST_Z) -> list[Feature]:
+    """Features that rows with a value from 0.5 on have far more often than chance allows, the most telling first.
 
-def induce(rows: list[tuple[int, set[Feature]]]) -> Voters:
+    ``rows`` (value, words) is a bounded sample without copies. Its words and stems are counted by Spark;
+    only features that pass the row and ratio limits come to the driver.
+    """
+    side = (F.col("value") >= 0.5).cast("int")
+    sizes = {r.side: r.n for r in rows.groupBy(side.alias("side")).agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1:
+        return []
+    n0 = max(n0, 1)
+    named = rows.select(F.monotonically_increasing_id().alias("doc"), side.alias("side"), F.explode("words").alias("w"))
+    stems = [F.when(F.length("w") >= n, F.struct(F.lit(n).alias("n"), F.substring("w", 1, n).alias("s"))) for n in STEMS]
+    parts = F.array_compact(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("s")), *stems))
+    each = named.select("doc", "side", F.explode(parts).alias("f")).groupBy("doc", "side", "f").agg(F.count("*").alias("times"))
+    counts = []
+    for k in (1, 2):
+        has = F.col("times") >= k
+        counts += [F.sum((has & (F.col("side") == y)).cast("int")).alias(f"c{k}{y}") for y in (0, 1)]
+    found = each.groupBy("f").agg(*counts)
+    often = [(F.col(f"c{k}1") >= LEAST_ROWS) & (F.col(f"c{k}1") / n1 >= ratio * (F.col(f"c{k}0") + 0.5) / n0) for k in (1, 2)]
+    good = []
+    for r in found.where(often[0] | often[1]).select("f.n", "f.s", "c11", "c10", "c21", "c20").collect():
+        for k, toxic, clean in ((1, r.c11, r.c10), (2, r.c21, r.c20)):
+            p1, p0 = toxic / n1, (clean + 0.5) / n0
+            p = min((toxic + clean + 0.5) / (n1 + n0), 0.999)
+            z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+            if toxic >= LEAST_ROWS and z >= least_z and p1 >= ratio * p0:
+                good.append((-z, (r.n, r.s, k)))
+    return [f for _, f in sorted(good)]
+
+
+def induce(rows: DataFrame) -> Voters:
     """Lexicon voters from labelled rows: words and stems of toxic ones, dealt over voters."""
-    # Copies of one text are no further evidence.
-    rows = list({(label, frozenset(found)) for label, found in rows})
-    size = {y: max(1, sum(label == y for label, _ in rows)) for y in (0, 1)}
-    seen = {0: Counter(), 1: Counter()}
-    for label, found in rows:
-        seen[label].update(found)
-    good = _telling(seen[1], seen[0], size[1], size[0], LEAST_RATIO)
+    good = telling(rows, LEAST_RATIO)
     kinds = [[f for f in good if f[0] == 0 and f[2] == 1], [f for f in good if f[0] and f[2] == 1], [f for f in good if f[0] and f[2] == 2]]
     return Voters([frozenset(kind[k::n]) for kind, n in zip(kinds, DEALT, strict=True) for k in range(n)])
 
@@ -233,25 +238,41 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(hits), -30, 30))))
 
 
-def train(rows: list[tuple[float, set[Feature]]], mass: tuple[float, float], steps: int = 600) -> Linear:
-    """Logistic regression on soft labels; ``mass`` is what the rows under and over 0.5 stand for."""
-    floor = Linear({}, float(np.log(0.01 / 0.99)))
-    high = np.array([p >= 0.5 for p, _ in rows])
-    if not len(rows) or high.all() or not high.any():
-        return floor
-    seen = {True: Counter(), False: Counter()}
-    for (_, found), h in zip(rows, high.tolist(), strict=True):
-        seen[h].update(found)
+#: Scores where there is nothing to learn from.
+FLOOR = Linear({}, float(np.log(0.01 / 0.99)))
+
+
+def train(rows: DataFrame, mass: tuple[float, float], steps: int = 600) -> Linear:
+    """Logistic regression on soft labels; ``mass`` is what the rows under and from 0.5 stand for.
+
+    ``rows`` (value, words) is a bounded sample; to the driver come, of each row, its value and
+    the places of the chosen features.
+    """
+    chosen = telling(rows, 3.0, TRAIN_Z)[:FEATURES]
+    if not chosen:
+        return FLOOR
+    place, known = {f: i for i, f in enumerate(chosen)}, _known(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for words in batch.column("words").to_pylist():
+                found = present(set(words), known)
+                hits.append(sorted(place[n, s, k] for (n, s), times in found.items() for k in (1, 2) if times >= k and (n, s, k) in place))
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(hits, pa.list_(pa.int32()))], ["value", "hits"])
+
+    sample = rows.mapInArrow(run, "value double, hits array<int>").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["value"], r["hits"]))
+    high = np.array([r["value"] >= 0.5 for r in sample])
+    if high.all():
+        return FLOOR
     rate1, rate0 = float(high.sum()), float((~high).sum())
-    chosen = _telling(seen[True], seen[False], rate1, rate0, 3.0)[:FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (_, found) in enumerate(rows):
-        x[i, [place[f] for f in found if f in place]] = 1
-    y = np.array([p for p, _ in rows], np.float32)
-    weight = np.where(high, mass[1] / rate1, mass[0] / rate0)
+    x = np.zeros((len(sample), len(chosen)), np.float32)
+    for i, r in enumerate(sample):
+        x[i, r["hits"]] = 1
+    y = np.array([r["value"] for r in sample], np.float32)
     # Both sides count, the rarer one at least a quarter.
-    share = np.clip(weight[high].sum() / weight.sum(), 0.25, 0.75)
+    share = np.clip(mass[1] / max(sum(mass), 1e-9), 0.25, 0.75)
     weight = np.where(high, share / rate1, (1 - share) / rate0).astype(np.float32)
     w, b = np.zeros(len(chosen), np.float32), 0.0
     m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -274,19 +295,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _found(docs: DataFrame, sample: DataFrame, value: str) -> list[tuple[float, set[Feature]]]:
-    """(value, features) of the sampled rows, whose number and text sizes are bounded."""
-    ids = F.broadcast(docs.sparkSession.createDataFrame(sample.toArrow(), f"doc_id long, {value} double"))
+def _sampled(docs: DataFrame, sample: DataFrame, once: bool) -> DataFrame:
+    """(value, words) of the sampled rows (doc_id, value), whose number and text sizes are bounded; written.
+
+    With ``once`` copies of a text count as one row.
+    """
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sample.toArrow(), "doc_id long, value double"))
     texts = _keyed(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(ids, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [sorted(set(_WORD.findall((t.as_py() or "").lower()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(value), pa.array(words, pa.list_(pa.string()))], ["doc_id", value, "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(words, pa.list_(pa.string()))], ["value", "words"])
 
-    rows = texts.mapInArrow(run, f"doc_id long, {value} double, words array<string>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return [(r[value], features(" ".join(r["words"]))) for r in rows]
+    rows = texts.mapInArrow(run, "value double, words array<string>")
+    if not once:
+        return materialise(rows, "sample")
+    return materialise(rows.groupBy("words").agg(F.max("value").alias("value")).select("value", "words"), "sample")
 
 
 def _voted(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -313,21 +338,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, train_docs
         .groupBy("doc_id")
         .agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
         .where("low = high")
-        .select("doc_id", F.col("low").cast("double").alias("toxic"))
+        .select("doc_id", F.col("low").cast("double").alias("value"))
     )
-    sample = _hashed(known.where("toxic = 0"), fit_docs).union(_hashed(known.where("toxic = 1"), fit_docs))
-    voters = induce([(int(y), f) for y, f in _found(docs, sample, "toxic")])
+    sample = _hashed(known.where("value = 0"), fit_docs).union(_hashed(known.where("value = 1"), fit_docs))
+    voters = induce(_sampled(docs, sample, once=True))
     voted = materialise(_voted(docs, voters), "votes")
     table = sorted((r.votes, r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())
     if not table:
-        return voters, None, train([], (1.0, 1.0))
+        return voters, None, FLOOR
     patterns, counts = (np.array(c, np.int64) for c in zip(*table, strict=True))
     # To start with, a pattern is as likely toxic as lexicon voters fire in it.
     lexical = len(voters.lists) + 2
     firing = sum((patterns >> k) & 1 for k in range(lexical))
-    rates = {r.low: r.n for r in known.groupBy(F.col("toxic").cast("int").alias("low")).agg(F.count("*").alias("n")).collect()}
-    ids = F.broadcast(docs.sparkSession.createDataFrame(sample.toArrow(), "doc_id long, toxic double"))
-    anchored = [(r.votes, int(r.toxic), r.n) for r in voted.join(ids, "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()]
+    rates = {r.label: r.n for r in known.groupBy(F.col("value").cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sample.toArrow(), "doc_id long, value double"))
+    anchored = [(r.votes, int(r.value), r.n) for r in voted.join(ids, "doc_id").groupBy("votes", "value").agg(F.count("*").alias("n")).collect()]
     # Labelled rows weigh as much as all others, either class by its share of the labels.
     size = {y: sum(n for _, label, n in anchored if label == y) for y in rates}
     weigh = {y: ANCHOR * counts.sum() * n / sum(rates.values()) / max(size[y], 1) for y, n in rates.items()}
@@ -340,9 +365,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, train_docs
     picked = _hashed(open_rows.where(is_toxic), train_docs).union(_hashed(open_rows.where(~is_toxic), train_docs))
     chance = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     spark = docs.sparkSession
-    soft = spark.createDataFrame([(r.doc_id, float(chance[r.votes])) for r in picked.collect()], "doc_id long, chance double")
+    soft = spark.createDataFrame([(r.doc_id, float(chance[r.votes])) for r in picked.collect()], "doc_id long, value double")
     mass = (float(counts[posterior < 0.5].sum()), float(counts[posterior >= 0.5].sum()))
-    return voters, model, train(_found(docs, soft.groupBy("doc_id").agg(F.avg("chance").alias("chance")), "chance"), mass)
+    return voters, model, train(_sampled(docs, soft.groupBy("doc_id").agg(F.avg("value").alias("value")), once=False), mass)
 
 
 def score(docs: DataFrame, classifier: Linear) -> DataFrame:
