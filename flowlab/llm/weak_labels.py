@@ -116,7 +116,9 @@ def telling(rows: DataFrame, ratio: float, least_z: float = LEAST_Z) -> list[Fea
     if not n1:
         return []
     n0 = max(n0, 1)
-    named = rows.select(F.monotonically_increasing_id().alias("doc"), side.alias("side"), F.explode("words").alias("w"))
+    # Numbered before the explosion: beside it, every word would get a number of its own.
+    numbered = rows.withColumn("doc", F.monotonically_increasing_id())
+    named = numbered.select("doc", side.alias("side"), F.explode("words").alias("w"))
     stems = [F.when(F.length("w") >= n, F.struct(F.lit(n).alias("n"), F.substring("w", 1, n).alias("s"))) for n in STEMS]
     parts = F.array_compact(F.array(F.struct(F.lit(0).alias("n"), F.col("w").alias("s")), *stems))
     each = named.select("doc", "side", F.explode(parts).alias("f")).groupBy("doc", "side", "f").agg(F.count("*").alias("times"))
