@@ -2,12 +2,14 @@
 
 Fixed patterns find assignments to telling names, access keys and long hex strings. The
 lexer reads source and configuration syntax as name-literal pairs (``name = "x"``,
-``"name": "x"``, ``name := x``, ``name => 'x'``), carries constants through later names
+``"name": "x"``, ``name := x``, ``name => 'x'``), also with a type or a further name before
+the value (``name: str = "x"``, ``a = name = "x"``), carries constants through later names
 (``a = "x"`` ... ``password = a``, also joined by ``+``), and scores each literal by the
-most telling name it reaches. What scores enough is a span of kind ``literal``.
+most telling name it reaches. What scores enough is a span of kind ``literal``. A bare value
+is searched for pairs of its own (``INFO: name=x``).
 
 Spans are code points, end exclusive. Base spans are whole matches; a literal span is the
-literal's content, and is added where no base span holds it. Cases: a null text is empty;
+literal's content, and is added where no base span and no other literal span holds it. Cases: a null text is empty;
 a text without findings has zero counts and empty spans; rows are scanned one by one, so
 repeated rows and null ids need no rule. Extra columns are not read.
 """
@@ -43,11 +45,17 @@ NAME_SCORE = {
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "username", "redacted", "undefined", "default", "required"}
 THRESHOLD = 4.0
 
-_OPERAND = r"""(?:"(?P<d%d>[^"\n]*)"|'(?P<s%d>[^'\n]*)'|(?P<b%d>[^\s"',;+(){}\[\]<>]+))"""
-_PAIR = re.compile(
-    r"""["']?(?<![\w.$-])(?P<name>[A-Za-z_][\w.-]{0,80})["']?[ \t]*(?:=>|:=|=(?!=)|:(?!:))[ \t]*""" + _OPERAND % (0, 0, 0)
+_HEAD = re.compile(r"""["']?(?<![\w.$-])(?P<name>[A-Za-z_][\w.-]*+)["']?[ \t]*(?P<sign>=>|:=|=(?!=)|:(?!:))[ \t]*""")
+_OPERAND = re.compile(r""""(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<b>[^\s"',;+(){}\[\]<>]+)""")
+_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_SIGN = re.compile("[:=]")
+# Types and further names, each with the "=" after it, that stand between a name and its value.
+_ONE = (
+    r"""(?:[&*?]|\[\]|'\w+[ \t]+|(?:mut|const|final|readonly|unsigned|dyn)[ \t]+)*+"""
+    r"""(?:[A-Za-z_][\w.-]*+(?:::[\w.]++)*+|\[[^\]\n=]{1,100}\]|"[^"\n=]{1,100}"|'[^'\n=]{1,100}')"""
+    r"""(?:[ \t]*\[[^\]\n=]{0,100}\]|<[^\n=;]{0,100}>)*[\]>?!*&]*"""
 )
-_MORE = re.compile(r"[ \t]*\+[ \t]*" + _OPERAND % (0, 0, 0))
+_TYPED = re.compile(rf"(?:{_ONE}(?:[ \t]*[|&][ \t]*{_ONE}){{0,8}}[ \t]*=(?![=>])[ \t]*){{1,4}}+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(r"[A-Za-z_][\w.-]*")
 
@@ -73,53 +81,96 @@ def name_score(name: str) -> float:
     return sum(NAME_SCORE.get(p, 0.0) for p in {*parts, *joined})
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    """How much a literal looks like generated or chosen characters rather than words."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or " " in value:
+def literal_score(seen: Counter, word: str, quoted: bool) -> float:
+    """How much a literal, by its characters' counts, looks like generated or chosen ones rather than words."""
+    n = seen.total()
+    if n < 6 or word.lower() in PLACEHOLDERS or len(seen) < 4 or " " in seen:
         return -math.inf
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit))
-    if not quoted and not any(c.isdigit() for c in value):
+    kinds = sum(any(test(c) for c in seen) for test in (str.islower, str.isupper, str.isdigit))
+    if not quoted and not any(c.isdigit() for c in seen):
         return -math.inf
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    entropy = -math.fsum(k / n * math.log2(k / n) for k in seen.values())
     return entropy / 2 + 0.5 * (kinds - 1)
 
 
 def literals(text: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, score) of every literal that some name holds, with its most telling name."""
-    # name -> the literals its value is made of; literal -> its best score.
-    holds: dict[str, list[tuple[int, int, bool]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    at = 0
-    while m := _PAIR.search(text, at):
-        name, parts, step = m["name"], [], m
-        while step:
-            for group, quoted in (("d0", True), ("s0", True), ("b0", False)):
-                if step[group] is not None:
-                    value, (a, b) = step[group], step.span(group)
-                    if quoted or value not in holds:
-                        constant = quoted or not _IDENTIFIER.fullmatch(value) or any(c.isdigit() for c in value)
-                        parts += [(a, b, quoted)] if constant else []
-                    else:
-                        parts += holds[value]
-            at, step = step.end(), _MORE.match(text, step.end())
-        telling = name_score(name)
-        for a, b, quoted in parts:
-            score = telling + literal_score(text[a:b], quoted) if telling else 0.0
-            best[a, b] = max(best.get((a, b), -math.inf), score)
-        holds[name] = parts
-    for (a, b), score in best.items():
-        yield a, b, score
+    """(start, end, score) of every literal that a telling name holds, with its most telling name."""
+    # Each pair's score by its name, and what its value is made of: literals and earlier pairs. Name -> its last pair.
+    telling: list[float] = []
+    made: list[list[tuple[int, int, bool] | int]] = []
+    holds: dict[str, int] = {}
+    # Where the search is, the bare value it is in, and the end of the joined values it is in.
+    at, run, outer = 0, (0, 0), 0
+
+    def joined(start: int, inner: bool) -> tuple[list[tuple[int, int, bool] | int], int, tuple[int, int] | None]:
+        """What the operands from ``start`` on are, their end, and the bare one to search for pairs."""
+        parts, end, search = [], start, None
+        while True:
+            if run[0] <= start < run[1]:
+                a, b, quoted = start, run[1], False
+            elif step := _OPERAND.match(text, start):
+                (a, b), quoted = step.span(step.lastgroup), step.lastgroup != "b"
+            else:
+                return parts, end, search
+            signed = not quoted and _SIGN.search(text, a, b) is not None
+            if not quoted and not signed and (value := text[a:b]) in holds:
+                parts.append(holds[value])
+            elif quoted or signed or not _IDENTIFIER.fullmatch(value) or any(c.isdigit() for c in value):
+                parts.append((a, b, quoted))
+            first, end = end == start, b + quoted
+            more = _PLUS.match(text, end)
+            # A pair inside a value reads no further than the next operand that holds one.
+            last = not more or signed and inner and not first
+            if search is None and (signed or last and not quoted):
+                search = a, b
+            if last:
+                return parts, end, search
+            start = more.end()
+
+    while m := _HEAD.search(text, at):
+        parts, end, search = joined(m.end(), m.start() < outer)
+        if end == m.end() and m["sign"] == ":=":  # no value: the "=" is the one of ":"
+            parts, end, search = joined(m.start("sign") + 1, m.start() < outer)
+        if typed := _TYPED.match(text, m.end()):
+            more, stop, _ = joined(typed.end(), True)
+            if m["sign"] == ":" and more and isinstance(more[0], tuple) and more[0][2] and not _SIGN.search(text, m.end(), end):
+                parts = []  # a type
+            parts, outer = parts + more, max(outer, stop)
+        outer = max(outer, end)
+        at = search[0] if search else end
+        run = search or run
+        holds[m["name"]] = len(made)
+        telling.append(name_score(m["name"]))
+        made.append(parts)
+    best: dict[tuple[int, int, bool], float] = {}
+    for i in reversed(range(len(made))):
+        for part in made[i] if telling[i] else ():
+            if isinstance(part, int):
+                telling[part] = max(telling[part], telling[i])
+            else:
+                best[part] = max(best.get(part, 0.0), telling[i])
+    # Literals with one end lie in each other: their characters are counted once.
+    seen, begin, stop = Counter(), 0, -1
+    for (a, b, quoted), score in sorted(best.items(), key=lambda x: (x[0][1], -x[0][0])):
+        if b != stop:
+            seen, begin, stop = Counter(), b, b
+        seen.update(text[a:begin])
+        begin = a
+        yield a, b, score + literal_score(seen, text[a:b] if b - a <= 16 else "", quoted)
 
 
 def scan(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
     """All spans, by start, then kind."""
     found = base_spans(text)
     if "=" in text or ":" in text:
-        held = [(a, b) for a, _, b, _ in found]
-        for a, b, score in literals(text):
-            if score >= threshold and not any(x <= a and b <= y for x, y in held):
-                found.append((a, 3, b, a))
+        found += [(a, 3, b, a) for a, b, score in literals(text) if score >= threshold]
+        # By start, base spans before literals, long before short: a literal in another span ends before that one does.
+        kept, reach = [], -1
+        for span in sorted(found, key=lambda s: (s[0], s[1] == 3, -s[2])):
+            if span[1] < 3 or span[2] > reach:
+                kept.append(span)
+                reach = max(reach, span[2])
+        found = kept
     return sorted(found)
 
 
