@@ -17,7 +17,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.text import text_slices
-from flowlab.llm.tokens import Coder, vocabulary_coder
+from flowlab.llm.tokens import Coder, file_coder, vocabulary_coder
 from flowlab.session import materialise
 
 LENGTH = 2048
@@ -38,15 +38,23 @@ QUEUES = 4096
 SMALL_STARTS = 200_000
 
 _CODERS: dict[str, Coder] = {}
+_FILES: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def _coder(vocabulary: str) -> Coder:
-    """One coder per worker process."""
+    """One coder of ordinary text per worker process."""
     if vocabulary not in _CODERS:
         _CODERS[vocabulary] = vocabulary_coder(vocabulary)
     return _CODERS[vocabulary]
 
 
+def _file_coder(vocabulary: str) -> Callable[[list[str]], list[bytes]]:
+    """One coder by the file's own rules, added tokens included, per worker process."""
+    if vocabulary not in _FILES:
+        _FILES[vocabulary] = file_coder(vocabulary, _coder(vocabulary))
+    return _FILES[vocabulary]
+
+
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, queue, part, start, n, ids): ids as 16-bit numbers with the end id, one pass.
 
@@ -55,7 +63,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, end = _coder(vocabulary), np.uint16(end_id).tobytes()
+        use, end = _file_coder(vocabulary), np.uint16(end_id).tobytes()
         used: dict[str, int] = {}
         for part in text_slices(batches, limit=2 << 20):
             raw = part.data.tobytes()

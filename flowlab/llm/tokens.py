@@ -59,34 +59,58 @@ class Coder:
 _PLAIN = re.compile("[\n\t\r -~\u00a1-\u024f]*")
 
 
+def _encoded(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+    out = []
+    for at in range(0, len(texts), 4096):
+        some = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+        out += [np.array(e.ids, np.uint16).tobytes() for e in some]
+    return out
+
+
+def file_coder(path: str, pieces: Coder) -> Callable[[list[str]], list[bytes]]:
+    """The ids of the ``tokenizers`` file at ``path`` by its own rules, as unsigned 16-bit numbers.
+
+    A text that holds an added token's string goes to tokenizers whole, all others to ``pieces``.
+    """
+    with open(path) as lines:
+        added = [t["content"] for t in json.load(lines).get("added_tokens", [])]
+    # Made when a text needs it.
+    own: list[Tokenizer] = []
+
+    def encode(texts: list[str]) -> list[bytes]:
+        held = [any(a in t for a in added) for t in texts]
+        if not any(held):
+            return pieces(texts)
+        if not own:
+            own.append(Tokenizer.from_file(path))
+        whole = iter(_encoded(own[0], [t for t, h in zip(texts, held, strict=True) if h]))
+        rest = iter(pieces([t for t, h in zip(texts, held, strict=True) if not h]))
+        return [next(whole if h else rest) for h in held]
+
+    return encode
+
+
 def vocabulary_coder(path: str) -> Coder:
-    """A coder with the ids of the ``tokenizers`` file at ``path``, as unsigned 16-bit numbers.
+    """A coder of ordinary text with the ids of the ``tokenizers`` file at ``path``, as unsigned 16-bit numbers.
 
     If the file is byte-level BPE whose merges come in the order of ids, strings of Latin
     script are merged by tiktoken over the same vocabulary, several times as fast; all other
     strings, and all of any other file, go to tokenizers.
     """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # file_coder takes texts that hold their strings
     if tokenizer.get_vocab_size() > 65536:
         raise ValueError("ids must stay under 65536")
     ranks = _ranks(path)
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def slow(texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 4096):
-            some = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, np.uint16).tobytes() for e in some]
-        return out
-
     def encode(texts: list[str]) -> list[bytes]:
         if fast is None:
-            return slow(texts)
+            return _encoded(tokenizer, texts)
         one = fast.encode_ordinary
         out = [np.array(one(t), np.uint16).tobytes() if _PLAIN.fullmatch(t) else None for t in texts]
-        rest = iter(slow([t for t, o in zip(texts, out, strict=True) if o is None]))
+        rest = iter(_encoded(tokenizer, [t for t, o in zip(texts, out, strict=True) if o is None]))
         return [next(rest) if o is None else o for o in out]
 
     return Coder(encode)

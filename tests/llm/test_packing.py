@@ -103,5 +103,14 @@ def test_ids_by_pieces_are_those_of_whole_texts(rows, tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids == other.encode_ordinary(text)
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|> x", "a <|endoftext| > b", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")
+    by_file = Tokenizer.from_file(VOCABULARY)
+    got = {p.doc_id: list(p.ids) for p in q.pack(df, VOCABULARY, length=4096, with_ids=True).collect()}
+    assert got == {i: [*by_file.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 1]
+
+
 def test_no_documents(no_docs):
     assert q.pack(no_docs, VOCABULARY).count() == 0
