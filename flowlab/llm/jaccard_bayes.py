@@ -7,8 +7,9 @@ threshold falls below a tolerance, and the Jaccard coefficient of what is left i
 Cases: shingles are sets of five consecutive words; a text of one to four words has one
 shingle of them all; a text without words (null, empty, blank) links with nothing. Texts
 with equal shingle sets are one class, compared once and counted with its size; so rows
-repeating a document link as copies do. Rows without a doc_id are returned with a null class and no link.
-The smallest doc_id names a class, so ties cannot occur. Extra columns are not read.
+repeating a document link as copies do. A doc_id on rows with different texts stands for each of
+them: every row has the links and class of its own text. Rows without a doc_id are returned with a
+null class and no link. The smallest doc_id names a class, so ties cannot occur. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.llm.blocks import candidate_components, heads_of, in_blocks, per_task
@@ -92,7 +93,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_a, set_b, n_shingles, signature): 128 bits name the shingle set."""
+    """(doc_id, text_key, set_a, set_b, n_shingles, signature): 128 bits name the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -103,30 +104,36 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own = np.unique(values[at[i] : at[i + 1]])
                 sizes[i] = len(own)
                 names[i] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            columns = [part.rows.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes)]
+            columns = [part.rows.column("doc_id"), part.rows.column("text_key"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, _fixed(minhashes(values, at))], ["doc_id", "set_a", "set_b", "n_shingles", "signature"]
+                [*columns, _fixed(minhashes(values, at))], ["doc_id", "text_key", "set_a", "set_b", "n_shingles", "signature"]
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, n_shingles long, signature binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, set_a long, set_b long, n_shingles long, signature binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
+
+
+def _text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _bands(representatives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = _matrix(batch.column("signature"))
-            node = batch.column("rep").to_numpy(zero_copy_only=False)
+            node = batch.column("node").to_numpy(zero_copy_only=False)
             for b in range(BANDS):
                 key = np.full(len(node), b, U64)
                 for k in range(b * ROWS, (b + 1) * ROWS):
                     key = scramble(key * _FACTOR[0] + signature[:, k])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return representatives.select("rep", "signature").mapInArrow(run, "key long, node long")
+    return representatives.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -172,7 +179,7 @@ def similar_pairs(
 def _compare(threshold: float, least: list[int]):
     def work(group: pa.Table) -> pa.RecordBatch:
         nodes = group.column("node").to_numpy()
-        # A doc_id can stand on several rows; the one with the class's own shingle set counts.
+        # A text can stand on several rows of its doc_id; one with the node's own shingle set counts.
         sets, keep = [], {}
         i = 0
         for part in text_slices(group.to_batches()):
@@ -207,6 +214,12 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
     ``set_id``: smallest doc_id with the same shingle set. ``n_links``: other rows at or over
     the threshold. ``class_id``: smallest doc_id reachable by links.
+    """
+    return _classed(docs, threshold, tolerance).select("doc_id", "class_id", "set_id", "n_links", "n_shingles")
+
+
+def _classed(docs: DataFrame, threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``join_similar`` with the text_key of each row and, as class_key, that of its class's first row.
 
     Shuffled are band keys of the distinct sets, the texts once, and the candidate
     components' texts once for each block they meet. Work within a component is quadratic
@@ -215,49 +228,73 @@ def join_similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     sketch = materialise(sketches(docs), "sketches")
     names = ["set_a", "set_b"]
     known = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(known.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    signed = F.when(F.col("doc_id") == F.col("rep"), F.col("signature"))
-    members = known.join(classes, names).select("doc_id", "rep", "copies", "set_a", "n_shingles", signed.alias("signature"))
+    # A set is a node with a number of its own; its smallest row has the text that is compared.
+    row = F.struct("doc_id", "text_key")
+    classes = known.groupBy(*names).agg(F.min(row).alias("first"), F.count("*").alias("copies"))
+    classes = classes.select(*names, "first", "copies", F.monotonically_increasing_id().alias("node"))
+    classes = materialise(classes, "classes")
+    signed = F.when(row == F.col("first"), F.col("signature"))
+    members = known.join(classes, names).select(
+        "doc_id", "text_key", "node", "first", "copies", "set_a", "n_shingles", signed.alias("signature")
+    )
     members = materialise(members, "members")
-    firsts = members.where("doc_id = rep")
+    firsts = members.where(row == F.col("first"))
     near = candidate_components(_bands(firsts))
-    # A rep repeated with its text is one node.
-    nodes = near.join(firsts.dropDuplicates(["rep"]), near.node == firsts.rep).select(
-        "node", "component", "copies", "set_a", "signature"
+    # A first row repeated is one node.
+    nodes = near.join(firsts.dropDuplicates(["node"]), "node").select(
+        "node", "component", "first", "copies", "set_a", "signature"
     )
     dealt = in_blocks(materialise(nodes, "nodes"))
-    texts = dealt.join(_keyed(docs), dealt.node == F.col("doc_id")).drop("doc_id")
+    keyed = _keyed(docs)
+    own = (dealt["first.doc_id"] == keyed.doc_id) & (dealt["first.text_key"] == keyed.text_key)
+    texts = dealt.join(keyed, own).drop("first", "doc_id", "text_key")
     compared = per_task(texts, _compare(threshold, least_matches(threshold, tolerance)), "node long, links long, head long")
     compared = materialise(compared, "compared")
-    links = compared.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(compared.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    found = materialise(
-        links.join(groups, links.rep == groups.node, "left").select("rep", "links", F.coalesce("component", "rep").alias("class_id")),
-        "links",
-    )
-    linked = members.join(found, "rep", "left").select(
+    found = links.join(groups, "node", "left").join(classes.select("node", "first"), "node")
+    found = materialise(found.select("node", "links", F.coalesce("component", "node").alias("component"), "first"), "links")
+    heads = found.groupBy("component").agg(F.min("first").alias("head"))
+    found = found.join(heads, "component").select("node", "links", "head")
+    head = F.coalesce("head", "first")
+    linked = members.join(found, "node", "left").select(
         "doc_id",
-        F.coalesce("class_id", "rep").alias("class_id"),
-        F.col("rep").alias("set_id"),
+        head["doc_id"].alias("class_id"),
+        F.col("first.doc_id").alias("set_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         "n_shingles",
+        "text_key",
+        head["text_key"].alias("class_key"),
     )
+    own = [F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links")]
     rest = sketch.where("n_shingles = 0 or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles"
+        "doc_id", *own, "n_shingles", "text_key", F.col("text_key").alias("class_key")
     )
     return linked.union(rest)
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id; rows without an id stay.
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, per_id: bool = True) -> DataFrame:
+    """Of the rows of each class the first by doc_id; rows without an id stay.
 
-    Of rows repeating the doc_id that stays, one is kept.
+    With ``per_id`` only one of the rows that then share a doc_id is kept; without it all
+    their texts are, and a row goes only if its text belongs to a class already kept.
     """
-    classes = materialise(join_similar(docs, threshold), "classes")
-    gone = classes.where("class_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    classes = materialise(_classed(docs, threshold), "classes")
+    known = classes.where("doc_id is not null").select("doc_id", "text_key", (F.struct("doc_id", "text_key") != F.struct("class_id", "class_key")).alias("later"))
+    keys = ["doc_id", "text_key"]
+    left = _matching(docs, known.where("later").select(*keys).distinct(), keys, "left_anti")
+    keys = keys[:1] if per_id else keys
+    twice = known.where("not later").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
     if twice.isEmpty():
         return left
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+    once = _matching(left, twice, keys, "left_semi")
+    text = _text_key(F.col("text").cast("string"))
+    numbered = once.select(F.struct(*once.columns).alias("row"), "doc_id", text.alias("text_key")).dropDuplicates(keys)
+    return _matching(left, twice, keys, "left_anti").union(numbered.select("row.*"))
+
+
+def _matching(docs: DataFrame, keyed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """The rows of ``docs`` with (left_semi) or without (left_anti) their doc_id and text_key in ``keyed``."""
+    own = {"doc_id": docs["doc_id"].cast("long"), "text_key": _text_key(docs["text"].cast("string"))}
+    same = [own[k] == keyed[k] for k in keys]
+    return docs.join(keyed, same, how)

@@ -81,6 +81,22 @@ def test_keep_one(docs, rows):
     assert {d: 1 for d, _, _ in classes if d is not None and d not in gone} == {d: n for d, n in ids.items() if d is not None}
 
 
+def test_different_texts_of_one_id(spark):
+    r = random.Random(7)
+    texts = [" ".join(f"v{r.randrange(500)}" for _ in range(80)) for _ in range(12)]
+    # Every text under id 1, near copies of each under ids of their own, one of them under a smaller id.
+    rows = [(1, t) for t in texts] + [(10 + i, t + " end") for i, t in enumerate(texts)] + [(0, "start " + texts[4]), (1, texts[2])]
+    rows += [(30, texts[7]), (30, "only here are these few words"), (31, ""), (31, None)]
+    expected = brute(rows)
+    assert sum(n > 0 for _, _, n in expected) == len(rows) - 3
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert got(q.join_similar(df)) == expected
+        kept = sorted((d, t or "") for d, t in q.keep_one(df, per_id=False).collect())
+        first = [(1, t) for i, t in enumerate(texts) if i != 4]
+        assert kept == sorted([*first, (0, "start " + texts[4]), (30, "only here are these few words"), (31, "")])
+
+
 def test_no_documents(no_docs):
     assert q.join_similar(no_docs).count() == 0
     assert q.keep_one(no_docs).count() == 0
