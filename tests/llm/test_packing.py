@@ -112,5 +112,26 @@ def test_added_tokens_are_those_of_the_file(spark):
     assert got[0] == [64, 220, 50256, 275, 1]
 
 
+@pytest.mark.parametrize("targets", [None, {"s3": 0.5, "s4": 0.2, "absent": 1.0}])
+def test_more_sources_than_a_plan_holds(spark, tokenizer, monkeypatch, targets):
+    texts = [(i, f"alpha beta {i} " * (3 + i % 9), f"s{i % 3 if i % 2 else i % 60}") for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(5)
+    few = q.pack(df, VOCABULARY, targets, length=128, window=1024, with_ids=True).collect()
+    monkeypatch.setattr(q, "QUEUES", 10)
+    many = q.pack(df, VOCABULARY, targets, length=128, window=1024, with_ids=True).collect()
+    check(many, [t[:2] for t in texts], tokenizer, 128)
+    source = {d: s for d, _, s in texts}
+    assert all(p.source == source[p.doc_id] for p in many)
+
+    def served(pieces):
+        taken = defaultdict(int)
+        for p in pieces:
+            taken[(p.sequence_id * 128 + p.offset) // 1024, p.source] += p.length
+        return taken
+
+    a, b = served(few), served(many)
+    assert all(abs(a[c] - b[c]) <= 2 for c in {*a, *b})
+
+
 def test_no_documents(no_docs):
     assert q.pack(no_docs, VOCABULARY).count() == 0
