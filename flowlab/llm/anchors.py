@@ -39,7 +39,10 @@ def smallest_in(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest of every ``width`` consecutive values, by start; of equal ones the last."""
     n = len(values)
     if n >= 1 << _PLACE:
-        raise ValueError("a text is longer than an anchor place can hold")
+        # Stretches that share all but one unit of a window have every window in one of them.
+        step = (1 << _PLACE) - width
+        starts = range(0, n - width + 1, step)
+        return np.concatenate([smallest_in(values[i : i + step + width - 1], width) + i for i in starts])
     low = U64((1 << _PLACE) - 1)
     keyed = (values & ~low) | (low - np.arange(n, dtype=U64))
     padded = np.full(-(-n // width) * width, ~U64(0))

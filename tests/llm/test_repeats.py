@@ -105,3 +105,14 @@ def test_suffix_order():
         for size in (1, 2, 5, 300, 1 << 22):
             values = np.array([r.randrange(size) for _ in range(n)], np.int64)
             assert suffix_dcx.suffix_order(values).tolist() == sorted(range(n), key=lambda i: values[i:].tolist())
+
+
+def test_anchors_of_a_text_longer_than_a_place_holds(monkeypatch):
+    from flowlab.llm import anchors
+
+    values = np.random.default_rng(3).integers(0, 2**63, 1000, dtype=np.uint64) << np.uint64(1)
+    values[::7] = values[0]
+    expected = anchors.smallest_in(values, 20)
+    monkeypatch.setattr(anchors, "_PLACE", 8)
+    for n in (255, 256, 257, 492, 493, 1000):
+        assert (anchors.smallest_in(values[:n], 20) == expected[: n - 19]).all()
