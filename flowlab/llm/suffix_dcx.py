@@ -1,6 +1,7 @@
-"""Suffix-array deduplication by a distributed difference-cover algorithm, on bytes.
+"""Suffix-array deduplication by difference-cover sorting within tasks, dealt by anchors, on bytes.
 
-Texts are dealt by winnowed anchors: two equal windows have the same anchor and so reach
+This stands in for a difference-cover sort distributed over all data: Spark sorts no triples
+or ranks. Texts are dealt by winnowed anchors: two equal windows have the same anchor and so reach
 the same task, inside the stretches of text around it. Each task sorts the suffixes of its
 stretches by difference cover: suffixes at places 1 and 2 modulo 3 are named by their
 sorted triples, recursively on the names until these differ; the remaining suffixes follow
