@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlab.llm import bpe_duck, jaccard_bayes, pack_mixture, pstable, quality_crf, secret_lexer, seed_extend, suffix_dcx, warc, weak_labels
+from flowlab.llm import (
+    bpe_duck,
+    collocations,
+    jaccard_bayes,
+    line_marginals,
+    pack_mixture,
+    pstable,
+    quality_crf,
+    secret_lexer,
+    seed_extend,
+    suffix_dcx,
+    warc,
+    weak_labels,
+)
 from flowlab.plans.catalog.registry import query, table
 
 
@@ -61,3 +74,13 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secret_lexer")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_lexer.find(table(spark, folder, "documents"))
+
+
+@query("op12_hat_trie_phrases", collocations.SQL)
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_line_marginals")
+def line_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    return line_marginals.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
