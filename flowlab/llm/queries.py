@@ -11,6 +11,7 @@ from flowlab.llm import (
     jaccard_bayes,
     line_marginals,
     pack_mixture,
+    prefix_trie,
     pstable,
     quality_crf,
     secret_lexer,
@@ -76,6 +77,11 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_lexer.find(table(spark, folder, "documents"))
 
 
+@query("op11_prefix_trie", prefix_trie.SQL)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.build(table(spark, folder, "conversations"))
+
+
 @query("op12_hat_trie_phrases", collocations.SQL)
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
