@@ -33,14 +33,16 @@ LONGEST = 3
 LEAST = 10
 FIRST = 2000
 #: A container bursts beyond this many phrases, a task spills beyond that many.
-BURST, HELD = 1 << 16, 1_200_000
+BURST, HELD = 1 << 16, 1_000_000
+#: Parts of a language that are ranked on their own first.
+SALTS = 32
 #: Bytes of text per prefix partition.
-PART_BYTES = 4 << 20
+PART_BYTES = 3 << 20
 #: Shuffle partitions at most; beyond them one holds several prefix partitions, merged in turn.
 SHUFFLE = 20_000
 #: Word ids have 21 bits, so that three of them make one key; with so many words a task starts anew.
 BITS = 21
-WORDS = 400_000
+WORDS = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,6 +52,35 @@ GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 
 
+class Container:
+    """A hash table from keys to counts in two arrays, open addressing; key 0 marks a free slot."""
+
+    def __init__(self, slots: int = 1 << 10):
+        self.keys, self.counts, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int64), 0
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(self.keys)
+        return self.keys[used], self.counts[used]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of distinct keys, all at once: what meets another key moves on to the next slot."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            held = self.items()
+            self.__init__(1 << (4 * (self.size + len(keys)) - 1).bit_length())
+            if len(held[0]):
+                self.add(*held)
+        table, mask = self.keys, len(self.keys) - 1
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - mask.bit_length())).view(np.int64)
+        while len(keys):
+            free = table[slot] == 0
+            table[slot[free]] = keys[free]
+            own = table[slot] == keys
+            self.counts[slot[own]] += counts[own]
+            self.size += int((own & free).sum())
+            rest = ~own
+            keys, counts, slot = keys[rest], counts[rest], (slot[rest] + 1) & mask
+
+
 class HatTrie:
     """Counts of keys of three word ids (0: none), in hash containers that cover ranges of keys.
 
@@ -60,7 +91,7 @@ class HatTrie:
 
     def __init__(self) -> None:
         self.bounds: list[int] = [0]
-        self.containers: list[dict[int, int]] = [{}]
+        self.containers: list[Container] = [Container()]
         self.size = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -68,45 +99,47 @@ class HatTrie:
         cuts = np.searchsorted(keys, np.array(self.bounds[1:], np.int64)).tolist()
         full = []
         for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-            if a == b:
-                continue
-            held = self.containers[i]
-            before, get = len(held), held.get
-            for k, c in zip(keys[a:b].tolist(), counts[a:b].tolist(), strict=True):
-                held[k] = get(k, 0) + c
-            self.size += len(held) - before
-            if len(held) > BURST:
-                full.append(self.bounds[i])
+            if a < b:
+                held = self.containers[i]
+                self.size -= held.size
+                held.add(keys[a:b], counts[a:b])
+                self.size += held.size
+                if held.size > BURST:
+                    full.append(self.bounds[i])
         for bound in full:
             self._burst(bound)
 
     def _burst(self, bound: int) -> None:
         i = bisect_right(self.bounds, bound) - 1
-        held = self.containers[i]
-        keys = np.sort(np.fromiter(held, np.int64, len(held)))
+        keys, counts = self.containers[i].items()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
         middle = int(keys[len(keys) // 2])
         # Cut before a first word; where there is only one, before a second one.
         for shift in (2 * BITS, BITS):
             for cut in (middle >> shift << shift, ((middle >> shift) + 1) << shift):
                 if keys[0] < cut <= keys[-1]:
-                    right = {int(k): held.pop(int(k)) for k in keys[np.searchsorted(keys, cut) :]}
+                    at = int(np.searchsorted(keys, cut))
+                    halves = [Container(), Container()]
+                    halves[0].add(keys[:at], counts[:at])
+                    halves[1].add(keys[at:], counts[at:])
                     self.bounds.insert(i + 1, cut)
-                    self.containers.insert(i + 1, right)
-                    for at in (i, i + 1):
-                        if len(self.containers[at]) > BURST:
-                            self._burst(self.bounds[at])
+                    self.containers[i : i + 1] = halves
+                    for k in (i + 1, i):
+                        if self.containers[k].size > BURST:
+                            self._burst(self.bounds[k])
                     return
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Take whole subtrees out, the largest first, until at most ``keep`` keys stay."""
-        for i in sorted(range(len(self.containers)), key=lambda i: -len(self.containers[i])):
+        for i in sorted(range(len(self.containers)), key=lambda i: -self.containers[i].size):
             if self.size <= keep:
                 return
             held = self.containers[i]
-            if held:
-                self.containers[i] = {}
-                self.size -= len(held)
-                yield np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
+            if held.size:
+                self.containers[i] = Container()
+                self.size -= held.size
+                yield held.items()
 
 
 def _words(part: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -120,7 +153,7 @@ def _words(part: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     after = np.append(solid[1:], False)[:n]
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    cuts = np.zeros(n + 1, np.int64)
+    cuts = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
     np.cumsum(BREAK[data], out=cuts[1:])
     text = np.searchsorted(at, starts, "right") - 1
     joined = np.zeros(len(starts), bool)
@@ -157,21 +190,25 @@ class Counter:
         if len(self.words) > WORDS:
             yield from self.spill(0)
             self._anew()
-        here = np.empty(len(pairs), np.int64)
-        tables = [self.ids.setdefault(x, {}) for x in distinct]
-        for i, (a, b) in enumerate(zip((pairs // len(known)).tolist(), (pairs % len(known)).tolist(), strict=True)):
-            number = tables[a].get(known[b])
-            if number is None:
-                number = tables[a][known[b]] = len(self.words)
-                self.words.append(known[b])
-                self.langs.append(distinct[a])
-            here[i] = number
+        cuts = np.searchsorted(pairs, np.arange(len(distinct) + 1) * len(known)).tolist()
+        here: list[int] = []
+        for tongue, x, y in zip(distinct, cuts, cuts[1:], strict=False):
+            table = self.ids.setdefault(tongue, {})
+            names = [known[k] for k in (pairs[x:y] % len(known)).tolist()]
+            for name in [n for n in names if n not in table]:
+                table[name] = len(self.words)
+                self.words.append(name)
+                self.langs.append(tongue)
+            here += map(table.__getitem__, names)
+        here = np.array(here, np.int64)
         one = here[which] << 2 * BITS
         two = one[:-1][joined[:-1]] | (one[1:] >> BITS)[joined[:-1]]
         run = joined[:-2] & joined[1:-1]
         three = one[:-2][run] | (one[1:-1] >> BITS)[run] | (one[2:] >> 2 * BITS)[run]
         for keys in (one, two, three):
-            self.trie.add(*np.unique(keys, return_counts=True))
+            keys = np.sort(keys)
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            self.trie.add(keys[heads], np.diff(np.append(heads, len(keys))))
         if self.trie.size > HELD:
             yield from self.spill(HELD // 2)
 
@@ -184,84 +221,86 @@ class Counter:
     def _runs(self, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         """One row per language and prefix partition: its phrases in the order of their words."""
         mask = (1 << BITS) - 1
-        places = np.stack([keys >> 2 * BITS, keys >> BITS & mask, keys & mask])
-        used, places = np.unique(places, return_inverse=True)
-        used = used.tolist()
-        order = sorted(range(len(used)), key=lambda i: (self.langs[used[i]], self.words[used[i]]))
-        rank = np.empty(len(used), np.int64)
-        rank[order] = np.arange(len(used))
-        words = [self.words[used[i]] for i in order]
-        langs, lang = np.unique([self.langs[used[i]] for i in order], return_inverse=True)
-        a, b, c = rank[places.reshape(3, -1)]
-        hashes = np.array([crc32(w) for w in words], np.uint64)
+        places = [keys >> 2 * BITS, keys >> BITS & mask, keys & mask]
+        flags = np.zeros(len(self.words), bool)
+        for x in places:
+            flags[x] = True
+        flags[0] = True
+        used = np.flatnonzero(flags).tolist()
+        named = sorted(zip([self.langs[i] for i in used], [self.words[i] for i in used], used, strict=True))
+        rank = np.zeros(len(self.words), np.int64)
+        rank[[i for _, _, i in named]] = np.arange(len(named))
+        langs, lang = np.unique([x for x, _, _ in named], return_inverse=True)
+        hashes = np.array([crc32(w) for _, w, _ in named], np.uint64)
+        words = pa.array([w + b"\n" for _, w, _ in named], pa.large_binary())
+        a, b, c = (rank[x] for x in places)
         part = (scramble(scramble(hashes[a]) + hashes[b]) % np.uint64(self.parts)).astype(np.int64)
-        by = np.lexsort((c, b, a, part, lang[a]))
+        # In the order of words, which is also that of languages; then dealt to the partitions.
+        by = np.argsort(a << 2 * BITS | b << BITS | c)
+        by = by[np.argsort(part[by].astype(np.uint16) if self.parts < 1 << 16 else part[by], kind="stable")]
         a, b, c, part, counts = a[by], b[by], c[by], part[by], counts[by]
         tongue = lang[a]
-        heads = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (tongue[1:] != tongue[:-1])))
-        rows = []
-        for x, y in zip(heads.tolist(), np.append(heads[1:], len(a)).tolist(), strict=True):
-            rows.append(self.pack.compress(packed_run(a[x:y], b[x:y], c[x:y], counts[x:y], words)))
-        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(langs[tongue[heads]].tolist(), pa.string()), pa.array(rows, pa.binary())], ["part", "lang", "run"])
+        new = np.append(True, (part[1:] != part[:-1]) | (tongue[1:] != tongue[:-1]))
+        heads = np.flatnonzero(new)
+        runs = [self.pack.compress(r) for r in packed_runs(a, b, c, counts, heads, words)]
+        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(langs[tongue[heads]].tolist(), pa.string()), pa.array(runs, pa.binary())], ["part", "lang", "run"])
 
 
-def packed_run(a: np.ndarray, b: np.ndarray, c: np.ndarray, counts: np.ndarray, words: list[bytes]) -> bytes:
-    """A sorted run as a trie level by level: words in order, how many children each has, counts.
+def packed_runs(a: np.ndarray, b: np.ndarray, c: np.ndarray, counts: np.ndarray, heads: np.ndarray, words: pa.Array) -> Iterator[bytes]:
+    """Every sorted run as a trie level by level: words in order, how many children each has, counts.
 
-    ``c`` and ``b`` are 0 where a phrase ends before; the words of a level are joined by line
-    feeds, which no word holds.
+    Runs begin at ``heads``; ``b`` and ``c`` are the empty word's number where a phrase ends before.
+    The words of a level end with a line feed, which no word holds.
     """
-    top = np.append(True, a[1:] != a[:-1])
+    first = np.zeros(len(a), bool)
+    first[heads] = True
+    top = first | np.append(True, a[1:] != a[:-1])
     mid = top | np.append(True, b[1:] != b[:-1])
     tops, mids = np.flatnonzero(top), np.flatnonzero(mid)
-    text = lambda which: b"\n".join([words[i] for i in which.tolist()])
-    levels = [text(a[tops]), text(b[mids]), text(c)]
-    sizes = [np.diff(np.append(np.searchsorted(mids, tops), len(mids))), np.diff(np.append(mids, len(a))), counts]
-    head = np.array([len(tops), len(mids), len(a), *map(len, levels)], "<i8").tobytes()
-    return head + b"".join(s.astype("<i8" if s is counts else "<i4").tobytes() for s in sizes) + b"".join(levels)
-
-
-def read_run(raw: bytes) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    n0, n1, n2, *lengths = np.frombuffer(raw, "<i8", 6).tolist()
+    sizes = [np.diff(np.append(np.searchsorted(mids, tops), len(mids))).astype("<i4"), np.diff(np.append(mids, len(a))).astype("<i4"), counts.astype("<i8")]
+    levels = []
+    for which in (a[tops], b[mids], c):
+        taken = words.take(pa.array(which))
+        levels.append((np.frombuffer(taken.buffers()[1], np.int64), memoryview(taken.buffers()[2])))
+    ends = np.append(heads, len(a))
+    cuts = np.stack([np.searchsorted(tops, ends), np.searchsorted(mids, ends), ends], 1).tolist()
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        texts = [data[at[p] : at[q]] for (at, data), p, q in zip(levels, x, y, strict=True)]
+        head = np.array([q - p for p, q in zip(x, y, strict=True)] + [len(t) for t in texts], "<i8").tobytes()
+        yield b"".join([head, *[n[p:q].tobytes() for n, p, q in zip(sizes, x, y, strict=True)], *texts])
+
+
+def read_run(raw: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    *numbers, l0, l1, l2 = np.frombuffer(raw, "<i8", 6).tolist()
     at = 48
     sizes = []
-    for n, kind in ((n0, "<i4"), (n1, "<i4"), (n2, "<i8")):
-        sizes.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+    for n, kind in zip(numbers, ("<i4", "<i4", "<i8"), strict=True):
+        sizes.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    levels = []
-    for length in lengths:
-        levels.append(raw[at : at + length].split(b"\n"))
-        at += length
-    return levels, sizes
+    return [raw[at : at + l0], raw[at + l0 : at + l0 + l1], raw[at + l0 + l1 : at + l0 + l1 + l2]], sizes
+
+
+def _lines(text: bytes) -> pa.Array:
+    """The words of a text in which each ends with a line feed, with it."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(text)])
 
 
 class Merger:
     """The sorted phrases of one prefix partition and language with their counts so far."""
 
     #: Phrases that wait until they are merged in.
-    WAITING = 1 << 19
+    WAITING = 1 << 20
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {b"": 0}
+        self.words = _lines(b"\n")
         self.columns = [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.int64)]
-        self.held: list[list[np.ndarray]] = []
+        self.held: list[tuple[list[bytes], list[np.ndarray]]] = []
         self.load = 0
 
     def add(self, raw: bytes) -> None:
-        levels, sizes = read_run(raw)
-        ids, get = self.ids, self.ids.get
-        coded = []
-        for words in levels:
-            here = []
-            for w in words:
-                i = get(w)
-                if i is None:
-                    i = ids[w] = len(ids)
-                here.append(i)
-            coded.append(np.array(here, np.int32))
-        b, a = np.repeat(coded[1], sizes[1]), np.repeat(np.repeat(coded[0], sizes[0]), sizes[1])
-        self.held.append([a, b, coded[2], sizes[2]])
-        self.load += len(a)
+        self.held.append(read_run(raw))
+        self.load += len(self.held[-1][1][2])
         if self.load >= self.WAITING:
             self.merge()
 
@@ -269,15 +308,21 @@ class Merger:
         """Number the words in their order; every run's keys then ascend, and a stable sort merges them."""
         if not self.held:
             return
-        words = list(self.ids)
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int32)
-        rank[order] = np.arange(len(words), dtype=np.int32)
-        self.ids = {words[i]: k for k, i in enumerate(order)}
-        *places, n = (np.concatenate(x) for x in zip(self.columns, *self.held, strict=True))
-        a, b, c = (rank[x] for x in places)
+        levels = [_lines(b"".join(texts[k] for texts, _ in self.held)) for k in range(3)]
+        n0, n1, counts = (np.concatenate([sizes[k] for _, sizes in self.held]) for k in range(3))
         self.held, self.load = [], 0
-        bits = max(len(words) - 1, 1).bit_length()
+        coded = pa.concat_arrays([self.words, *levels]).dictionary_encode()
+        order = pa.compute.array_sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        codes = rank[coded.indices.to_numpy()]
+        cuts = np.cumsum([len(self.words), *map(len, levels)]).tolist()
+        self.words = coded.dictionary.take(order)
+        a, b, c = (codes[x:y] for x, y in zip(cuts, cuts[1:], strict=False))
+        a, b = np.repeat(np.repeat(a, n0), n1), np.repeat(b, n1)
+        a, b, c = (np.concatenate([codes[old], x]) for old, x in zip(self.columns[:3], (a, b, c), strict=True))
+        counts = np.concatenate([self.columns[3], counts])
+        bits = max(len(order) - 1, 1).bit_length()
         if 3 * bits <= 63:
             key = a.astype(np.int64) << 2 * bits | b.astype(np.int64) << bits | c
             by = np.argsort(key, kind="stable")
@@ -287,16 +332,17 @@ class Merger:
             by = np.lexsort((c, b, a))
             new = np.append(True, (np.diff(a[by]) != 0) | (np.diff(b[by]) != 0) | (np.diff(c[by]) != 0))
         heads = np.flatnonzero(new)
-        self.columns = [x[by][heads] for x in (a, b, c)] + [np.add.reduceat(n[by], heads)]
+        self.columns = [x[by][heads] for x in (a, b, c)] + [np.add.reduceat(counts[by], heads)]
 
     def result(self, lang: str, least: int) -> pa.RecordBatch:
         """(lang, words, f) of the phrases found ``least`` times, and one row without words for all occurrences."""
         self.merge()
         a, b, c, n = self.columns
-        total = int(n[b == 0].sum())
-        stay = n >= least
-        names = [w.decode() for w in self.ids]
-        words = [[names[i] for i in row if i] for row in zip(a[stay].tolist(), b[stay].tolist(), c[stay].tolist(), strict=True)]
+        none = pa.compute.index(self.words, pa.scalar(b"\n", pa.large_binary())).as_py()
+        total = int(n[b == none].sum())
+        stay = np.flatnonzero(n >= least)
+        columns = [self.words.take(pa.array(x[stay])).to_pylist() for x in (a, b, c)]
+        words = [[w[:-1].decode() for w in row if w != b"\n"] for row in zip(*columns, strict=True)]
         columns = [pa.array([lang] * (len(words) + 1), pa.string()), pa.array([[], *words], pa.list_(pa.string())), pa.array([total, *n[stay].tolist()], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "words", "f"])
 
@@ -314,7 +360,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, parts: int | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(parts)
-        for part in text_slices(batches, limit=4 << 20):
+        for part in text_slices(batches, limit=2 << 20):
             yield from counter.add(part, part.rows.column("lang").to_pylist())
         yield from counter.spill(0)
 
@@ -364,8 +410,11 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, covere
     longer = candidates.where(F.size("words") > 2).select("lang", F.explode(F.array_distinct(inner)).alias("inner"), "f")
     longer = longer.groupBy("lang", F.array_join("inner", " ").alias("phrase")).agg(F.max("f").alias("longer"))
     stay = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = stay.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    # A language's first ones are among the first of each of its parts.
+    salted = stay.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    order = [F.desc("best.score"), F.desc("a"), "phrase"]
+    near = salted.withColumn("near", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("near") <= first)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
