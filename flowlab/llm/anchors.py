@@ -216,7 +216,7 @@ def flagged_spans(flags: np.ndarray, cuts: np.ndarray, owners: list[bytes], wind
     own, spans = own[order], spans[order]
     new = np.append(True, (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1]))[: len(own)]
     heads = np.flatnonzero(new)
-    parts = [spans[x:y].tobytes() for x, y in zip(heads.tolist(), np.append(heads[1:], len(own)).tolist(), strict=True)]
+    parts = [spans[x:y].tobytes() for x, y in zip(heads.tolist(), np.append(heads[1:], len(own))[: len(heads)].tolist(), strict=True)]
     columns = [pa.array(own[c][heads].copy()) for c in ("a", "b")]
     return pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], ["a", "b", "spans"])
 

@@ -34,52 +34,49 @@ SEED = 32
 #: Windows of a hot anchor are dealt by this many places at a time.
 STEP = 16
 #: Bytes of text whose suffixes a task sorts at once.
-TASK_BYTES = 2 << 20
+TASK_BYTES = 512 << 10
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of ``symbols`` (whole numbers from 0) in lexicographic order."""
+    """Starts of all suffixes of ``symbols`` (whole numbers from 0) in lexicographic order.
+
+    Places and names are 32-bit numbers; only keys of several of them are wider, and these
+    go before the recursion.
+    """
     n = len(symbols)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    s = np.zeros(n + 3, np.int64)
+        return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int32)
+    s = np.zeros(n + 3, np.int32)
     s[:n] = symbols
     s[:n] += 1
     top = int(s.max()) + 1
     # Sample: places 1 and 2 modulo 3. The place n itself stands between the two halves of names.
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    if top < 1 << 21:
-        triple = (s[sample] * top + s[sample + 1]) * top + s[sample + 2]
-        by = np.argsort(triple, kind="stable")
-        new = triple[by][1:] != triple[by][:-1]
-    else:
-        by = np.lexsort((s[sample + 2], s[sample + 1], s[sample]))
-        new = np.zeros(len(by) - 1, bool)
-        for k in range(3):
-            new |= s[sample + k][by][1:] != s[sample + k][by][:-1]
-    names = np.empty(len(sample), np.int64)
-    names[by] = np.concatenate([[0], np.cumsum(new)])
-    order = by if new.all() else suffix_order(names)
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
+    by, names = _triple_names(s, sample, top)
+    order = by if names is None else suffix_order(names)
+    del by, names
+    rank = np.zeros(n + 3, np.int32)
+    rank[sample[order]] = np.arange(1, len(sample) + 1, dtype=np.int32)
+    wide = len(sample) + 2
     sampled = sample[order]
+    del sample, order
     sampled = sampled[sampled < n]
     # The remaining suffixes: a symbol, then a ranked suffix.
-    zero = np.arange(0, n, 3)
-    wide = len(sample) + 2
-    key = s[zero] * wide + rank[zero + 1]
+    zero = np.arange(0, n, 3, dtype=np.int32)
+    key = s[zero].astype(np.int64) * wide + rank[zero + 1]
     by = np.argsort(key, kind="stable")
     zero, key = zero[by], key[by]
+    del by
     # Merge: against places 1 by (symbol, rank), against places 2 by (two symbols, rank).
     ones = sampled[sampled % 3 == 1]
-    before = np.searchsorted(s[ones] * wide + rank[ones + 1], key)
+    before = np.searchsorted(s[ones].astype(np.int64) * wide + rank[ones + 1], key)
+    del ones, key
     twos = sampled[sampled % 3 == 2]
-    pairs = np.concatenate([s[twos] * top + s[twos + 1], s[zero] * top + s[zero + 1]])
+    pairs = np.concatenate([s[x].astype(np.int64) * top + s[x + 1] for x in (twos, zero)])
     pairs = np.unique(pairs, return_inverse=True)[1] * wide
     before += np.searchsorted(pairs[: len(twos)] + rank[twos + 2], pairs[len(twos) :] + rank[zero + 2])
-    out = np.empty(n, np.int64)
+    del pairs, twos, rank, s
+    out = np.empty(n, np.int32)
     at = np.arange(len(zero)) + before
     rest = np.ones(n, bool)
     rest[at] = False
@@ -87,6 +84,26 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def _triple_names(s: np.ndarray, sample: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The order of the sampled triples, and their names by place if two are equal."""
+    if top < 1 << 21:
+        triple = (s[sample].astype(np.int64) * top + s[sample + 1]) * top + s[sample + 2]
+        by = np.argsort(triple, kind="stable").astype(np.int32)
+        triple = triple[by]
+        new = triple[1:] != triple[:-1]
+    else:
+        by = np.lexsort((s[sample + 2], s[sample + 1], s[sample])).astype(np.int32)
+        new = np.zeros(len(by) - 1, bool)
+        for k in range(3):
+            column = s[sample + k][by]
+            new |= column[1:] != column[:-1]
+    if new.all():
+        return by, None
+    names = np.empty(len(sample), np.int32)
+    names[by] = np.concatenate([[0], np.cumsum(new, dtype=np.int32)])
+    return by, names
+
+
 def repeated_windows(stretches: list[bytes], holders: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For the windows of all stretches in turn, whether one also starts elsewhere, and where each stretch's begin.
 
@@ -98,14 +115,15 @@ def repeated_windows(stretches: list[bytes], holders: np.ndarray, window: int) -
     sizes = np.array([len(s) for s in distinct], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(b"\0".join(distinct) + b"\0", np.uint8)
-    symbols = data.astype(np.int64) + 1
+    symbols = data.astype(np.int32) + 1
     symbols[begin + sizes] = 0
     counts = sizes - window + 1
     cuts = np.concatenate([[0], np.cumsum(counts)])
     starts = np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], counts)
-    number = np.full(len(data), -1)
-    number[starts] = np.arange(len(starts))
+    number = np.full(len(data), -1, np.int32)
+    number[starts] = np.arange(len(starts), dtype=np.int32)
     order = suffix_order(symbols)
+    del symbols
     order = order[number[order] >= 0]
     # Neighbours agree over a window: compare eight bytes at a time, of those that still agree.
     left, right = order[:-1], order[1:]
