@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from flowlab.operators import clean, encode
+from flowlab.operators import clean, encode, preparation
 from flowlab.plans import prep
 from flowlab.plans.catalog import inputs
 from flowlab.plans.catalog.preparing import _both
 from flowlab.plans.catalog.registry import query, r6, round_all, table
+from flowlab.session import fresh_path
 
 
 def order_pair(spark, sf, *columns):
@@ -413,3 +415,66 @@ select id, is_test::int as is_test, case new_label when 0 then 0 else 1 end as n
 def load_two_class(spark, sf):
     both = _both(prep.load_two_class(*number_pair(spark, sf), cap=100))
     return round_all(both.select("id", "is_test", "new_label", "dur", "swin"), "dur", "swin")
+
+
+SAVED_SQL = """
+rows as (
+  select o_orderkey, o_orderkey % 5 = 0 as is_test, o_orderstatus as status, o_orderpriority as priority, o_totalprice as price,
+    (o_custkey % 7)::double as noise, o_totalprice * 2 + o_custkey as echo
+  from orders where o_orderkey % 11 <> 0),
+train as (select * from rows where not is_test and status <> 'P'),
+codes as (
+  select *, (row_number() over (partition by name order by value) - 1)::int as code from (
+    select distinct 'status' as name, status as value from train union all select distinct 'priority', priority from train)),
+sizes as (select name, count(*)::int as size from codes group by name),
+moments as (select avg(price) as price_mean, stddev_pop(price) as price_sd, abs(corr(noise, price)) > 0.1 as noisy from train)
+"""
+
+
+def saved_preparation(spark, sf, layout):
+    """A preparation fitted on some orders, saved, loaded, and applied to the others."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        key,
+        F.when(key % 11 == 0, " ").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_totalprice").alias("price"),
+        (F.col("o_custkey") % 7).cast("double").alias("noise"),
+        (F.col("o_totalprice") * 2 + F.col("o_custkey")).alias("echo"),
+    )
+    stages = [
+        preparation.Cleaning(),
+        preparation.Selection(inputCols=["noise", "echo"], labelCol="price", threshold=0.1),
+        preparation.Codes(inputCols=["status", "priority"], layout=layout, unseen="other"),
+        preparation.Scaling(inputCols=["price"]),
+    ]
+    fitted = Pipeline(stages=stages).fit(rows.filter((key % 5 != 0) & (F.col("status") != "P")))
+    path = fresh_path(spark, "preparation")
+    fitted.write().save(path)
+    return PipelineModel.load(path).transform(rows.filter(key % 5 == 0))
+
+
+@query("preparation_saved", f"with {SAVED_SQL}" + """
+select o_orderkey, coalesce(s.code, (select size from sizes where name = 'status')) as status,
+  coalesce(p.code, (select size from sizes where name = 'priority')) as priority,
+  round((price - price_mean) / price_sd, 6) + 0.0 as price, noisy as has_noise, true as has_echo
+from rows r cross join moments
+  left join codes s on s.name = 'status' and s.value = r.status left join codes p on p.name = 'priority' and p.value = r.priority
+where is_test
+""")
+def preparation_saved(spark, sf):
+    out = saved_preparation(spark, sf, "ordinal")
+    flags = [F.lit(c in out.columns).alias(f"has_{c}") for c in ("noise", "echo")]
+    return round_all(out.select("o_orderkey", "status", "priority", "price", *flags), "price")
+
+
+@query("preparation_saved_onehot", f"with {SAVED_SQL}" + """
+select o_orderkey, (select sum(size + 1)::int from sizes) as size,
+  coalesce(s.code, a.size)::int as status_place, (a.size + 1 + coalesce(p.code, b.size))::int as priority_place
+from rows r left join codes s on s.name = 'status' and s.value = r.status left join codes p on p.name = 'priority' and p.value = r.priority
+  join sizes a on a.name = 'status' join sizes b on b.name = 'priority'
+where is_test
+""")
+def preparation_saved_onehot(spark, sf):
+    out = saved_preparation(spark, sf, "onehot")
+    return out.select("o_orderkey", "onehot.size", *[F.col("onehot.indices")[i].alias(f"{c}_place") for i, c in enumerate(("status", "priority"))])

@@ -74,6 +74,65 @@ def csv_roundtrip(spark, sf):
     return flow_files.read_csv(spark, path, schema)
 
 
+MIXED_ORDERS_SQL = """
+mixed as (
+  select o_orderkey as id,
+    case when o_orderkey % 10 = 0 then null else o_totalprice end as price,
+    case when o_orderkey % 7 = 0 then null else o_custkey end as customer,
+    (o_orderkey % 3 = 0) as third,
+    o_orderdate as day,
+    case when o_orderkey = (select max(o_orderkey) from orders) then 'unknown' else (o_custkey % 5)::varchar end as priority
+  from orders)
+"""
+
+
+def mixed_orders(spark, sf):
+    """A CSV folder with gaps, one column of numbers with a single word in it, and no schema."""
+    key, orders = F.col("o_orderkey"), table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    rows = orders.select(
+        key.alias("id"),
+        F.when(key % 10 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(key % 7 == 0, " ").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        (key % 3 == 0).cast("string").alias("third"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(key == last, "unknown").otherwise((F.col("o_custkey") % 5).cast("string")).alias("priority"),
+    )
+    path = fresh_path(spark, "mixed-csv")
+    flow_files.write_csv(rows, path)
+    return path
+
+
+@query("csv_inferred", f"""with {MIXED_ORDERS_SQL}
+select id + 0 as id, price, customer // 2 as half_customer, not third as not_third,
+  strftime(day + interval 1 day, '%Y-%m-%d') as next_day, priority || '!' as priority from mixed
+""")
+def csv_inferred(spark, sf):
+    """Types found from the cells: the expressions below need them."""
+    read = flow_files.read_csv(spark, mixed_orders(spark, sf))
+    kinds = dict(read.dtypes)
+    if kinds != {"id": "bigint", "price": "double", "customer": "bigint", "third": "boolean", "day": "timestamp", "priority": "string"}:
+        raise ValueError(f"unexpected types: {kinds}")
+    return read.select(
+        "id", "price", F.expr("customer div 2").alias("half_customer"), (~F.col("third")).alias("not_third"),
+        F.date_format(F.col("day") + F.expr("interval 1 day"), "yyyy-MM-dd").alias("next_day"), F.concat("priority", F.lit("!")).alias("priority"),
+    )
+
+
+@query("csv_inferred_types", f"""with {MIXED_ORDERS_SQL}
+select 'id' as column, 'bigint' as type, max(length(id::varchar))::int as width, count(*) - count(id) as missing from mixed
+union all select 'price', 'double', null, count(*) - count(price) from mixed
+union all select 'customer', 'bigint', max(length(customer::varchar))::int, count(*) - count(customer) from mixed
+union all select 'third', 'boolean', max(length(third::varchar))::int, count(*) - count(third) from mixed
+union all select 'day', 'timestamp', 10, count(*) - count(day) from mixed
+union all select 'priority', 'string', max(length(priority))::int, count(*) - count(priority) from mixed
+""")
+def csv_inferred_types(spark, sf):
+    """The width of floating-point numbers is left out: engines write them differently."""
+    types = flow_files.csv_types(spark, mixed_orders(spark, sf))
+    return types.withColumn("width", F.when(F.col("type") != "double", F.col("width")))
+
+
 @query("csv_by_mode", f"""
 select event_id, {inputs.EVENT_CODE_SQL} as new_label from events
 """)

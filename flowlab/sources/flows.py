@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlab import fixed
+from flowlab.sources import infer
 
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType()}
 
@@ -29,34 +30,53 @@ MODE_FILES = {"multi": "processed", "binary": "binary"}
 def read_csv(
     spark: SparkSession,
     path: str,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS),
     multi_line: bool = False,
     escaped_breaks: bool = True,
 ) -> DataFrame:
     """A CSV file with header. Cells holding a missing-value token become null.
 
-    Columns are read as text and then cast by the declared schema, so a token never
+    Without a schema the types are those that all cells of all files allow (`infer.infer_types`,
+    one more pass), and blank cells are missing; the files' headers must agree.
+    Columns are read as text and then cast by the schema, so a token never
     fails a numeric column, while other malformed numbers do. A line with a field too many
     or too few is an error. Text columns have the line breaks that `write_csv` escapes;
     ``escaped_breaks=False`` takes backslashes as they are. ``multi_line`` admits
     unescaped line breaks within quotes, at the price of one task per file.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = (
-        spark.read.schema(text)
-        .options(header=True, enforceSchema=False, escape='"', multiLine=multi_line, mode="FAILFAST", columnPruning=False)
-        .csv(path)
-    )
+    inferred = schema is None
+    if inferred:
+        names = spark.read.options(header=True, escape='"', multiLine=multi_line).csv(path).columns
+        raw = _text_table(spark, path, names, multi_line)
+        schema = infer.schema_of(infer.infer_types(raw, na_tokens))
+    else:
+        raw = _text_table(spark, path, [f.name for f in schema], multi_line)
 
     def cell(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
-        known = F.when(~c.isin(*na_tokens), c)
+        known = infer.known(c, na_tokens) if inferred else F.when(~c.isin(*na_tokens), c)
+        if inferred and f.dataType != T.StringType():
+            known = F.trim(known)
         return _unescaped(known) if escaped_breaks and f.dataType == T.StringType() else known.cast(f.dataType)
 
     return raw.select(*[cell(f).alias(f.name) for f in schema])
 
 
+def _text_table(spark: SparkSession, path: str, names: Sequence[str], multi_line: bool) -> DataFrame:
+    """All cells as text. A header of other names, or a line of another width, is an error."""
+    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line, "mode": "FAILFAST", "columnPruning": False}
+    return spark.read.schema(text).options(**options).csv(path)
+
+
+def csv_types(spark: SparkSession, path: str, na_tokens: Sequence[str] = tuple(fixed.NA_TOKENS)) -> DataFrame:
+    """(column, type, width, missing) of a CSV file with header, as `read_csv` without a schema finds them."""
+    names = spark.read.options(header=True, escape='"').csv(path).columns
+    raw = _text_table(spark, path, names, False)
+    return infer.report(raw, infer.infer_types(raw, na_tokens))
+
+
 def _escaped(c: Column) -> Column:
     """Backslashes doubled, line breaks as backslash and letter."""
     for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):

@@ -1,8 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
 from flowlab.operators.sample import replay_first
 from flowlab.plans.catalog.streams import planted
 from flowlab.session import fresh_path
@@ -91,7 +92,12 @@ def test_windows_of_a_stream_equal_those_of_a_table(spark, files):
     assert {r["stream_key"]: step <= r["ts"] <= later for r in found} == {"hot": True, "cold": True}
 
 
-LARGER = str(DATA.parent / "sf0.01")
+@pytest.fixture(scope="module")
+def larger(data):
+    """The same tables at a larger scale, beside the test data."""
+    return str(Path(data).parent / "sf0.01")
+
+
 STREAMED = [
     "error_bits_stream", "error_windows_stream", "drift_windows_stream", "adwin_stream", "adwin_first_drift",
     "adwin_slices_stream", "drift_refit", "replay_stream",
@@ -99,19 +105,19 @@ STREAMED = [
 
 
 @pytest.fixture(scope="module")
-def shuffled(spark):
+def shuffled(spark, larger):
     """The events as a folder of many part files, not in the order of time."""
     folder = fresh_path(spark, "shuffled")
-    table(spark, LARGER, "events").repartition(24, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    table(spark, larger, "events").repartition(24, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
     return folder
 
 
 @pytest.mark.parametrize("name", STREAMED)
-def test_streams_do_not_depend_on_files_and_batches(spark, shuffled, name, monkeypatch):
+def test_streams_do_not_depend_on_files_and_batches(spark, larger, shuffled, name, monkeypatch):
     from flowlab.plans.catalog import streams
 
     run = lambda folder: sorted(map(repr, getattr(streams, name)(spark, folder).collect()))
-    expected = run(LARGER)
+    expected = run(larger)
     assert expected
     for per_trigger in (7, 64):
         monkeypatch.setattr(streams, "table_stream", lambda s, f, n, k=per_trigger: table_stream(s, f, n, k))
