@@ -31,6 +31,8 @@ from flowlab.llm.tokens import Coder
 SHORT = 64
 #: Bytes of words that one query takes, and rows that one recursion may keep.
 QUERY_BYTES = 1 << 20
+#: Words whose ids and bytes a worker keeps, and new ones that it takes at a time.
+KEPT_WORDS, NEW_WORDS = 800_000, 100_000
 KEPT_ROWS = 4 << 20
 MEMORY = "300MB"
 
@@ -49,8 +51,7 @@ with recursive step(round, word, pos, tok, nxt) as (
     from step s join best b on s.word = b.word
       left join step n on n.word = b.word and s.pos = b.pick % 65536 and n.pos = s.pos + 1
     where s.pos <> b.pick % 65536 + 1))
-select s.word, s.tok from step s join (select word, max(round) as round from step group by word) using (word, round)
-order by s.word, s.pos
+select round, word, pos, tok from step
 """
 
 # All non-overlapping pairs of the smallest rank at once, left to right. Where a merged token
@@ -133,8 +134,14 @@ class Codec:
 
     def _short(self, words: list[bytes]) -> list[bytes]:
         self.base.register("words", self._rows(words))
-        out = self.base.execute(_SHORT).fetchnumpy()
-        return self._split(out["word"], out["tok"], len(words))
+        out = self.base.sql(_SHORT).to_arrow_table()
+        rounds, word, pos, toks = (out.column(c).to_numpy() for c in ("round", "word", "pos", "tok"))
+        # A word's ids are those of its last round, in the order of their places.
+        last = np.zeros(len(words), rounds.dtype)
+        np.maximum.at(last, word, rounds)
+        stay = np.flatnonzero(rounds == last[word])
+        stay = stay[np.argsort(word[stay].astype(np.int64) << 16 | pos[stay])]
+        return self._split(word[stay], toks[stay], len(words))
 
     def _long(self, word: bytes) -> bytes:
         rows = self._rows([word])
@@ -146,6 +153,13 @@ class Codec:
                 return toks.astype(np.uint32).tobytes()
             rows = pa.table({"word": np.zeros(len(toks), np.int32), "pos": np.arange(len(toks), dtype=np.int32), "tok": toks})
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words, without keeping them."""
+        kept, self.words = self.words, {}
+        self.encode_words(words)
+        out, self.words = [self.words[w] for w in words], kept
+        return out
+
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of words not met yet into the table of words."""
         batch: list[str] = []
@@ -187,19 +201,26 @@ class Codec:
         return [np.frombuffer(b, np.uint32) for b in self.coder(texts)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        sizes = np.array([len(i) for i in ids], np.int64)
-        if not sizes.sum():
-            return [b""] * len(ids)
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.base.register("rows", pa.table({"row": row, "pos": pos.astype(np.int32), "tok": np.concatenate(ids).astype(np.int32)}))
-        out = [b""] * len(ids)
-        for row, text in self.base.execute(_DECODE).fetchall():
+        cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+        return self.decode_flat(np.concatenate([np.zeros(0, np.int32), *ids]), cuts)
+
+    def decode_flat(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The bytes of the ids cuts[i] to cuts[i + 1], for every i."""
+        sizes, n = np.diff(cuts), len(cuts) - 1
+        if not len(ids):
+            return [b""] * n
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        pos = np.arange(len(row)) - np.repeat(cuts[:-1], sizes)
+        self.base.register("rows", pa.table({"row": row, "pos": pos.astype(np.int32), "tok": ids.astype(np.int32)}))
+        out = [b""] * n
+        found = self.base.execute(_DECODE).fetchnumpy()
+        for row, text in zip(found["row"].tolist(), found["bytes"].tolist(), strict=True):
             out[row] = bytes.fromhex(text)
         return out
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+_SPELLED: dict[tuple[str, str], Spelled] = {}
 
 
 def codec(rank_file: str, pattern: str) -> Codec:
@@ -209,6 +230,13 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _CODECS[rank_file, pattern]
 
 
+def spelled(rank_file: str, pattern: str) -> Spelled:
+    """One table of spelled words per worker process, on its codec."""
+    if (rank_file, pattern) not in _SPELLED:
+        _SPELLED[rank_file, pattern] = Spelled(codec(rank_file, pattern))
+    return _SPELLED[rank_file, pattern]
+
+
 def _texts(part) -> list[str]:
     raw = part.data.tobytes()
     return [raw[a:b].decode() for a, b in zip(part.at[:-1].tolist(), part.at[1:].tolist(), strict=True)]
@@ -245,23 +273,56 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def _digest(ids: list[int], decoded: bytes) -> tuple[int, str, str]:
-    written = " ".join(map(str, ids)).encode()
-    return len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest()
+class Spelled:
+    """Of each distinct word the ids as written and the bytes they decode to."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.number: dict[str, int] = {}
+        self.written: list[bytes] = []
+        self.raw: list[bytes] = []
+        self.decimal = [b"%d" % i for i in range(len(codec.bytes_of))]
+
+    def learn(self, words: list[str]) -> None:
+        ids = self.codec.word_ids(words)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        cuts = np.concatenate([[0], np.cumsum([len(i) >> 2 for i in ids])])
+        pieces, ends = list(map(self.decimal.__getitem__, flat.tolist())), cuts.tolist()
+        self.number.update(zip(words, range(len(self.raw), len(self.raw) + len(words)), strict=True))
+        self.written += [b" ".join(pieces[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        self.raw += self.codec.decode_flat(flat, cuts)
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, digest of the ids, digest of the decoded bytes) of each text."""
+        if len(self.raw) > KEPT_WORDS:
+            for held in (self.number, self.written, self.raw):
+                held.clear()
+        split = [self.codec.pattern.findall(t) for t in texts]
+        found = [list(map(self.number.get, words)) for words in split]
+        new = list({w for words, known in zip(split, found, strict=True) if None in known for w, k in zip(words, known, strict=True) if k is None})
+        for at in range(0, len(new), NEW_WORDS):
+            self.learn(new[at : at + NEW_WORDS])
+        out = []
+        for words, known in zip(split, found, strict=True):
+            if None in known:
+                known = list(map(self.number.__getitem__, words))
+            written, raw = b" ".join(map(self.written.__getitem__, known)), b"".join(map(self.raw.__getitem__, known))
+            n = written.count(b" ") + 1 if words else 0
+            out.append((n, hashlib.sha256(written).hexdigest(), hashlib.sha256(raw).hexdigest()))
+        return out
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every document encoded, its ids decoded, both digested.
 
-    :func:`encode` and :func:`decode` in one pass, so that one codec serves both and no ids
-    leave the worker.
+    :func:`encode` and :func:`decode` in one pass: a word that was met is encoded and decoded
+    once, and a text's ids and bytes are its words' in their order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = codec(rank_file, pattern)
-        for part in text_slices(batches, limit=2 << 20):
-            ids = use.encode(_texts(part))
-            rows = [_digest(i.tolist(), d) for i, d in zip(ids, use.decode(ids), strict=True)]
+        use = spelled(rank_file, pattern)
+        for part in text_slices(batches, limit=4 << 20):
+            rows = use(_texts(part))
             types = (pa.int64(), pa.string(), pa.string())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.rows.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
