@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowlab.functions import vectors
-from flowlab.operators import encode, evaluate, federate, learn, loss, profile, sample
+from flowlab.operators import encode, evaluate, federate, learn, loss, minibatch, profile, sample
 from flowlab.operators.clean import reshape
 from flowlab.plans import continual
 from flowlab.plans.catalog import gradient_sql as g
@@ -350,3 +350,77 @@ def sequence_fit(spark, sf):
 def image_fit(spark, sf):
     data = encode.image(rows(spark, sf).select("vec_id", "y", "x"), "x", "image")
     return fitted_metrics(data.drop("x"), ["image"])
+
+
+ADAM_RATE = 0.05
+HALVES_SQL = """halves as (
+  select *, (row_number() over (order by md5(id::varchar || ':42'), id) - 1) // (select (count(*) + 1) // 2 from rows) as half from rows)"""
+
+
+@query("minibatch_fit", sql(
+    ROWS_SQL, HALVES_SQL, "batch1 as (select * exclude half from halves where half = 0)", "batch2 as (select * exclude half from halves where half = 1)",
+    ZERO_SQL, g.step("a", "batch1", "zero", 1.0),
+    f"one as (select g, k, j, v - {ADAM_RATE} * d / (abs(d) + 1e-8) as v from a_full)",
+    g.step("b", "batch2", "one", 1.0),
+    f"""two as (
+  select f.g, f.k, f.j, f.v - {ADAM_RATE} * ((0.09 * a.d + 0.1 * f.d) / 0.19)
+    / (sqrt((0.000999 * a.d * a.d + 0.001 * f.d * f.d) / 0.001999) + 1e-8) as v
+  from b_full f join a_full a on a.g = f.g and a.k = f.k and a.j = f.j)""",
+    final=g.named("two", WIDTH),
+))
+def minibatch_fit(spark, sf):
+    """One epoch of two batches: two steps with first and second moments."""
+    data = rows(spark, sf)
+    size = (data.count() + 1) // 2
+    rule = minibatch.Adam(rate=ADAM_RATE)
+    fit = minibatch.fit_minibatch(data, learn.SoftmaxModel.zeros(CLASSES, WIDTH), epochs=1, batch=size, rule=rule, key="vec_id")
+    return parameters(spark, fit.model)
+
+
+BRANCHES = minibatch.Branches(left=3, right=3, hidden=2, classes=CLASSES)
+
+
+def branch_loss_sql():
+    """The loss of every row under every shifted copy of the parameters: ``q`` is a copy's list, ``x`` a row's."""
+    place, at = 1, {}
+    for name, shape in BRANCHES.shapes():
+        at[name] = place
+        place += int(np.prod(shape))
+    k = BRANCHES.hidden
+
+    def hidden(side, offset, h):
+        terms = [f"x[{offset + i + 1}] * q[{at[f'{side}_weight'] + i * k + h}]" for i in range(3)]
+        return f"tanh({' + '.join(terms)} + q[{at[f'{side}_bias'] + h}])"
+
+    hs = [("left", 0, h) for h in range(k)] + [("right", 3, h) for h in range(k)]
+    columns = ", ".join(f"{hidden(*spec)} as h{i}" for i, spec in enumerate(hs))
+    logits = ", ".join(
+        " + ".join(f"h{i} * q[{at['top_weight'] + i * CLASSES + c}]" for i in range(2 * k)) + f" + q[{at['top_bias'] + c}] as z{c}" for c in range(CLASSES)
+    )
+    cosine = "(h0 * h2 + h1 * h3) / (greatest(sqrt(h0 * h0 + h1 * h1), 1e-8) * greatest(sqrt(h2 * h2 + h3 * h3), 1e-8))"
+    return [
+        f"start as (select i as place, ((i * 7919 + 42 * 104729) % 1009 - 504) / 1009.0::double as v from range(0, {BRANCHES.size()}) t(i))",
+        """copies as (
+  select d.place as bump, s.s, list(p.v + case when p.place = d.place then s.s * 1e-4 else 0 end order by p.place) as q
+  from start p, start d, (values (-1), (1)) s(s) group by all)""",
+        f"hidden as (select bump, s, y, q, {columns} from rows, copies)",
+        f"outputs as (select bump, s, y, {cosine} as cosine, {logits} from hidden)",
+        """losses as (
+  select bump, s, avg(ln(exp(z0) + exp(z1) + exp(z2)) - case y when 0 then z0 when 1 then z1 else z2 end + 0.05 * cosine) as loss
+  from outputs group by bump, s)""",
+        "slopes as (select bump as place, sum(s * loss) / 2e-4 as d from losses group by bump)",
+        "moved as (select place, v - 0.5 * d / (abs(d) + 1.0) as v from start join slopes using (place))",
+    ]
+
+
+@query("branch_fit", sql(
+    ROWS_SQL, branch_loss_sql(), final="select place::int as place, round(v, 5) + 0.0 as value from moved",
+))
+def branch_fit(spark, sf):
+    """A full-batch step of the two-branch model with its decoupling term; the SQL takes the loss's slopes numerically."""
+    data = rows(spark, sf).withColumn("x", F.slice("x", 1, 6))
+    rule = minibatch.Adam(rate=0.5, first=0.0, second=0.0, floor=1.0)
+    objective = BRANCHES.objective(1, warmup=0.0)
+    state, _ = minibatch.fit(data, BRANCHES.start(), objective, epochs=1, batch=data.count(), rule=rule, key="vec_id")
+    out = spark.createDataFrame([(i, float(v)) for i, v in enumerate(state.flat)], "place int, value double")
+    return out.withColumn("value", F.round("value", 5) + F.lit(0.0))
