@@ -90,6 +90,17 @@ def error_windows_stream(spark, sf):
     return day(windows).select("stream_key", "ts", "n", "errors")
 
 
+@query("running_windows_stream", f"with {WINDOWS_SQL}" + """
+select stream_key, strftime(day, '%Y-%m-%d') as ts, n, errors from windows
+""")
+def running_windows_stream(spark, sf):
+    """The daily windows, closed ones in the base table and open ones as the state."""
+    out = fresh_path(spark, "running")
+    errors = planted(table_stream(spark, sf, "events"))
+    drift.running_windows(errors, "1 day", out, fresh_path(spark, "running-marks"), lateness="2 days").awaitTermination()
+    return day(drift.windows_of(spark, out)).select("stream_key", "ts", "n", "errors")
+
+
 @query("drift_windows_stream", f"with {COMPARE_SQL}")
 def drift_windows_stream(spark, sf):
     windows = drift.stream_windows(planted(table_stream(spark, sf, "events")), "1 day")

@@ -116,6 +116,84 @@ def windows_so_far(spark: SparkSession, out: str) -> DataFrame:
     return parts.groupBy("stream_key", "ts", "until").agg(*sums)
 
 
+def step_path(out: str, table: str, number: int) -> str:
+    """Where a running table stands after a micro-batch; before the first one there is none."""
+    return f"{out}/{table}/batch={number}"
+
+
+def read_step(spark: SparkSession, out: str, table: str, number: int, schema: str) -> DataFrame:
+    """A running table after micro-batch ``number``, read without listing the other batches."""
+    if number < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(step_path(out, table, number))
+
+
+def _write_step(df: DataFrame, out: str, table: str, number: int) -> None:
+    df.write.mode("overwrite").parquet(step_path(out, table, number))
+
+
+def drop_step(spark: SparkSession, out: str, table: str, number: int) -> None:
+    """Remove a running table that no batch needs any more: a batch that runs again needs the one before it."""
+    if number >= 0:
+        place = spark._jvm.org.apache.hadoop.fs.Path(step_path(out, table, number))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _summed(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("stream_key", "ts", "until").agg(*[F.sum(c).alias(c) for c in ("n", "errors")])
+
+
+def running_windows(
+    errors: DataFrame, width: str, out: str, checkpoint: str, lateness: str = "1 day", trigger: Mapping[str, object] = AVAILABLE
+) -> StreamingQuery:
+    """Start a query that keeps only the open windows as its state.
+
+    The mark follows the latest window's end at the distance ``lateness``. A window that ends
+    up to the mark is closed: it moves to the base table, which no later batch reads. Rows that
+    arrive for a closed window are late: they are counted in a side table of their own, and
+    still added to the base. So a micro-batch reads itself and the open windows, however
+    old the stream is, and `windows_of` is right in any order of arrival. A batch that runs again
+    starts from the same open windows and replaces what it wrote.
+    """
+    spark = errors.sparkSession
+
+    def act(batch: DataFrame, number: int) -> None:
+        _write_step(error_windows(batch, width), out, "own", number)
+        own = read_step(spark, out, "own", number, WINDOW_SCHEMA)
+        before = read_step(spark, out, "open", number - 1, WINDOW_SCHEMA)
+        mark = read_step(spark, out, "mark", number - 1, "mark timestamp").agg(F.max("mark")).first()[0]
+        latest = own.agg((F.max("until") - F.expr(f"interval {lateness}")).alias("mark")).first()[0]
+        after = max((m for m in (mark, latest) if m is not None), default=None)
+        is_late = F.coalesce(F.col("until") <= F.lit(mark).cast("timestamp"), F.lit(False))
+        is_closed = F.coalesce(F.col("until") <= F.lit(after).cast("timestamp"), F.lit(False))
+        late, live = own.filter(is_late), _summed(before.union(own.filter(~is_late)))
+        _write_step(live.filter(~is_closed), out, "open", number)
+        _write_step(late, out, "late", number)
+        _write_step(live.filter(is_closed).union(late), out, "base", number)
+        _write_step(spark.createDataFrame([(after,)], "mark timestamp"), out, "mark", number)
+        for table in ("open", "mark", "own"):
+            drop_step(spark, out, table, number - 2)
+
+    return errors.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _last_step(spark: SparkSession, out: str, table: str, schema: str) -> DataFrame:
+    every = spark.read.schema(f"{schema}, batch long").parquet(f"{out}/{table}")
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def windows_of(spark: SparkSession, out: str) -> DataFrame:
+    """All windows of `running_windows` so far, closed and open."""
+    closed = spark.read.schema(WINDOW_SCHEMA).parquet(f"{out}/base").drop("batch")
+    return _summed(closed.union(_last_step(spark, out, "open", WINDOW_SCHEMA)))
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """(stream_key, late): rows that came after their window was closed."""
+    late = spark.read.schema(WINDOW_SCHEMA).parquet(f"{out}/late")
+    return late.groupBy("stream_key").agg(F.sum("n").alias("late"))
+
+
 def stream_windows(errors: DataFrame, width: str, name: str = "windows") -> DataFrame:
     """Count all that is now available of a stream, and read the counts."""
     spark = errors.sparkSession
@@ -181,30 +259,31 @@ def refit_on_drift(
 ) -> StreamingQuery:
     """Start a query that calls ``refit`` when the windows so far show a drift.
 
-    Every micro-batch adds its counts to ``out``; the detector reads the windows of all
-    batches (by default those where `compare_windows` finds a drift; `detect_windows` fits
+    Every micro-batch adds its counts to a running table at ``out``; the detector reads the
+    windows of all batches there (by default those where `compare_windows` finds a drift; `detect_windows` fits
     as well). ``refit`` gets the end of the last window with a drift and the batch number,
     again whenever a batch changes what lies before that end. So the last call is the same
     however the rows came in batches.
     """
     spark = errors.sparkSession
-    spark.createDataFrame([], WINDOW_SCHEMA).write.mode("overwrite").parquet(f"{out}/windows/batch=-1")
-    spark.createDataFrame([], "until timestamp").write.mode("overwrite").parquet(f"{out}/last/batch=-1")
     detector = detector or (lambda windows: compare_windows(windows).filter("drift = 1"))
 
     def act(batch: DataFrame, number: int) -> None:
-        path = f"{out}/windows/batch={number}"
-        error_windows(batch, width).write.mode("overwrite").parquet(path)
-        windows = windows_so_far(spark, f"{out}/windows")
+        # The windows of all batches are one running table, so a batch reads only the one before it.
+        _write_step(error_windows(batch, width), out, "own", number)
+        own = read_step(spark, out, "own", number, WINDOW_SCHEMA)
+        _write_step(_summed(read_step(spark, out, "windows", number - 1, WINDOW_SCHEMA).union(own)), out, "windows", number)
+        windows = read_step(spark, out, "windows", number, WINDOW_SCHEMA)
         drifts = detector(windows).select("stream_key", "ts").join(windows, ["stream_key", "ts"])
         last = drifts.agg(F.max("until")).first()[0]
-        past = spark.read.schema("until timestamp, batch int").parquet(f"{out}/last").filter(F.col("batch") < number)
-        before = past.agg(F.max(F.struct("batch", "until")).alias("m")).first()["m"]
-        spark.createDataFrame([(last,)], "until timestamp").write.mode("overwrite").parquet(f"{out}/last/batch={number}")
-        first = spark.read.schema(WINDOW_SCHEMA).parquet(path).agg(F.min("ts")).first()[0]
+        before = read_step(spark, out, "last", number - 1, "until timestamp").first()
+        _write_step(spark.createDataFrame([(last,)], "until timestamp"), out, "last", number)
+        first = own.agg(F.min("ts")).first()[0]
         edges = [t for t in (last, before["until"] if before else None) if t is not None]
         if last is not None and first is not None and first < max(edges):
             refit(last, number)
+        for table in ("own", "windows", "last"):
+            drop_step(spark, out, table, number - 2)
 
     return errors.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab import fixed
 from flowlab.operators.sample import replay_first
-from flowlab.streaming.drift import AVAILABLE
+from flowlab.streaming.drift import AVAILABLE, drop_step, step_path
 
 SHARDS = 16
 
@@ -71,26 +71,25 @@ def keep_first(
     """Start a query that keeps the first rows of each class by ``order``, whenever they arrive.
 
     Every micro-batch merges its own first rows with the buffer of the batches before it, and
-    writes the new buffer under its number; `latest` reads the last one. A batch that runs
-    again starts from the same buffer.
+    writes the new buffer under its number; `latest` reads the last one. A batch reads the one
+    buffer before it, also when it runs again; older ones are removed.
     """
     spark = rows.sparkSession
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
-    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{out}/buffer/batch=-1")
 
     def act(batch: DataFrame, number: int) -> None:
-        known = spark.read.schema(schema).parquet(out).filter(F.col("batch") < number)
-        before = known.filter(F.col("batch") == known.agg(F.max("batch")).first()[0]) if not known.isEmpty() else known
+        before = spark.read.schema(rows.schema).parquet(step_path(out, "buffer", number - 1))
         first = replay_first(batch.select(*rows.columns), label, order, per_class)
         merged = before.select(*rows.columns).union(first.select(*rows.columns))
-        replay_first(merged, label, order, per_class).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        replay_first(merged, label, order, per_class).write.mode("overwrite").parquet(step_path(out, "buffer", number))
+        drop_step(spark, out, "buffer", number - 2)
 
     return rows.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """The buffer after the last batch written at ``out``."""
-    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/buffer")
     last = every.agg(F.max("batch")).first()[0]
     return every.filter(F.col("batch") == last).drop("batch") if last is not None else every.drop("batch")
 

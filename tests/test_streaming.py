@@ -100,7 +100,7 @@ def larger(data):
 
 STREAMED = [
     "error_bits_stream", "error_windows_stream", "drift_windows_stream", "adwin_stream", "adwin_first_drift",
-    "adwin_slices_stream", "drift_refit", "replay_stream",
+    "adwin_slices_stream", "drift_refit", "replay_stream", "running_windows_stream",
 ]
 
 
@@ -183,3 +183,56 @@ def test_the_buffer_does_not_depend_on_arrival(spark, files):
         out = fresh_path(spark, "buffer")
         replay.keep_first(stream, "stream_key", order, out, fresh_path(spark, "marks"), 40).awaitTermination()
         assert sorted(map(tuple, replay.latest(spark, out, rows.schema).collect())) == expected
+
+
+def stream_of(spark, parts):
+    """A stream of one file a batch."""
+    folder = fresh_path(spark, "parts")
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "stream_key string, ts timestamp, error int").coalesce(1).write.parquet(f"{folder}/{i:03}")
+    schema = "stream_key string, ts timestamp, error int"
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def hourly(day):
+    return [("a" if h % 3 else "b", np.datetime64("2024-01-01") + np.timedelta64(24 * day + h, "h"), h % 2) for h in range(24)]
+
+
+def as_rows(parts):
+    return [[(k, t.astype("datetime64[us]").item(), e) for k, t, e in part] for part in parts]
+
+
+@pytest.mark.parametrize("late_days", [(), (0, 3)])
+def test_running_windows_read_open_windows_only(spark, late_days, monkeypatch):
+    """Twenty days, a day a batch, then late ones: a batch reads three days at most, and nothing is lost."""
+    days = [*range(20), *late_days]
+    parts = as_rows([hourly(d) for d in days])
+    out, read = fresh_path(spark, "running"), []
+    whole = drift.read_step
+
+    def seen(session, where, table, number, schema):
+        df = whole(session, where, table, number, schema)
+        read.append((table, df.count(), len(df.inputFiles())))
+        return df
+
+    monkeypatch.setattr(drift, "read_step", seen)
+    drift.running_windows(stream_of(spark, parts), "1 hour", out, fresh_path(spark, "marks"), lateness="1 day").awaitTermination()
+    assert max(n for table, n, _ in read if table == "open") <= 48
+    assert max(files for _, _, files in read) <= 16
+    expected = drift.error_windows(spark.createDataFrame([r for p in parts for r in p], "stream_key string, ts timestamp, error int"), "1 hour")
+    found = drift.windows_of(spark, out)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert {r["stream_key"]: r["late"] for r in drift.late_rows(spark, out).collect()} == ({"a": 32, "b": 16} if late_days else {})
+
+
+def test_running_windows_go_on_after_a_restart(spark):
+    days = as_rows([hourly(d) for d in (0, 1, 2, 5, 1)])
+    folder, out, marks = fresh_path(spark, "parts"), fresh_path(spark, "running"), fresh_path(spark, "marks")
+    schema = "stream_key string, ts timestamp, error int"
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        drift.running_windows(stream, "1 day", out, marks, lateness="1 day").awaitTermination()
+    expected = drift.error_windows(spark.createDataFrame([r for d in days for r in d], schema), "1 day")
+    assert sorted(map(tuple, drift.windows_of(spark, out).collect())) == sorted(map(tuple, expected.collect()))
+    assert drift.late_rows(spark, out).agg(F.sum("late")).first()[0] == 24
