@@ -21,8 +21,9 @@ from flowlab.session import SMALL_ROWS, small_or_none
 
 # A category list longer than this becomes a table to join, not a literal in the plan.
 LITERAL_CATEGORIES = 200
-# One output column per category: beyond this a one-hot table is not meaningful.
+# One output column per category: beyond this a one-hot table needs ``layout="sparse"``.
 ONE_HOT_CATEGORIES = 10_000
+LAYOUTS = ("columns", "sparse")
 
 
 def domain_table(column: str, *tables: DataFrame) -> DataFrame:
@@ -74,24 +75,33 @@ def one_hot_pair(
     test: DataFrame,
     columns: Sequence[str] = tuple(fixed.CATEGORICALS),
     domain: str = "union",
+    layout: str = "columns",
 ) -> tuple[DataFrame, DataFrame]:
     """One-hot two sets over a shared domain: both sets' values, or the train set's.
 
-    Up to ONE_HOT_CATEGORIES values give a column each, more a sparse column (`one_hot_sparse`).
+    The layout is the caller's and does not change with the data: a column per value, or one
+    sparse column (`one_hot_sparse`) for any number of values.
     """
     tables = (train, test) if domain == "union" else (train,)
-    expand = one_hot_like(columns, *tables)
+    expand = one_hot_like(columns, *tables, layout=layout)
     return expand(train), expand(test)
 
 
-def one_hot_self(df: DataFrame, columns: Sequence[str] = tuple(fixed.CATEGORICALS)) -> DataFrame:
-    return one_hot_like(columns, df)(df)
+def one_hot_self(df: DataFrame, columns: Sequence[str] = tuple(fixed.CATEGORICALS), layout: str = "columns") -> DataFrame:
+    return one_hot_like(columns, df, layout=layout)(df)
 
 
-def one_hot_like(columns: Sequence[str], *tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """The one-hot expansion over the values of all ``tables``."""
-    found = domains(columns, *tables, limit=ONE_HOT_CATEGORIES)
-    if found is not None:
+def one_hot_like(columns: Sequence[str], *tables: DataFrame, layout: str = "columns") -> Callable[[DataFrame], DataFrame]:
+    """The one-hot expansion over the values of all ``tables``.
+
+    More than ONE_HOT_CATEGORIES values do not fit the layout of columns: that is an error.
+    """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout is one of {LAYOUTS}")
+    if layout == "columns":
+        found = domains(columns, *tables, limit=ONE_HOT_CATEGORIES)
+        if found is None:
+            raise ValueError(f'more than {ONE_HOT_CATEGORIES} values for a column each; use layout="sparse"')
         return lambda df: one_hot(df, found)
     encoders = fit_ordinals(columns, *tables)
     sizes = [domain_table(c, *tables).count() for c in columns]

@@ -67,9 +67,12 @@ def prepare_online(
     mode: str,
     key: str = "id",
     domain: str = "union",
+    layout: str = "columns",
 ) -> Pair:
     """Cleaning, labels, one-hot, deduplication, leak removal from train, min-max.
 
+    ``layout`` is that of `encode.one_hot_pair`; a sparse column holds ones only and is not scaled.
+
     Copies are removed before the one-hot expansion: the rows equal each other then just
     as they do after it, and the shuffle is narrower.
     """
@@ -93,7 +96,7 @@ def prepare_online(
 
     categories = [c for c in fixed.CATEGORICALS if c in train.columns]
     tables = (train, test) if domain == "union" else (train,)
-    expand = encode.one_hot_like(categories, *tables)
+    expand = encode.one_hot_like(categories, *tables, layout=layout)
     both = dedup.union_sets(train, test).withColumn("is_test", F.col("split") == "test").drop("split")
     pair = materialise(dedup.dedup_pair(both, key, "is_test", victim="train"), "pair")
     train, test = pair.filter("not is_test").drop("is_test"), pair.filter("is_test").drop("is_test")

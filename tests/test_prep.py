@@ -279,12 +279,18 @@ def test_ordinal_codes_of_nan_are_the_same_on_every_path(spark, monkeypatch):
         assert {repr(r.v): r.code for r in coded} == {"0.5": 0, "1.0": 1, "nan": 2, "None": None}
 
 
-def test_one_hot_of_many_values_is_sparse(spark, monkeypatch):
-    monkeypatch.setattr(encode, "ONE_HOT_CATEGORIES", 3)
+def test_one_hot_layouts(spark, monkeypatch):
+    """The caller's layout stays at any number of values; columns beyond the limit are an error that names the way out."""
     train = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, "y")], "id int, p string, s string")
     test = spark.createDataFrame([(4, "c", "x")], "id int, p string, s string")
-    pair = encode.one_hot_pair(train, test, ["p", "s"])
+    pair = encode.one_hot_pair(train, test, ["p", "s"], layout="sparse")
     got = {r.id: (r.onehot["size"], r.onehot["indices"]) for df in pair for r in df.collect()}
     assert got == {1: (5, [0, 3]), 2: (5, [1]), 3: (5, [4]), 4: (5, [2, 3])}
-    one = encode.one_hot_pair(train, test, ["p", "s"], "train")[1].first().onehot
+    one = encode.one_hot_pair(train, test, ["p", "s"], "train", layout="sparse")[1].first().onehot
     assert (one["size"], one["indices"]) == (4, [2])
+    wide = encode.one_hot_pair(train, test, ["p", "s"])[1]
+    assert wide.columns == ["id", "p_a", "p_b", "p_c", "s_x", "s_y"] and tuple(wide.first()) == (4, 0, 0, 1, 1, 0)
+    monkeypatch.setattr(encode, "ONE_HOT_CATEGORIES", 3)
+    assert encode.one_hot_pair(train, test, ["p", "s"], layout="sparse")[1].columns == ["id", "onehot"]
+    with pytest.raises(ValueError, match='layout="sparse"'):
+        encode.one_hot_pair(train, test, ["p", "s"])
