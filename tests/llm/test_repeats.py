@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from flowlab.llm import seed_extend, suffix_dcx
+from flowlab.llm import anchors, seed_extend, suffix_dcx
 from flowlab.sources.tables import table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -108,11 +108,17 @@ def test_suffix_order():
 
 
 def test_anchors_of_a_text_longer_than_a_place_holds(monkeypatch):
-    from flowlab.llm import anchors
-
     values = np.random.default_rng(3).integers(0, 2**63, 1000, dtype=np.uint64) << np.uint64(1)
     values[::7] = values[0]
     expected = anchors.smallest_in(values, 20)
     monkeypatch.setattr(anchors, "_PLACE", 8)
     for n in (255, 256, 257, 492, 493, 1000):
         assert (anchors.smallest_in(values[:n], 20) == expected[: n - 19]).all()
+
+
+def test_chunk_without_repeats():
+    """No window flagged, or no rows at all: an empty batch of the same columns."""
+    owners = [np.zeros(2, anchors.OWNER).tobytes()]
+    for flags, cuts in ((np.zeros(3, bool), np.array([0, 3])), (np.zeros(0, bool), np.array([0, 0]))):
+        out = anchors.flagged_spans(flags, cuts, owners, 50)
+        assert out.schema.names == ["a", "b", "spans"] and out.num_rows == 0
