@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import duckdb
@@ -30,7 +31,7 @@ from flowlab.llm.tokens import Coder
 #: Words up to so many bytes contract one pair a round; longer ones all pairs of one rank.
 SHORT = 64
 #: Bytes of words that one query takes, and rows that one recursion may keep.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 17
 #: Words whose ids and bytes a worker keeps, and new ones that it takes at a time.
 KEPT_WORDS, NEW_WORDS = 800_000, 100_000
 KEPT_ROWS = 4 << 20
@@ -83,15 +84,49 @@ order by s.word, s.pos
 
 _DECODE = """
 select r.row, string_agg(t.bytes, '' order by r.pos) as bytes
-from rows r join tokens t using (tok) group by r.row
+from rows r join tokens t using (tok) group by r.row order by r.row
 """
 
 
+#: Texts whose characters are all below this one are split by the standard library, at half the cost.
+NARROW = "\u0250"
+_CLASS = regex.compile(r"\\p\{\w+\}|\\[sS]|\\.|\[\^?|\]")
+
+
+def narrow(pattern: str) -> re.Pattern | None:
+    """``pattern`` with its character classes spelled out below ``NARROW``; None where it holds others than these."""
+
+    def members(name: str) -> str:
+        test = regex.compile(name)
+        return "".join(re.escape(chr(c)) for c in range(ord(NARROW)) if test.match(chr(c)))
+
+    out, end, inside = [], 0, False
+    for m in _CLASS.finditer(pattern):
+        out.append(pattern[end : m.start()])
+        part, end = m[0], m.end()
+        if part[0] == "[":
+            inside = True
+        elif part == "]":
+            inside = False
+        elif part == r"\S" and not inside:
+            part = f"[^{members(chr(92) + 's')}]"
+        elif part[1] in "ps":
+            part = members(part) if inside else f"[{members(part)}]"
+        else:
+            return None
+        out.append(part)
+    try:
+        return re.compile("".join([*out, pattern[end:]]))
+    except re.error:
+        return None
+
+
 class Codec:
     """The merge and token tables of one rank file, in an in-memory database of its own."""
 
     def __init__(self, rank_file: str, pattern: str):
         self.pattern = regex.compile(pattern)
+        self.narrow, self.wide = narrow(pattern), re.compile(f"[^\0-{chr(ord(NARROW) - 1)}]")
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         if max(ranks.values()) >= 65536:
@@ -120,6 +155,12 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.coder = Coder(self.pieces)
 
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        if self.narrow is None or self.wide.search(text):
+            return self.pattern.findall(text)
+        return self.narrow.findall(text)
+
     def _rows(self, words: list[bytes]) -> pa.Table:
         sizes = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -191,7 +232,7 @@ class Codec:
         """The ids of each string, matched by the pattern on its own."""
         if len(self.words) > self.coder.kept:
             self.words.clear()
-        split = [self.pattern.findall(t) for t in texts]
+        split = [self.split(t) for t in texts]
         new = {w for words in split for w in words}
         self.encode_words([w for w in new if w not in self.words])
         known = self.words
@@ -212,11 +253,13 @@ class Codec:
         row = np.repeat(np.arange(n, dtype=np.int32), sizes)
         pos = np.arange(len(row)) - np.repeat(cuts[:-1], sizes)
         self.base.register("rows", pa.table({"row": row, "pos": pos.astype(np.int32), "tok": ids.astype(np.int32)}))
-        out = [b""] * n
-        found = self.base.execute(_DECODE).fetchnumpy()
-        for row, text in zip(found["row"].tolist(), found["bytes"].tolist(), strict=True):
-            out[row] = bytes.fromhex(text)
-        return out
+        found = self.base.sql(_DECODE).to_arrow_table()
+        texts = found.column("bytes").to_pylist()
+        # Two hex digits a byte: all texts are read at once and cut.
+        raw, ends = bytes.fromhex("".join(texts)), np.zeros(n + 1, np.int64)
+        ends[1:][found.column("row").to_numpy()] = np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+        ends = np.cumsum(ends).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -273,12 +316,24 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+class Numbers(dict):
+    """Words numbered as they are first asked for; those not spelled yet stand in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Spelled:
     """Of each distinct word the ids as written and the bytes they decode to."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.written: list[bytes] = []
         self.raw: list[bytes] = []
         self.decimal = [b"%d" % i for i in range(len(codec.bytes_of))]
@@ -288,25 +343,21 @@ class Spelled:
         flat = np.frombuffer(b"".join(ids), np.uint32)
         cuts = np.concatenate([[0], np.cumsum([len(i) >> 2 for i in ids])])
         pieces, ends = list(map(self.decimal.__getitem__, flat.tolist())), cuts.tolist()
-        self.number.update(zip(words, range(len(self.raw), len(self.raw) + len(words)), strict=True))
         self.written += [b" ".join(pieces[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         self.raw += self.codec.decode_flat(flat, cuts)
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, digest of the ids, digest of the decoded bytes) of each text."""
         if len(self.raw) > KEPT_WORDS:
-            for held in (self.number, self.written, self.raw):
-                held.clear()
-        split = [self.codec.pattern.findall(t) for t in texts]
-        found = [list(map(self.number.get, words)) for words in split]
-        new = list({w for words, known in zip(split, found, strict=True) if None in known for w, k in zip(words, known, strict=True) if k is None})
+            self.number, self.written, self.raw = Numbers(), [], []
+        split, number = self.codec.split, self.number.__getitem__
+        found = [list(map(number, split(t))) for t in texts]
+        new, self.number.new = self.number.new, []
         for at in range(0, len(new), NEW_WORDS):
             self.learn(new[at : at + NEW_WORDS])
-        out = []
-        for words, known in zip(split, found, strict=True):
-            if None in known:
-                known = list(map(self.number.__getitem__, words))
-            written, raw = b" ".join(map(self.written.__getitem__, known)), b"".join(map(self.raw.__getitem__, known))
+        out, spelled, bytes_of = [], self.written.__getitem__, self.raw.__getitem__
+        for words in found:
+            written, raw = b" ".join(map(spelled, words)), b"".join(map(bytes_of, words))
             n = written.count(b" ") + 1 if words else 0
             out.append((n, hashlib.sha256(written).hexdigest(), hashlib.sha256(raw).hexdigest()))
         return out

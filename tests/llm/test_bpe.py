@@ -58,3 +58,25 @@ def test_restarted_recursion(monkeypatch, reference):
 def test_no_documents(no_docs):
     assert q.round_trip(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
     assert q.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_narrow_split_finds_the_matches_of_the_pattern():
+    r = random.Random(7)
+    codec = q.Codec(RANKS, public_tokenizers.PATTERN)
+    chars = [chr(c) for c in range(ord(q.NARROW))]
+    texts = ["".join(r.choices(chars, k=r.randint(0, 60))) for _ in range(2000)] + ["it's we'll  \n\n x ", "".join(chars), ""]
+    assert codec.narrow is not None
+    assert [codec.narrow.findall(t) for t in texts] == [codec.pattern.findall(t) for t in texts]
+    assert codec.split("é汉 x") == codec.pattern.findall("é汉 x")
+    # Classes that are not spelled out leave the pattern to the wider library.
+    assert q.narrow(r"\w+|\p{L}+") is None and q.narrow(r"[\S]+") is None
+
+
+def test_words_are_learnt_again_when_forgotten(monkeypatch, reference):
+    monkeypatch.setattr(q, "KEPT_WORDS", 3)
+    monkeypatch.setattr(q, "NEW_WORDS", 2)
+    spelled = q.Spelled(q.Codec(RANKS, public_tokenizers.PATTERN))
+    for text in ("seven unheard wordings zq xv", "wordings anew zq", ""):
+        ids = reference.encode_ordinary(text)
+        written = " ".join(map(str, ids)).encode()
+        assert spelled([text]) == [(len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(text.encode()).hexdigest())]
