@@ -12,7 +12,7 @@ from flowlab.plans.catalog.learning import CLASSES, sql
 from flowlab.plans.catalog.registry import query, round_all, table
 from flowlab.session import fresh_path
 from flowlab.sources.tables import table_stream
-from flowlab.streaming import drift, replay
+from flowlab.streaming import drift, ordered, replay
 
 # Errors with a step planted in the middle of the month.
 ERRORS_SQL = """
@@ -124,6 +124,40 @@ def adwin_slices_stream(spark, sf):
     return drift.detect_windows(drift.stream_windows(planted(table_stream(spark, sf, "events")), "15 minutes"))
 
 
+CHANGE = "2024-01-16"
+
+
+def switched(events):
+    """A tenth of errors before the change, nine tenths after it."""
+    ts = F.col("ts").cast("timestamp")
+    after = ts >= F.lit(CHANGE).cast("timestamp")
+    return events.select(
+        (F.col("user_id") % 3).cast("string").alias("stream_key"), ts.alias("ts"), "event_id",
+        (after != (F.col("event_id") % 10 == 0)).cast("double").alias("value"),
+    )
+
+
+@query("ordered_detector_stream", f"""
+select (user_id % 3)::varchar as stream_key, count(*) filter (ts < timestamp '{CHANGE}') as elements_before,
+  0 as drifts_before, 1 as found from events group by all
+""")
+def ordered_detector_stream(spark, sf):
+    """Of each key: no drift before the planted change, and one within 96 elements after it."""
+    drifts = ordered.ordered_drifts(switched(table_stream(spark, sf, "events")), "40 days")
+    change = F.lit(CHANGE).cast("timestamp")
+    first = drifts.groupBy("stream_key").agg(
+        F.min(F.when(F.col("ts") >= change, F.struct("ts", "event_id"))).alias("at"),
+        F.count(F.when(F.col("ts") < change, 1)).alias("drifts_before"),
+    )
+    elements = switched(table(spark, sf, "events")).join(first, "stream_key", "left")
+    until = (F.col("ts") >= change) & (F.struct("ts", "event_id") <= F.col("at"))
+    return elements.groupBy("stream_key").agg(
+        F.count(F.when(F.col("ts") < change, 1)).alias("elements_before"),
+        F.max(F.coalesce("drifts_before", F.lit(0))).cast("int").alias("drifts_before"),
+        F.count(F.when(until, 1)).between(1, 96).cast("int").alias("found"),
+    )
+
+
 @query("drift_refit", sql(
     COMPARE_SQL_CTES, """
 rows as (
