@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlab import fixed
@@ -32,6 +33,11 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     return df
 
 
+def is_incomplete(df: DataFrame) -> Column:
+    """Whether any cell is missing (null or NaN)."""
+    return reduce(lambda a, b: a | b, [cells.is_missing(F.col(f"`{c}`"), t) for c, t in df.dtypes])
+
+
 def map_labels(
     df: DataFrame,
     source: str,

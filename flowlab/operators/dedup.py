@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,8 @@ def dedup_pair(
     key: str,
     is_test: str,
     victim: str = "test",
+    observation: Observation | None = None,
+    gap: str | None = None,
 ) -> DataFrame:
     """Deduplicate a train set and a test set and remove the leaks between them at once.
 
@@ -95,11 +97,30 @@ def dedup_pair(
     goes to the guard side if it occurs there, else to the victim side. So the three
     steps take one shuffle, whose copies are combined before it. With ``victim=None``
     no leak is removed.
+
+    ``observation`` receives what is removed (`observed_counts` reads it) from the job that
+    computes the result. ``gap`` names a column marking rows that `mark_gaps` emptied: they
+    are counted and go.
     """
     features = [c for c in df.columns if c not in (key, is_test)]
     sides = {"train": ~F.col(is_test), "test": F.col(is_test)}
     first = {s: F.min(F.when(cond, F.col(key))).alias(f"_{s}") for s, cond in sides.items()}
-    merged = df.groupBy(*features).agg(*first.values())
+    counts = [F.count(F.when(cond, 1)).alias(f"_n_{s}") for s, cond in sides.items()] if observation else []
+    merged = df.groupBy(*features).agg(*first.values(), *counts)
+    if observation:
+        is_gap = F.col(gap) if gap else F.lit(False)
+        metrics = []
+        for side, other in (("train", "test"), ("test", "train")):
+            n = F.col(f"_n_{side}")
+            leak = ~is_gap & (n > 0) & (F.col(f"_n_{other}") > 0) if side == victim else F.lit(False)
+            metrics += count_metrics(side, {
+                "rows_in": n, "gaps": F.when(is_gap, n),
+                "copies": F.when(~is_gap, F.greatest(n - 1, F.lit(0))), "leaks": F.when(leak, 1),
+                "rows_out": F.when(~is_gap & ~leak & (n > 0), 1),
+            })
+        merged = merged.observe(observation, *metrics)
+    if gap:
+        merged, features = merged.filter(~F.col(gap)), [c for c in features if c != gap]
     if victim is None:
         kept = {s: F.col(f"_{s}") for s in sides}
     else:
@@ -118,6 +139,30 @@ def dedup_pair(
     return out.select(*features, f"_kept.{key}", f"_kept.{is_test}").filter(F.col(key).isNotNull())
 
 
+def count_metrics(side: str, values: dict[str, Column]) -> list[Column]:
+    """The sum of each value under ``name:side``, 0 for no rows."""
+    return [F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(f"{name}:{side}") for name, v in values.items()]
+
+
+def observed_counts(observation: Observation) -> list[dict[str, int | str]]:
+    """One row per set of what `count_metrics` observed, once the job has run."""
+    rows: dict[str, dict[str, int | str]] = {s: {"split": s} for s in ("train", "test")}
+    for name, value in observation.get.items():
+        what, side = name.rsplit(":", 1)
+        rows[side][what] = value
+    return list(rows.values())
+
+
+def mark_gaps(df: DataFrame, is_gap: Column, key: str, gap: str = "_gap") -> DataFrame:
+    """``df`` with a flag for rows with gaps, whose cells but the key are emptied.
+
+    So all of them are one row of a grouping, which combines them before the shuffle: they can be
+    counted by the job that drops them.
+    """
+    marked = df.withColumn(gap, is_gap)
+    return marked.select(key, *[F.when(~F.col(gap), F.col(f"`{c}`")).alias(c) for c in df.columns if c != key], gap)
+
+
 def pair_report(df: DataFrame, key: str, is_test: str, victim: str = "test") -> DataFrame:
     """What `dedup_pair` removes, per set: rows in, copies, leaks, rows out.
 

@@ -429,6 +429,26 @@ def offline_preparation_by_class(spark, sf):
     return _both(prep.prepare_offline(*inputs.flow_pair(spark, sf), cap=50, special={0: 200}))
 
 
+@query("offline_counters", "with " + inputs.CLEAN_FLOWS_SQL + """
+, per_class as (
+  select is_test, new_label, count(*) as n, least(count(*), 150) as kept from leakfree group by all)
+select case when t.is_test then 'test' else 'train' end as split,
+  (select count(*) from flows where (id % 5 = 0) = t.is_test) as rows_in,
+  (select count(*) from flows where (id % 5 = 0) = t.is_test) - (select count(*) from cleaned c where c.is_test = t.is_test) as gaps,
+  (select count(*) from cleaned c where c.is_test = t.is_test) - (select count(*) from distinct_flows d where d.is_test = t.is_test) as copies,
+  (select count(*) from labelled l where l.is_test = t.is_test and new_label is null) as unlabelled,
+  (select count(*) from coded c where c.is_test = t.is_test) - (select count(*) from leakfree f where f.is_test = t.is_test) as leaks,
+  (select sum(n - kept) from per_class p where p.is_test = t.is_test)::bigint as capped,
+  (select sum(kept) from per_class p where p.is_test = t.is_test)::bigint as rows_out
+from (values (true), (false)) t(is_test)
+""")
+def offline_counters(spark, sf):
+    """What the offline preparation removes, as its own job counts it."""
+    counts = prep.prepare_offline_counted(*inputs.flow_pair(spark, sf), cap=150)[1]
+    return spark.createDataFrame(counts, COUNTERS + ", unlabelled long, capped long")
+
+
+COUNTERS = "split string, rows_in long, gaps long, copies long, leaks long, rows_out long"
 ONLINE_SQL = "with " + inputs.FLOWS_SQL + """
 , cleaned as (
   select *, id % 5 = 0 as is_test from flows where service <> '-' and tcprtt is not null
@@ -467,6 +487,27 @@ def _online(spark, sf, mode):
     )
 
 
+@query("online_counters", "with " + inputs.FLOWS_SQL + """
+, cleaned as (
+  select *, id % 5 = 0 as is_test from flows where service <> '-' and tcprtt is not null
+), labelled as (
+  select * exclude (attack_cat, label, id), case when label = 0 then 0 else 1 end as label from cleaned
+), grouped as (
+  select * exclude (is_test), count(*) filter (is_test) as n_test, count(*) filter (not is_test) as n_train
+  from labelled group by all
+), sides as (
+  select 'train' as split, n_train as n, (n_train > 0 and n_test > 0)::int as leak from grouped
+  union all select 'test', n_test, 0 from grouped
+), totals as (select case when id % 5 = 0 then 'test' else 'train' end as split, count(*) as rows_in from flows group by all)
+select split, rows_in, rows_in - sum(n)::bigint as gaps, sum(greatest(n - 1, 0))::bigint as copies,
+  sum(leak)::bigint as leaks, sum(least(n, 1) - leak)::bigint as rows_out
+from sides join totals using (split) group by split, rows_in
+""")
+def online_counters(spark, sf):
+    """What the online preparation removes, as its own job counts it."""
+    return spark.createDataFrame(prep.prepare_online_counted(*inputs.flow_pair(spark, sf), "binary")[1], COUNTERS)
+
+
 @query("online_preparation_binary", ONLINE_SQL.replace("{label}", "case when label = 0 then 0 else 1 end"))
 def online_preparation_binary(spark, sf):
     return _online(spark, sf, "binary")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from flowlab import fixed
@@ -18,6 +18,7 @@ from flowlab.operators.sample import balanced_classes, class_cap
 from flowlab.session import materialise
 
 Pair = tuple[DataFrame, DataFrame]
+Counts = list[dict[str, int | str]]
 
 
 def clean_flows(df: DataFrame, key: str = "id") -> DataFrame:
@@ -42,18 +43,69 @@ def prepare_offline(
 ) -> Pair:
     """Clean both sets, drop test rows the train set has, and cap the classes.
 
-    The cleaned sets are written once: the leak removal, the class counts and the cap
-    all read them.
+    The cleaned pair is written once: the class counts and the cap read it.
     """
-    kept_train = materialise(clean_flows(train, key), "train")
-    features = [c for c in kept_train.columns if c != key]
-    kept_test = materialise(
-        dedup.remove_leaks(clean_flows(test, key), kept_train, on=features), "test"
-    )
+    return prepare_offline_counted(train, test, cap, special, key, seed)[0]
+
+
+def prepare_offline_counted(
+    train: DataFrame,
+    test: DataFrame,
+    cap: int = fixed.CLASS_CAP,
+    special: Mapping[int, int] | None = None,
+    key: str = "id",
+    seed: int = fixed.SEED,
+) -> tuple[Pair, Counts]:
+    """`prepare_offline` and what it removed from each set.
+
+    The rows are cleaned as in `clean_flows`. One grouping finds the copies in both sets; a second shuffle, of distinct rows
+    only, brings the spellings of a label together to tell the leaks. The counters are metrics of
+    that same job's last stage, so nothing is read again and a stage that is repeated counts once.
+    """
+    sides = []
+    for df, is_test in ((train, False), (test, True)):
+        rows = clean.blanks_to_null(df)
+        rows = dedup.mark_gaps(rows, clean.is_incomplete(rows), key)
+        rows = rows.withColumn("service", cells.sentinel_to_token(F.col("service")))
+        rows = rows.withColumn("service", F.when(~F.col("_gap"), F.col("service")))
+        sides.append(rows.drop(*[c for c in fixed.DROP_OFFLINE if c != key]).withColumn("_test", F.lit(is_test)))
+    both = sides[0].unionByName(sides[1])
+    apart = [c for c in both.columns if c != key]
+    rows = both.groupBy(*apart).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_n"))
+    labelled = F.lit(True)
+    if "attack_cat" in apart:
+        code = cells.label_code(cells.strip(F.col("attack_cat")), fixed.ATTACK_CODES)
+        rows, labelled = rows.withColumn("new_label", code).drop("attack_cat"), F.col("new_label").isNotNull()
+    features = [c for c in rows.columns if c not in (key, "_n", "_gap", "_test")]
+    same = Window.partitionBy(F.xxhash64(*features), "_gap", *features)
+    in_train = F.coalesce(F.max((~F.col("_test")).cast("int")).over(same), F.lit(0)) == 1
+    rows = rows.withColumn("_leak", F.col("_test") & in_train & ~F.col("_gap") & labelled)
+    kept = ~F.col("_gap") & labelled & ~F.col("_leak")
+    metrics = []
+    for side, here in (("train", ~F.col("_test")), ("test", F.col("_test"))):
+        metrics += dedup.count_metrics(side, {
+            "rows_in": F.when(here, F.col("_n")), "gaps": F.when(here & F.col("_gap"), F.col("_n")),
+            "copies": F.when(here & ~F.col("_gap"), F.col("_n") - 1),
+            "unlabelled": F.when(here & ~F.col("_gap") & ~labelled, 1), "leaks": F.when(here & F.col("_leak"), 1),
+            **{f"class {c}": F.when(here & kept & (F.col("new_label") == c), 1) for c in fixed.ATTACK_CODES.values() if "new_label" in features},
+        })
+    seen = Observation()
+    shown = [c for c in clean_columns(train, key) if c in rows.columns] + [c for c in ("new_label",) if c in features]
+    pair = materialise(rows.observe(seen, *metrics).filter(kept).select(*dict.fromkeys(shown), "_test"), "pair")
+    counts = dedup.observed_counts(seen)
+    for row in counts:
+        classes = {c: row.pop(f"class {c}") for c in fixed.ATTACK_CODES.values() if f"class {c}" in row}
+        row["capped"] = sum(max(n - (special or {}).get(c, cap), 0) for c, n in classes.items())
+        row["rows_out"] = sum(classes.values()) - row["capped"]
     capped = [
-        class_cap(t, "new_label", key, cap, special, seed) for t in (kept_train, kept_test)
+        class_cap(pair.filter(side).drop("_test"), "new_label", key, cap, special, seed) for side in ("not _test", "_test")
     ]
-    return capped[0], capped[1]
+    return (capped[0], capped[1]), counts
+
+
+def clean_columns(df: DataFrame, key: str) -> list[str]:
+    """The columns that the offline cleaning keeps."""
+    return [c for c in df.columns if c == key or c not in (*fixed.DROP_OFFLINE, "attack_cat")]
 
 
 def prepare_offline_binary(train: DataFrame, test: DataFrame, key: str = "id") -> Pair:
@@ -76,33 +128,42 @@ def prepare_online(
     Copies are removed before the one-hot expansion: the rows equal each other then just
     as they do after it, and the shuffle is narrower.
     """
+    return prepare_online_counted(train, test, mode, key, domain, layout)[0]
+
+
+def prepare_online_counted(
+    train: DataFrame, test: DataFrame, mode: str, key: str = "id", domain: str = "union", layout: str = "columns"
+) -> tuple[Pair, Counts]:
+    """`prepare_online` and what it removed from each set, counted by the job that removes it."""
     fixed.check_mode(mode)
 
-    def cleaned(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("service", cells.sentinel_to_null(F.col("service")))
-        return clean.drop_incomplete(rows)
+    def known(df: DataFrame) -> DataFrame:
+        return df.withColumn("service", cells.sentinel_to_null(F.col("service")))
 
     def named(df: DataFrame) -> DataFrame:
         label = cells.strip(F.coalesce(F.col("attack_cat"), F.lit("Normal")))
         return df.withColumn("label", label)
 
-    train, test = cleaned(train), cleaned(test)
+    # Labels and categories come from the rows without gaps; the rows with gaps go on, emptied, to be counted.
+    whole = [clean.drop_incomplete(known(t)) for t in (train, test)]
+    marked = [dedup.mark_gaps(known(t), clean.is_incomplete(known(t)), key) for t in (train, test)]
     if mode == "binary":
-        train, test = [t.withColumn("label", cells.to_binary(F.col("label"))) for t in (train, test)]
+        marked = [t.withColumn("label", cells.to_binary(F.col("label"))) for t in marked]
     else:
-        train, test, _ = encode.encode_labels(named(train), named(test), "label")
+        encoder = encode.encode_labels(named(whole[0]), named(whole[1]), "label")[2]
+        marked = [encoder.apply(named(t)) for t in marked]
     dropped = [c for c in fixed.DROP_ONLINE if c != key]
-    train, test = train.drop(*dropped), test.drop(*dropped)
+    train, test = (t.drop(*dropped) for t in marked)
 
     categories = [c for c in fixed.CATEGORICALS if c in train.columns]
-    tables = (train, test) if domain == "union" else (train,)
-    expand = encode.one_hot_like(categories, *tables, layout=layout)
+    expand = encode.one_hot_like(categories, *(whole if domain == "union" else whole[:1]), layout=layout)
     both = dedup.union_sets(train, test).withColumn("is_test", F.col("split") == "test").drop("split")
-    pair = materialise(dedup.dedup_pair(both, key, "is_test", victim="train"), "pair")
+    seen = Observation()
+    pair = materialise(dedup.dedup_pair(both, key, "is_test", victim="train", observation=seen, gap="_gap"), "pair")
     train, test = pair.filter("not is_test").drop("is_test"), pair.filter("is_test").drop("is_test")
     train, test = expand(train), expand(test)
     features = [c for c in features_of(train, "label", key) if c != "onehot"]
-    return encode.minmax_pair(train, test, features)
+    return encode.minmax_pair(train, test, features), dedup.observed_counts(seen)
 
 
 def features_of(df: DataFrame, label: str, key: str) -> list[str]:

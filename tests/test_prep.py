@@ -294,3 +294,50 @@ def test_one_hot_layouts(spark, monkeypatch):
     assert encode.one_hot_pair(train, test, ["p", "s"], layout="sparse")[1].columns == ["id", "onehot"]
     with pytest.raises(ValueError, match='layout="sparse"'):
         encode.one_hot_pair(train, test, ["p", "s"])
+
+
+def test_counters_are_those_of_a_separate_report(spark):
+    train, test = make_flows(spark, 900), make_flows(spark, 300, 10_000)
+    gaps = [t.withColumn("state", F.when(F.col("id") % 7 != 0, F.col("state"))) for t in (train, test)]
+    (a, b), counts = prep.prepare_offline_counted(gaps[0].union(gaps[0]), gaps[1], cap=20)
+    found = {c["split"]: c for c in counts}
+    for side, df, out in (("train", gaps[0].union(gaps[0]), a), ("test", gaps[1], b)):
+        got, whole = found[side], clean.drop_incomplete(clean.blanks_to_null(df))
+        assert got["rows_in"] == df.count() and got["gaps"] == df.count() - whole.count() > 0
+        assert got["rows_out"] == out.count()
+        assert got["rows_in"] - got["rows_out"] == sum(got[c] for c in ("gaps", "copies", "unlabelled", "leaks", "capped"))
+    assert found["train"]["copies"] >= 900 - found["train"]["gaps"] // 2 and found["train"]["leaks"] == 0
+    # The same rows as cleaning each set and taking the leaks out by a join.
+    kept = prep.clean_flows(gaps[0].union(gaps[0]))
+    features = [c for c in kept.columns if c != "id"]
+    left = dedup.remove_leaks(prep.clean_flows(gaps[1]), kept, on=features)
+    (x, y), _ = prep.prepare_offline_counted(gaps[0].union(gaps[0]), gaps[1], cap=10_000)
+    for one, other in ((x, kept), (y, left)):
+        assert one.select(*other.columns).exceptAll(other).count() == other.exceptAll(one.select(*other.columns)).count() == 0
+
+
+def test_online_counters_equal_the_pair_report(spark):
+    train, test = make_flows(spark, 900), make_flows(spark, 300, 10_000)
+    counts = {c["split"]: c for c in prep.prepare_online_counted(train.union(train), test, "binary")[1]}
+    for side in counts.values():
+        assert side["rows_in"] == side["gaps"] + side["copies"] + side["leaks"] + side["rows_out"]
+    assert counts["test"]["leaks"] == 0 and counts["train"]["copies"] >= 900 - counts["train"]["gaps"] // 2
+
+
+def test_counters_of_a_pair_need_no_scan_of_their_own(spark):
+    from pyspark.sql import Observation
+
+    rows = spark.range(500).select("id", (F.col("id") % 50).alias("x"), (F.col("id") % 3 == 0).alias("is_test"))
+    seen = Observation()
+    pair = dedup.dedup_pair(rows, "id", "is_test", observation=seen)
+    plan = pair._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("CollectMetrics") == 1
+    assert sorted(map(tuple, pair.collect())) == sorted(map(tuple, dedup.dedup_pair(rows, "id", "is_test").collect()))
+    report = {r.split: r.asDict() for r in dedup.pair_report(rows, "id", "is_test").collect()}
+    assert all({k: c[k] for k in report[c["split"]]} == report[c["split"]] for c in dedup.observed_counts(seen))
+
+
+def test_counters_of_empty_sets(spark):
+    train, test = make_flows(spark, 0), make_flows(spark, 0, 10_000)
+    _, counts = prep.prepare_offline_counted(train, test)
+    assert all(v == 0 for c in counts for k, v in c.items() if k != "split")
