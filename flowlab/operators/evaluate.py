@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab import fixed
 from flowlab.functions import vectors
-from flowlab.session import settle
+from flowlab.session import materialise, settle
 
 
 def predict_argmax(df: DataFrame, logits: str = "logits", target: str = "y_pred") -> DataFrame:
@@ -205,6 +205,45 @@ def threshold_sweep(
     return sums.select("threshold", F.coalesce(f1, F.lit(0.0)).alias("f1"), "hits", "predicted")
 
 
+def threshold_curve(df: DataFrame, y_true: str = "y_true", score: str = "prob") -> DataFrame:
+    """Hits, flagged rows, precision, recall and F1 at every distinct score: the sweep without a grid.
+
+    A row is flagged if its score is over the threshold; the threshold minus infinity flags every
+    row that has a score. Null and NaN scores are never flagged, but their positives count. Every
+    score is one record with its counts; these are dealt by ranges, summed within a range from
+    its top, and shifted by the totals of the ranges above (one row a partition). No task sees more than a range,
+    and as scores are distinct there, no value can fill one.
+    """
+    positive = (F.col(y_true) == 1).cast("long")
+    known = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
+    counts = df.groupBy(known.alias("threshold")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(positive), F.lit(0)).alias("positives")
+    )
+    ranges = counts.repartitionByRange(F.desc("threshold")).withColumn("range", F.spark_partition_id())
+    ranges = materialise(ranges, "curve")
+    scored = ranges.filter("threshold is not null")
+    totals = scored.groupBy("range").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+    # One row a partition of the ranges: their number, not the data's, bounds this window and the broadcast.
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    above = totals.select("range", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_above") for c in ("n", "positives")])
+    within = Window.partitionBy("range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0))
+    local = scored.select("range", "threshold", inside("n").alias("predicted"), inside("positives").alias("hits"))
+    curve = local.join(F.broadcast(above), "range").select(
+        "threshold", (F.col("hits") + F.col("positives_above")).alias("hits"), (F.col("predicted") + F.col("n_above")).alias("predicted")
+    )
+    whole = totals.agg(F.sum("positives").alias("hits"), F.sum("n").alias("predicted")).filter("predicted is not null")
+    curve = curve.unionByName(whole.withColumn("threshold", F.lit(float("-inf"))))
+    every = ranges.agg(F.coalesce(F.sum("positives"), F.lit(0))).first()[0]
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return curve.select(
+        "threshold", "hits", "predicted",
+        ratio(F.col("hits"), F.col("predicted")).alias("precision"),
+        ratio(F.col("hits"), F.lit(every)).alias("recall"),
+        ratio(2.0 * F.col("hits"), F.col("predicted") + F.lit(every)).alias("f1"),
+    )
+
+
 def best_threshold(sweep: DataFrame, default: float = fixed.DEFAULT_THRESHOLD) -> DataFrame:
     """The lowest threshold of the highest F1; the default if no F1 exceeds 0."""
     top = sweep.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("neg"))).alias("top"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlab.functions import vectors
 from flowlab.operators import evaluate, loss, profile
 from flowlab.plans.catalog import inputs
-from flowlab.plans.catalog.registry import query, r6, round_all
+from flowlab.plans.catalog.registry import query, r6, round_all, table
 
 CELLS_SQL = inputs.PREDICTED_SQL + """
 , cells as (select y_true, y_pred, count(*) as n from predicted group by all)
@@ -143,6 +143,42 @@ def best_threshold(spark, sf):
     return round_all(evaluate.best_threshold(evaluate.threshold_sweep(inputs.scores(spark, sf))), "f1")
 
 
+CURVE_SQL = """
+rated as (
+  select l.quality as y_true, d.n_chars / 20000.0::double as prob from labels l join documents d using (doc_id)),
+curve as (
+  select t.threshold, (select count(*) from rated where prob > t.threshold and y_true = 1) as hits,
+    (select count(*) from rated where prob > t.threshold) as predicted, (select count(*) from rated where y_true = 1) as positives
+  from (select distinct prob as threshold from rated union all select -1) t),
+f1s as (select threshold, hits, predicted, coalesce(hits / nullif(predicted, 0)::double, 0) as precision,
+    coalesce(hits / nullif(positives, 0)::double, 0) as recall, 2.0::double * hits / (predicted + positives) as f1 from curve)
+"""
+
+
+def rated(spark, sf):
+    """The labelled documents' quality, scored by length."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / F.lit(20000.0)).alias("prob"))
+    return table(spark, sf, "labels").join(docs, "doc_id").select(F.col("quality").alias("y_true"), "prob")
+
+
+@query("threshold_curve", f"with {CURVE_SQL}" + """
+select round(threshold, 6) + 0.0 as threshold, hits, predicted, round(precision, 6) + 0.0 as precision,
+  round(recall, 6) + 0.0 as recall, round(f1, 6) + 0.0 as f1 from f1s
+""")
+def threshold_curve(spark, sf):
+    curve = evaluate.threshold_curve(rated(spark, sf))
+    curve = curve.withColumn("threshold", F.greatest("threshold", F.lit(-1.0)))
+    return round_all(curve, "threshold", "precision", "recall", "f1")
+
+
+@query("best_threshold_exact", f"with {CURVE_SQL}" + """
+select round(min(threshold), 6) + 0.0 as threshold, round(max(f1), 6) + 0.0 as f1 from f1s where f1 = (select max(f1) from f1s)
+""")
+def best_threshold_exact(spark, sf):
+    best = evaluate.best_threshold(evaluate.threshold_curve(rated(spark, sf)))
+    return round_all(best.withColumn("threshold", F.greatest("threshold", F.lit(-1.0))), "threshold", "f1")
+
+
 @query("threshold_report", f"with {SWEEP_SQL}" + """
 select y_true, (prob > threshold)::int as y_pred, count(*) as n from scores, best group by all
 """)

@@ -108,3 +108,30 @@ def test_a_label_outside_the_logits_is_an_error(spark, label):
     df = spark.createDataFrame([([0.1, 0.2, 0.3], 1), ([0.1, 0.2, 0.3], label)], "logits array<double>, y_true int")
     with pytest.raises(Exception, match="label outside the logits"):
         evaluate.mean_log_loss(df).collect()
+
+
+def test_curve_over_every_score(spark):
+    r = np.random.default_rng(4)
+    p = [None if x < 0.02 else float("nan") if x < 0.04 else round(float(x), 2) for x in r.random(700)] + [0.5] * 300
+    y = [int(v) if v < 2 else None for v in r.integers(0, 3, len(p))]
+    df = spark.createDataFrame(list(zip(y, p, strict=True)), "y_true int, prob double").repartition(7)
+    got = {row.threshold: row for row in evaluate.threshold_curve(df).collect()}
+    known = {x for x in p if x is not None and not math.isnan(x)}
+    assert set(got) == known | {float("-inf")}
+    positives = sum(v == 1 for v in y)
+    for t, row in got.items():
+        flagged = [v for v, x in zip(y, p, strict=True) if x is not None and x > t]
+        hits = sum(v == 1 for v in flagged)
+        assert (row.hits, row.predicted) == (hits, len(flagged))
+        assert row.precision == pytest.approx(hits / len(flagged) if flagged else 0) and row.recall == pytest.approx(hits / positives)
+        assert row.f1 == pytest.approx(2 * hits / (len(flagged) + positives))
+    best = evaluate.best_threshold(evaluate.threshold_curve(df)).first()
+    assert best.f1 == max(row.f1 for row in got.values()) >= max(evaluate.threshold_sweep(df).toPandas()["f1"])
+
+
+def test_curve_without_scores(spark):
+    none = spark.createDataFrame([], "y_true int, prob double")
+    assert evaluate.threshold_curve(none).count() == 0
+    unscored = spark.createDataFrame([(1, None), (0, None)], "y_true int, prob double")
+    assert evaluate.threshold_curve(unscored).count() == 0
+    assert evaluate.best_threshold(evaluate.threshold_curve(none)).first()["threshold"] == fixed.DEFAULT_THRESHOLD
