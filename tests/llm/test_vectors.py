@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlab.llm import pstable as q
 from flowlab.sources.tables import table
@@ -73,3 +74,48 @@ def test_recall_on_the_table(spark, data, threshold):
 
 def test_no_vectors(spark):
     assert q.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def by_id(rows, threshold=0.98):
+    """{vec_id: (n_links, component)} where a vec_id may stand on several vectors."""
+    held = {}
+    for i, v, label in rows:
+        held.setdefault(i, []).append((np.array(v, float) / np.linalg.norm(v), label))
+    near = {i: {j for j in held if j != i and any(a == b and u @ v >= threshold for u, a in held[i] for v, b in held[j])} for i in held}
+    out = {}
+    for i in held:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[i] = len(near[i]), min(seen)
+    return out
+
+
+def test_repeated_ids_with_other_vectors_and_copies(spark):
+    random = np.random.default_rng(3)
+    base = random.normal(size=(8, 16))
+    rows = [(i, base[i % 8].tolist(), 0) for i in range(40)]
+    rows += [(100 + i, (base[i % 8] + random.normal(size=16) * 0.03).tolist(), 0) for i in range(24)]
+    # Two near vectors, two unlike ones, one in another label, and two ids that share both of their vectors.
+    rows += [(1, (base[1] * 1.001 + 0.001).tolist(), 0), (3, base[4].tolist(), 0), (7, base[7].tolist(), 5), (200, base[5].tolist(), 5)]
+    rows += [(300, base[6].tolist(), 0), (300, base[2].tolist(), 0), (301, base[6].tolist(), 0), (301, base[2].tolist(), 0), (5, base[5].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(q.near_vectors(df)) == by_id(rows)
+    assert got(q.near_vectors(df.repartition(1).orderBy(F.desc("vec_id")))) == by_id(rows)
+
+
+def test_vectors_of_any_finite_size(spark):
+    v = np.random.default_rng(5).normal(size=16)
+    rows = [(1, v.tolist(), 0), (2, (v * 1e200).tolist(), 0), (3, (v * 1e-200).tolist(), 0), (4, (-v * 1e300).tolist(), 0), (5, [0.0, -0.0] * 8, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(q.near_vectors(df)) == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_copies_are_one_node(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), -0.0 * F.col("id")).alias("embedding"), F.lit(1).cast("long").alias("label"))
+    nodes, own = q._nodes(q.usable(rows))
+    assert nodes.count() == 1 and own.count() == 20_000
+    result = q.near_vectors(rows)
+    assert {(r.n_links, r.component_id) for r in result.collect()} == {(19_999, 0)} and result.where("kept").count() == 1
