@@ -8,6 +8,8 @@ from flowlab.functions import vectors
 from flowlab.operators import evaluate, loss, profile
 from flowlab.plans.catalog import inputs
 from flowlab.plans.catalog.registry import query, r6, round_all, table
+from flowlab.session import fresh_path
+from flowlab.sources import models
 
 CELLS_SQL = inputs.PREDICTED_SQL + """
 , cells as (select y_true, y_pred, count(*) as n from predicted group by all)
@@ -58,17 +60,29 @@ def confusion_wide(spark, sf):
     return evaluate.confusion_wide(cells(spark, sf), range(6))
 
 
-@query("class_report", f"with {CELLS_SQL}" + """
+CLASS_REPORT_SQL = f"with {CELLS_SQL}" + """
 select label::varchar as label, round(precision, 6) + 0.0 as precision, round(recall, 6) + 0.0 as recall,
   round(f1, 6) + 0.0 as f1, support from metrics
 union all select 'accuracy', null, null, round(accuracy, 6), support from averages
 union all select 'macro avg', round(macro_precision, 6), round(macro_recall, 6), round(macro_f1, 6), support from averages
 union all select 'weighted avg', round(weighted_precision, 6), round(weighted_recall, 6), round(weighted_f1, 6), support from averages
-""")
+"""
+
+
+@query("class_report", CLASS_REPORT_SQL)
 def class_report(spark, sf):
     return round_all(evaluate.class_report(cells(spark, sf)), "precision", "recall", "f1")
 
 
+@query("report_saved", CLASS_REPORT_SQL)
+def report_saved(spark, sf):
+    """The class report, written with the whole evaluation and read back."""
+    folder = fresh_path(spark, "reports")
+    report = evaluate.evaluate(inputs.predicted(spark, sf).select("y_true", "y_pred"), None, predictor="given")
+    models.save_report(report, folder, "multi")
+    return round_all(models.load_report(spark, folder, "multi", list(report))["report"], "precision", "recall", "f1")
+
+
 @query("avg_metrics", f"with {CELLS_SQL} select {AVERAGES_SQL}, support from averages")
 def avg_metrics(spark, sf):
     return round_all(evaluate.average_metrics(cells(spark, sf)), *AVERAGES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,8 @@ def save_report(report: dict[str, DataFrame], folder: str, mode: str) -> dict[st
         paths[name] = model_path(folder, name, mode)
         df.write.mode("overwrite").parquet(paths[name])
     return paths
+
+
+def load_report(spark: SparkSession, folder: str, mode: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """The named tables of a saved report."""
+    return {name: spark.read.parquet(model_path(folder, name, mode)) for name in names}

@@ -135,3 +135,17 @@ def test_curve_without_scores(spark):
     unscored = spark.createDataFrame([(1, None), (0, None)], "y_true int, prob double")
     assert evaluate.threshold_curve(unscored).count() == 0
     assert evaluate.best_threshold(evaluate.threshold_curve(none)).first()["threshold"] == fixed.DEFAULT_THRESHOLD
+
+
+def test_reports_are_saved_by_mode_and_replaced(spark):
+    from flowlab.session import fresh_path
+    from flowlab.sources import models
+
+    folder = fresh_path(spark, "reports")
+    for mode, right in (("multi", 1), ("binary", 0), ("multi", 0)):
+        df = spark.createDataFrame([(1, right), (0, 0)], "y_true int, y_pred int")
+        paths = models.save_report(evaluate.evaluate(df, None, predictor="given"), folder, mode)
+        assert set(paths) == {"metrics", "report", "confusion"} and all(p.endswith(mode) for p in paths.values())
+        kept = models.load_report(spark, folder, mode, paths)
+        assert kept["metrics"].first()["accuracy"] == (1 + right) / 2
+        assert kept["confusion"].agg(F.sum("n")).first()[0] == 2
