@@ -313,13 +313,16 @@ def leak_test_minus_train(spark, sf):
     return dedup.remove_leaks(test, train)
 
 
-@query("leak_rows_kept", f"with {LINE_SQL}" + """
+LEAK_ROWS_SQL = f"with {LINE_SQL}" + """
 select l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus
 from lines l where l.is_test and not exists (
   select 1 from train t where t.l_quantity = l.l_quantity and t.l_discount = l.l_discount
     and t.l_tax is not distinct from l.l_tax and t.l_returnflag = l.l_returnflag
     and t.l_linestatus = l.l_linestatus)
-""")
+"""
+
+
+@query("leak_rows_kept", LEAK_ROWS_SQL)
 def leak_rows_kept(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.0)))
     is_test = F.col("l_orderkey") % 5 == 0
@@ -328,6 +331,15 @@ def leak_rows_kept(spark, sf):
     )
 
 
+@query("leak_rows_filtered", LEAK_ROWS_SQL)
+def leak_rows_filtered(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.0)))
+    is_test = F.col("l_orderkey") % 5 == 0
+    return dedup.remove_leaks_filtered(
+        lines.filter(is_test).select(*LINE_COLUMNS), lines.filter(~is_test).select(*LINE_COLUMNS)
+    )
+
+
 @query("leak_mixed_types", f"with {LINE_SQL}" + """
 select l.l_quantity, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus
 from lines l where l.is_test and not exists (

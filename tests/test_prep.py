@@ -341,3 +341,17 @@ def test_counters_of_empty_sets(spark):
     train, test = make_flows(spark, 0), make_flows(spark, 0, 10_000)
     _, counts = prep.prepare_offline_counted(train, test)
     assert all(v == 0 for c in counts for k, v in c.items() if k != "split")
+
+
+def test_leak_filter_passes_every_leak_and_few_others(spark):
+    guard = spark.range(2000).select((F.col("id") * 3).alias("x"), F.when(F.col("id") % 5 != 0, "a").alias("s"))
+    victim = spark.range(30_000).select("id", F.col("id").cast("int").alias("x"), F.when(F.col("id") % 15 != 0, "a").alias("s"))
+    exact = dedup.remove_leaks(victim, guard, ["x", "s"])
+    leaks = victim.count() - exact.count()
+    assert leaks == 2000
+    for bits, most in ((1 << 15, 0.03), (1 << 22, 0.0005)):
+        passed = dedup.may_leak(victim, guard, ["x", "s"], bits).filter("may_leak").count()
+        assert leaks <= passed <= leaks + most * 28_000
+        assert rows(dedup.remove_leaks_filtered(victim, guard, ["x", "s"], bits)) == rows(exact)
+    assert rows(dedup.remove_leaks_filtered(victim, guard.limit(0), ["x", "s"])) == rows(victim)
+    assert dedup.remove_leaks_filtered(victim.limit(0), guard, ["x", "s"]).count() == 0
